@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import mixing
 from tidemark.llm.neighbours import nearest_neighbours, similar_pairs
 from tidemark.llm.ranking import borda_ranking
+from tidemark.llm.source_files import unwritten_files
+from tidemark.llm.stuffing import stuffed_pages
 from tidemark.llm.tokens import count_tokens, encode_corpus
 from tidemark.session import read_table
 
@@ -22,6 +24,22 @@ def p1_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return borda_ranking(read_table(spark, sf, "search_hits"), "query_id", "hit_id", SCORES).withColumn("points", F.round("points", 6))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_reasons(spark, sf).select("file_path")
+
+
+def p3_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return unwritten_files(read_table(spark, sf, "code_chunks"), read_table(spark, sf, "upstream_files")).withColumnRenamed("path", "file_path")
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_shares(spark, sf).select("doc_id")
+
+
+def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages(read_table(spark, sf, "documents"), "doc_id", "text")
+
+
 def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest_neighbours(read_table(spark, sf, "code_chunks"), "id", "vector", k=5)
 
@@ -52,7 +70,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.share_report(*_mixture(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p7_found, p7_neighbours, p8_ids, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranking, p3_found, p3_reasons, p7_found, p7_neighbours, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares)}
 
 _BORDA = """WITH items AS (SELECT query_id, hit_id, max(-score::double) s0, max(rrf_score::double) s1, max(confidence::double) s2
   FROM search_hits WHERE query_id IS NOT NULL AND hit_id IS NOT NULL GROUP BY ALL),
