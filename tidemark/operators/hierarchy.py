@@ -31,7 +31,7 @@ def resolve_parents(notes: DataFrame, id_col: str, up: str, down: str, key) -> D
     )
 
 
-def resolve_hierarchy(links: DataFrame, levels: int = 32, with_path: bool = False) -> DataFrame:
+def resolve_hierarchy(links: DataFrame, levels: int = 10, with_path: bool = False) -> DataFrame:
     """Of ``links(id, parent)`` one row per id: ``id, parent, root_id, depth, on_cycle`` and, if asked, ``path`` (ids
     from the root to the node). A null parent, or one that is no id, makes a root of depth 0. Nodes on a circle or
     below one get the smallest id on that circle as root and depth -1, and a null path. Repeated rows of an id count
@@ -77,7 +77,7 @@ def _settle(residue: DataFrame, reached: DataFrame, count: int, with_path: bool)
     jump = residue.join(inside, F.col("parent") == F.col("_in"), "left").select(
         "id", F.col("_in").alias("up"), F.when(F.col("_in").isNull(), F.col("parent")).alias("over"), F.lit(1).alias("hops"), F.col("id").alias("least")
     )
-    jump = cut_lineage(jump)
+    jump, seen = cut_lineage(jump), None
     for _ in range(max(1, math.ceil(math.log2(count + 1)))):
         at = jump.select(F.col("id").alias("_a"), F.col("up").alias("_up"), F.col("over").alias("_over"), F.col("hops").alias("_hops"), F.col("least").alias("_least"))
         jump = cut_lineage(
@@ -87,11 +87,16 @@ def _settle(residue: DataFrame, reached: DataFrame, count: int, with_path: bool)
                 F.coalesce("over", "_over").alias("over"),
                 (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
                 F.least("least", "_least").alias("least"),
+                (F.col("up").isNotNull() & (F.col("_least") < F.col("least"))).alias("smaller"),
             )
         )
-        if jump.filter("up is not null").isEmpty():
+        open_ = jump.filter("up is not null").groupBy("up").agg(F.max("smaller").alias("smaller")).agg(F.count("*").alias("n"), F.max("smaller").alias("s")).first()
+        # Nothing stands any more; or the nodes pointed at are as many as before, so that pointing permutes them and
+        # they are the circles, and no node found a smaller id, so that each pointer has gone all around its circle.
+        if open_["n"] == 0 or (open_["n"] == seen and not open_["s"]):
             break
-    # After at least `count` hops every pointer that still stands is on its circle.
+        seen = open_["n"]
+    # Every pointer that still stands is on its circle.
     tops = reached.select(F.col("id").alias("_t"), "root_id", "depth", *(["path"] if with_path else []))
     deep = jump.filter("over is not null").join(tops, F.col("over") == F.col("_t"), "inner")
     rings = jump.filter("over is null").select("id", F.col("up").alias("ring_at"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import utc_text
+from tidemark.session import cut_lineage
 
 #: End of an interval without end, as microseconds; later than any readable date.
 OPEN = 2**62
@@ -39,13 +40,13 @@ def merge_periods(intervals: DataFrame, entity: str, start: str, end: str, shard
     span = F.when((F.col("a") + 1) * w < full_to, F.struct((F.col("a") + 1).alias("shard"), ((F.col("a") + 1) * w).alias("s"), full_to.alias("e"), F.lit(True).alias("span")))
     parts = iv.select("entity", F.explode(F.filter(F.array(head, tail, span), lambda x: x.isNotNull())).alias("p")).select("entity", "p.*")
     # Of equal starts only the farthest end matters: a combine before the shuffle.
-    parts = parts.groupBy("entity", "shard", "span", "s").agg(F.max("e").alias("e"))
-    inner = _coalesce(parts.filter("not span"), ["entity", "shard"])
+    parts = cut_lineage(parts.groupBy("entity", "shard", "span", "s").agg(F.max("e").alias("e")))
+    inner = cut_lineage(_coalesce(parts.filter("not span"), ["entity", "shard"]))
     spans = parts.filter("span").groupBy("entity", "shard").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     lo, hi = F.col("shard") * w, (F.col("shard") + 1) * w
     inner = inner.withColumn("touches", (F.col("s") == lo) | (F.col("e") == hi))
     final = inner.filter("not touches").select("entity", "s", "e")
-    stitched = _coalesce(inner.filter("touches").select("entity", "s", "e").unionByName(spans.select("entity", "s", "e")), ["entity"])
+    stitched = cut_lineage(_coalesce(inner.filter("touches").select("entity", "s", "e").unionByName(spans.select("entity", "s", "e")), ["entity"]))
     # A stitched period may swallow pieces that touched nothing, as it covers their whole shard: drop those.
     return _drop_covered(final, stitched, width).unionByName(stitched.select("entity", "s", "e")).select(
         "entity", F.col("s").alias("period_start"), F.col("e").alias("period_end")

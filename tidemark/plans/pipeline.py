@@ -38,7 +38,7 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _periods(spark: SparkSession, sf: str) -> DataFrame:
-    live = live_notes(read_table(spark, sf, "vault_notes"))
+    live = cut_lineage(live_notes(read_table(spark, sf, "vault_notes")))
     links = cut_lineage(resolve_parents(live, "id", "supersedes", "superseded_by", link_id))
     roots = resolve_hierarchy(links).select("id", "root_id")
     held = live.select("id", parse_instant("valid_from").alias("s"), parse_instant("valid_until").alias("e")).filter("s is not null")
