@@ -3,7 +3,8 @@
 A bounded sample of vectors serves as pivots. Each vector is represented by its ``width`` nearest pivots in order and
 posted in the inverted files of the first ``posts`` of them, so what a vector costs doesn't depend on the size of the
 collection. Inside a posting list the others are ranked by Spearman's footrule between the pivot orders, the nearest
-``candidates`` are reranked by exact cosine similarity, and the lists' findings are merged per vector.
+``candidates`` (in a shorter list all) are reranked by exact cosine similarity, and the lists' findings are merged per
+vector.
 
 Exact copies are one vector in the index and come back as members afterwards, so a group of copies of any size adds
 rows in proportion to itself, never its pairs. Posting lists that the sample shows to be longer than ``max_list`` are
@@ -26,7 +27,7 @@ class IndexOptions:
 
     posts: int = 3
     width: int = 24
-    candidates: int = 512
+    candidates: int = 1500
     list_rows: int = 1000
     min_pivots: int = 6
     max_pivots: int = 4096
@@ -36,31 +37,30 @@ class IndexOptions:
 
 
 def _pack(dim: int):
-    """Arrow function: id and vector to id, digest and the vector's bytes, the bytes of equal weight side by side,
-    which packs well. All-zero vectors, vectors of another length and those with NaN or infinity are left out: they are
-    similar to nothing."""
+    """Arrow function: key and vector to key and the vector's bytes, those of equal weight side by side, which packs
+    well; a key that the partition has had is left out. So are all-zero vectors, vectors of another length and those
+    with NaN or infinity: they are similar to nothing."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
+        had: set = set()
         for batch in batches:
-            ids, vecs = batch.column(0), batch.column(1)
+            keys, vecs = batch.column(0).to_numpy(), batch.column(1)
+            lengths = np.asarray(vecs.value_lengths().fill_null(-1))
+            keep = np.flatnonzero(lengths == dim)
+            offsets = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
             flat = np.asarray(vecs.flatten().to_numpy(zero_copy_only=False), dtype="<f4")
-            keep = np.flatnonzero(np.asarray(vecs.value_lengths().fill_null(-1)) == dim)
-            if len(flat) != dim * len(keep):  # lists of another length are among them: slice by the offsets
-                offsets = vecs.offsets.to_numpy() - vecs.offsets[0].as_py()
-                flat = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in keep]) if len(keep) else flat[:0]
-            x = flat.reshape(len(keep), dim)
+            whole = len(keep) == len(lengths)
+            x = (flat if whole else np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in keep] or [flat[:0]])).reshape(len(keep), dim)
             good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-            x = x[good] + np.float32(0)  # -0 becomes 0
+            for i, key in enumerate(keys[keep].tolist()):
+                good[i] &= key not in had
+                had.add(key)
+            x = np.ascontiguousarray(x[good])
             planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), dim, 4).transpose(0, 2, 1)).reshape(len(x), -1)
-            blobs = [p.tobytes() for p in planes]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(keep[good])), pa.array([xxhash.xxh3_128_digest(b) for b in blobs], pa.binary()), pa.array(blobs, pa.binary())],
-                ["id", "digest", "packed"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep][good], pa.int64()), pa.array([p.tobytes() for p in planes], pa.binary())], ["key", "packed"])
 
     return run
 
@@ -121,10 +121,10 @@ def _list_neighbours(dim: int, k: int, width: int, candidates: int):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
+        pdf = pdf.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
         n = len(pdf)
         if n < 2:
-            return pd.DataFrame({"rep": [], "other": [], "cosine": []}).astype({"rep": str, "other": str, "cosine": float})
+            return pd.DataFrame({"rep": [], "other": [], "cosine": []}).astype({"rep": "int64", "other": "int64", "cosine": float})
         x = _unpack(pdf["packed"].tolist(), dim)
         perm = np.frombuffer(b"".join(pdf["perm"]), np.int16).reshape(n, -1)
         seen, col = np.unique(perm, return_inverse=True)
@@ -134,10 +134,10 @@ def _list_neighbours(dim: int, k: int, width: int, candidates: int):
         left, right, cos = [], [], []
         for at in range(0, n, 256):
             rows = np.arange(at, min(at + 256, n))
-            far = footrule_block(pos, rows, width)
-            far[np.arange(len(rows)), rows] = np.iinfo(np.int16).max
             sims = x[rows] @ x.T
             if c < n - 1:
+                far = footrule_block(pos, rows, width)
+                far[np.arange(len(rows)), rows] = np.iinfo(np.int16).max
                 # Of equal distances all stay in: the cut is by distance, not by place.
                 edge = np.partition(far, c - 1, axis=1)[:, c - 1 : c]
                 sims[far > edge] = -2
@@ -146,20 +146,21 @@ def _list_neighbours(dim: int, k: int, width: int, candidates: int):
             best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
             exact = np.einsum("rd,rtd->rt", x[rows].astype(np.float64), x[best].astype(np.float64))
             exact[np.take_along_axis(sims, best, 1) <= -2] = -2
-            # Rows are in the order of their ids, so the place breaks ties as the id does.
-            order = np.lexsort((best, -exact.round(6)), axis=1)[:, :k]
-            for m, r in zip(order, range(len(rows))):
-                for j in m:
-                    if exact[r, j] > -2:
-                        left.append(ids[rows[r]]), right.append(ids[best[r, j]]), cos.append(exact[r, j])
-        return pd.DataFrame({"rep": left, "other": right, "cosine": cos})
+            order = np.lexsort((best, -exact.round(6)), axis=1)[:, : k + 1]
+            best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
+            kept = exact > -2
+            left.append(np.repeat(ids[rows], kept.sum(axis=1)))
+            right.append(ids[best[kept]])
+            cos.append(exact[kept])
+        return pd.DataFrame({"rep": np.concatenate(left), "other": np.concatenate(right), "cosine": np.concatenate(cos)})
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, options: IndexOptions = IndexOptions()) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int = 5, options: IndexOptions = IndexOptions(), least: float | None = None) -> DataFrame:
     """``id, neighbour, cosine, place``: for each id its k most similar other ids by cosine, equal ones (to 6 digits)
-    by id. Ids are text. Every row is indexed and every row is a query.
+    by id. Ids are text. Every row is indexed and every row is a query. ``least`` leaves out neighbours below a cosine,
+    which doesn't change the places of the others.
 
     All-zero, null, empty, non-finite vectors and such of another length than most are similar to nothing and have no
     rows. Repeated rows of an id with the same vector count once; unlike vectors of one id are compared each, and the
@@ -168,26 +169,28 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
 
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("id is not null and vector is not null")
-    schema = "id string, neighbour string, cosine double, place int"
-    sample = rows.orderBy(F.xxhash64(F.lit(options.seed), "id", "vector")).limit(options.sample_rows)
-    dims = sample.groupBy(F.size("vector").alias("d")).count().filter("d > 0").orderBy(F.col("count").desc(), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], schema)
-    dim, total = dims["d"], rows.count()
-    # On the driver: a sample of bounded size, packed (at most sample_rows x dim bytes x 4).
-    drawn = sample.mapInArrow(_pack(dim), "id string, digest binary, packed binary").select("digest", "packed").distinct().toPandas()
-    if drawn.empty:
-        return spark.createDataFrame([], schema)
-    drawn = drawn.sort_values("digest", key=lambda s: s.map(bytes))
-    x = _unpack(drawn["packed"].tolist(), dim)
+    total = rows.select("id").count()
+    # A bounded sample: the ids whose hash lies below a bar, a fifth more than asked for, the smallest of these.
+    bar = min(1.0, 1.2 * options.sample_rows / max(1, total))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(options.seed), "id"), 11)
+    sample = rows.filter(place <= F.lit(int(bar * 2**53))).orderBy(place, "id").limit(options.sample_rows)
+    key = F.xxhash64("vector")
+    drawn = sample.select(F.size("vector").alias("dim"), key.alias("key"), "vector").toPandas() if total else None
+    drawn = drawn[drawn["dim"] > 0] if drawn is not None else None
+    if drawn is None or drawn.empty:
+        return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
+    dim = int(drawn["dim"].value_counts().sort_index().idxmax())
+    x = np.stack([np.asarray(v, np.float64) for v in drawn[drawn["dim"] == dim].drop_duplicates("key")["vector"]])
+    x = x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)]
+    if not len(x):
+        return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
     count = min(max(options.min_pivots, -(-options.posts * total // options.list_rows)), options.max_pivots, len(x))
     pivots = np.ascontiguousarray(x[:count])
-    long_lists = _long_lists(permutations(x, pivots, options.width), total / len(x), options)
-    shared = spark.sparkContext.broadcast((pivots, long_lists))
-
-    packed = rows.mapInArrow(_pack(dim), "id string, digest binary, packed binary")
-    reps = packed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("packed").alias("packed"))
     width, posts = min(options.width, count), options.posts
+    long_lists = _long_lists(permutations(x, pivots, width), total / len(x), options)
+    shared = spark.sparkContext.broadcast((pivots, long_lists))
 
     def post(frames):
         import pandas as pd
@@ -198,18 +201,21 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
                 continue
             perm = permutations(_unpack(pdf["packed"].tolist(), dim), at, width)
             keys = [list_keys(p, posts, long_) for p in perm]
-            times = [len(x) for x in keys]
-            pick = np.repeat(np.arange(len(pdf)), times)
+            pick = np.repeat(np.arange(len(pdf)), [len(x) for x in keys])
             yield pd.DataFrame(
-                {"list": [",".join(map(str, y)) for x in keys for y in x], "rep": pdf["digest"].to_numpy()[pick], "perm": [perm[i].tobytes() for i in pick], "packed": pdf["packed"].to_numpy()[pick]}
+                {"list": [",".join(map(str, y)) for x in keys for y in x], "rep": pdf["key"].to_numpy()[pick], "perm": [perm[i].tobytes() for i in pick], "packed": pdf["packed"].to_numpy()[pick]}
             )
 
-    # Vectors are named by their digest while copies are one; ids come back with the members.
-    posted = reps.mapInPandas(post, "list string, rep binary, perm binary, packed binary").withColumn("rep", F.hex("rep"))
-    found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, options.candidates), "rep string, other string, cosine double")
+    # Copies of a vector are one key. A partition posts a key once; lists drop what several partitions posted.
+    packed = rows.select(key.alias("key"), "vector").mapInArrow(_pack(dim), "key long, packed binary")
+    posted = packed.mapInPandas(post, "list string, rep long, perm binary, packed binary")
+    found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, options.candidates), "rep long, other long, cosine double")
     pairs = found.groupBy("rep", "other").agg(F.max("cosine").alias("cosine"))
-    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(F.round("cosine", 6).desc(), "other"))).filter(F.col("_n") <= k + 3).drop("_n")
-    return _members(packed.select(F.hex("digest").alias("rep"), "id"), near, k)
+    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(F.round("cosine", 6).desc(), "other"))).filter(F.col("_n") <= k + 1).drop("_n")
+    if least is not None:
+        near = near.filter(F.col("cosine") >= least)
+    usable = (F.size("vector") == dim) & F.exists("vector", lambda v: v != 0) & F.forall("vector", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return _members(rows.filter(usable).select(key.alias("rep"), "id"), near, k)
 
 
 def _long_lists(perm, weight: float, options: IndexOptions) -> frozenset:
@@ -231,11 +237,12 @@ def _members(copies: DataFrame, near: DataFrame, k: int) -> DataFrame:
     copies = copies.distinct()
     first = copies.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("_n") <= k + 1)
     first = first.groupBy("rep").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    others = near.join(first.withColumnRenamed("rep", "other"), "other").select("rep", F.explode(F.transform("ids", lambda i: F.struct(F.col("cosine").alias("cosine"), i.alias("id")))).alias("c"))
-    own = first.filter(F.size("ids") > 1).select("rep", F.explode(F.transform("ids", lambda i: F.struct(F.lit(1.0).alias("cosine"), i.alias("id")))).alias("c"))
-    # At most (k + 3)(k + 1) + k + 1 per vector; of these the best k + 1, one of which may be the id itself.
-    ranked = others.unionByName(own).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct((-F.round("c.cosine", 6)).alias("far"), F.col("c.id").alias("id"), F.col("c.cosine").alias("cosine")))).alias("all"))
-    top = copies.join(ranked, "rep").select("id", F.explode(F.filter("all", lambda c: c["id"] != F.col("id"))).alias("c"))
+    one = lambda cosine, i: F.struct((-F.round(cosine, 6)).alias("far"), i.alias("id"), cosine.alias("cosine"))
+    others = near.join(first.withColumnRenamed("rep", "other"), "other").select("rep", F.transform("ids", lambda i: one(F.col("cosine"), i)).alias("c"))
+    own = first.filter(F.size("ids") > 1).select("rep", F.transform("ids", lambda i: one(F.lit(1.0), i)).alias("c"))
+    # At most (k + 1)(k + 1) + k + 1 per vector; of these the best k + 1, one of which may be the id itself.
+    ranked = others.unionByName(own).groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k + 1).alias("all"))
+    top = copies.join(ranked, "rep").select("id", F.explode(F.slice(F.filter("all", lambda c: c["id"] != F.col("id")), 1, k)).alias("c"))
     # An id with one vector, the usual case, has its order already; one with several takes its best.
     best = top.groupBy("id", F.col("c.id").alias("neighbour")).agg(F.max("c.cosine").alias("cosine"))
     order = Window.partitionBy("id").orderBy(F.round("cosine", 6).desc(), "neighbour")

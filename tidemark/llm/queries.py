@@ -40,12 +40,12 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
     return stuffed_pages(read_table(spark, sf, "documents"), "doc_id", "text")
 
 
-def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
-    return nearest_neighbours(read_table(spark, sf, "code_chunks"), "id", "vector", k=5)
+def _neighbours(spark: SparkSession, sf: str, least: float | None = None) -> DataFrame:
+    return nearest_neighbours(read_table(spark, sf, "code_chunks"), "id", "vector", k=5, least=least)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return similar_pairs(_neighbours(spark, sf), 0.9)
+    return similar_pairs(_neighbours(spark, sf, 0.9), 0.9)
 
 
 def p7_neighbours(spark: SparkSession, sf: str) -> DataFrame:
