@@ -28,16 +28,23 @@ GLUE = frozenset(
     и в не на что с по как мы это был была было из за то для от до его их потому нужен если когда после
     的 了 是 在 和 不 我们 因为 の は を に が で と も""".split()
 )
+BREAKS = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
+CLOSES = re.compile(r"(?i)</a>|<br\s*/?>|</li>|</p>|</div>|</td>")
+PARTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\s+[/|»•·]\s+|;\s+")
+FRONT = re.compile(r"\A\s*---\s*\n.*?\n---\s*(?:\n|\Z)", re.S)
 URL = re.compile(r"(?i)\b(?:https?://|www\.)[^\s<>\"')\]|]+")
 TAG = re.compile(r"<[^<>]{1,400}>")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+SEPARATORS = re.compile(r"[|/;»•#=<>\[\]{}]")
+CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]{8}")
 WORD = re.compile(r"[^\W_]+")
 #: Digits and signs that stand for letters inside a word.
 LEET = str.maketrans("013457@$", "oleastas")
 LEETED = re.compile(r"(?<![\w@$])(?=[a-z0-9@$]*[a-z])(?=[a-z0-9@$]*[01345@$])[a-z0-9@$]{3,}(?![\w@$])")
 LOG = re.compile(r"^\W*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d(?::\d\d)?\]?\s|(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\b)")
 CODE = re.compile(r"[;{}]\s*$|^\s*(?:[})\]]|//|/\*|\*/)|[\w)\]]\s*(?:=|==|=>|:=|\+=|->)\s*\S|\w\(.*\)\s*[:{;]?\s*$|^\s*(?:def|fn|func|class|import|from|return|if|for|while|raise|with|end|else|const|let|var|async|pub|static|guard|defer|assert)\b.*[\w)\]}:({;,]$")
-LISTED = re.compile(r"[|/;»•#]|(?:,.*){4}")
+HASHTAG = re.compile(r"(?<![\w&])#\w")
+LISTED = re.compile(r"[|/;»•]|#\w|(?:,.*){4}")
 #: Letters by which words of one beginning are known, as in glued tags.
 STEM = 4
 #: Share of a page's words that its three most frequent make up where sentences only carry keywords.
@@ -50,46 +57,48 @@ def plain(text: str) -> str:
     return INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
 
 
-def words_of(line: str) -> list[str]:
-    """Words in lower case, written-out leet included; a number is no word."""
-    low = LEETED.sub(lambda m: m.group().translate(LEET), URL.sub(" ", line).lower())
+def words_of(line: str, leet: bool = True) -> list[str]:
+    """Words in lower case of a line without links and tags, written-out leet included; a number is no word."""
+    low = line.lower()
+    if leet:
+        low = LEETED.sub(lambda m: m.group().translate(LEET), low)
     return [w for w in WORD.findall(low) if not w.isdigit()]
 
 
 def lines_of(text: str) -> list[tuple[str, bool]]:
     """Lines with whether they are inside a code fence. Front matter is left out; lines are also cut after tags that
     break one, and long ones at separators and ends of sentences."""
-    text = re.sub(r"\A\s*---\s*\n.*?\n---\s*(?:\n|\Z)", "", text, flags=re.S)
+    text = FRONT.sub("", text)
     out, fenced = [], False
-    for raw in re.split(r"[\r\n\v\f\x85\u2028\u2029]+", text):
+    marked = "<" in text
+    for raw in BREAKS.split(text):
         if raw.lstrip().startswith("```"):
             fenced = not fenced
             continue
-        parts = [raw] if fenced else re.split(r"(?i)</a>|<br\s*/?>|</li>|</p>|</div>|</td>", raw)
+        parts = CLOSES.split(raw) if marked and not fenced else [raw]
         for p in parts:
             long = not fenced and len(p) > 160 and not p.lstrip().startswith("|")
-            for q in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|\s+[/|»•·]\s+|;\s+", p) if long else [p]:
+            for q in PARTS.split(p) if long else [p]:
                 if q.strip():
                     out.append((q, fenced))
     return out
 
 
-def shape(line: str) -> tuple:
-    """Word count (in steps), share of glue words, of capitals, separators and links of a line."""
-    w = WORD.findall(URL.sub(" ", TAG.sub(" ", line)))
-    glue = sum(x.lower() in GLUE for x in w)
-    seps = "".join(sorted(set(re.findall(r"[|/;»•#=<>\[\]{}]", URL.sub("", line)))))
-    return (min(len(w), 15) // 3, min(glue, 3), sum(x[:1].isupper() for x in w) * 2 > len(w), seps, bool(URL.search(line)), bool(ENDS.search(line)))
+def shape(said: str, words: list[str], linked: bool) -> tuple:
+    """Word count (in steps), glue words, capitals, separators, link and end of a line."""
+    names = said.split()
+    caps = sum(x[:1].isupper() for x in names) * 2 > len(names)
+    return (min(len(words), 15) // 3, min(sum(x in GLUE for x in words), 3), caps, frozenset(SEPARATORS.findall(said)), linked, bool(ENDS.search(said)))
 
 
 def sentence(said: str, words: list[str]) -> bool:
     """Whether a line reads as a sentence: glue words among its words, an end, or a run of a script without spaces."""
-    if max((len(m) for m in re.findall("[\u3040-\u30ff\u3400-\u9fff]+", said)), default=0) >= 8:
+    if not said.isascii() and CJK.search(said):
         return True
     glue = [x for x in words if x in GLUE]
-    if len(words) >= 5 and len(set(glue)) >= 2 and len(glue) >= 0.15 * len(words) and "#" not in said:
+    if len(words) >= 5 and len(set(glue)) >= 2 and len(glue) >= 0.15 * len(words) and not HASHTAG.search(said):
         return True
-    return len(words) >= 3 and bool(ENDS.search(said)) and said[:1].isupper() and not LISTED.search(said)
+    return len(words) >= 3 and bool(ENDS.search(said)) and said.lstrip("#*- ")[:1].isupper() and not LISTED.search(said)
 
 
 def stuffing(text: str | None) -> float:
@@ -97,42 +106,56 @@ def stuffing(text: str | None) -> float:
     keywords. 0 for null, empty and blank texts."""
     if not text or not text.strip():
         return 0.0
-    lines = lines_of(plain(text))
-    every = Counter(w for q, fenced in lines if not fenced for w in words_of(TAG.sub(" ", q)) if w not in GLUE)
+    text = plain(text)
+    tags, links, leet = "<" in text, URL.search(text) is not None, LEETED.search(text.lower()) is not None
+    lines, every, shapes = [], Counter(), Counter()
+    for q, fenced in lines_of(text):
+        urls = len(URL.findall(q)) if links else 0
+        said = URL.sub(" ", q) if urls else q
+        said = (TAG.sub(" ", said) if tags else said).strip()
+        if fenced:
+            lines.append((q, said, urls, None, None))
+            continue
+        w = words_of(said, leet)
+        form = shape(said, w, urls > 0)
+        shapes[form] += 1
+        every.update(w)
+        lines.append((q, said, urls, w, form))
+    for g in GLUE & every.keys():
+        del every[g]
     spoken = sum(every.values())
+    ranked = every.most_common(24)
     # Words the page keeps repeating: often, and a good part of all it says. Glued ones share their beginning.
-    often = max(2, 0.015 * spoken)
-    keys = {w for w, n in every.most_common(24) if n >= often}
-    stems: Counter = Counter()
-    for w, n in every.items():
-        stems[w[:STEM]] += n
-    stems = {x for x, n in stems.most_common(24) if n >= often}
-    focus = sum(n for _, n in every.most_common(3)) / spoken if spoken else 0.0
-    shapes = Counter(shape(q) for q, fenced in lines if not fenced)
+    often = max(3 if spoken < 80 else 2, 0.015 * spoken)
+    keys = {w for w, n in ranked if n >= often}
+    focus = sum(n for _, n in ranked[:3]) / spoken if spoken else 0.0
+    stems = None
     bad = total = 0.0
-    for q, fenced in lines:
-        urls = URL.findall(q)
-        said = TAG.sub(" ", URL.sub(" ", q)).strip()
-        size = len(said) + 24 * len(urls)
+    for q, said, urls, w, form in lines:
+        size = len(said) + 24 * urls
         total += size
-        if fenced or LOG.match(q):
+        if w is None or LOG.match(q):
             continue
-        w = words_of(said)
-        own = [x for x in w if x not in GLUE]
-        kin = sum(x in keys for x in own) / len(own) if own else 0.0
-        again = 1 - len(set(own)) / len(own) if own else 0.0
         if sentence(said, w):
             # A sentence that serves to repeat keywords only; else it is what a page is for, or explains a link.
-            if len(own) >= 3 and kin >= 0.6 and again >= 0.2 and focus >= FOCUS:
-                bad += size
+            if focus >= FOCUS:
+                own = [x for x in w if x not in GLUE]
+                if len(own) >= 3 and sum(x in keys for x in own) >= 0.6 * len(own) and len(set(own)) <= 0.78 * len(own):
+                    bad += size
             continue
         if urls:
             bad += size
             continue
-        akin = max(kin, sum(x[:STEM] in stems for x in own) / len(own) if own else 0.0)
-        if (CODE.search(q) or q.lstrip().startswith("|")) and akin < 0.8:
+        own = [x for x in w if x not in GLUE]
+        if stems is None:
+            begun: Counter = Counter()
+            for x, n in every.items():
+                begun[x[:STEM]] += n
+            stems = {x for x, n in begun.most_common(24) if n >= often}
+        akin = max(sum(x in keys for x in own), sum(x[:STEM] in stems for x in own)) / len(own) if own else 0.0
+        if akin < 0.8 and (q.lstrip().startswith("|") or CODE.search(q)):
             continue
-        alike = shapes[shape(q)]
+        alike = shapes[form]
         if own and (akin >= 0.5 and (len(own) >= 3 or alike >= 5 or focus >= FOCUS) or akin >= 0.3 and alike >= 8):
             bad += size
         elif alike >= 8 and len(w) <= 3 and not ENDS.search(q):
