@@ -31,7 +31,7 @@ class IndexOptions:
     list_rows: int = 1000
     min_pivots: int = 6
     max_pivots: int = 4096
-    sample_rows: int = 20_000
+    sample_rows: int = 8_192
     max_list: int = 8192
     seed: int = 7
 
@@ -175,12 +175,14 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     place = F.shiftrightunsigned(F.xxhash64(F.lit(options.seed), "id"), 11)
     sample = rows.filter(place <= F.lit(int(bar * 2**53))).orderBy(place, "id").limit(options.sample_rows)
     key = F.xxhash64("vector")
-    drawn = sample.select(F.size("vector").alias("dim"), key.alias("key"), "vector").toPandas() if total else None
-    drawn = drawn[drawn["dim"] > 0] if drawn is not None else None
-    if drawn is None or drawn.empty:
+    drawn = sample.select(F.size("vector").alias("dim"), key.alias("key"), "vector").filter("dim > 0").toArrow()
+    if not drawn.num_rows:
         return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
-    dim = int(drawn["dim"].value_counts().sort_index().idxmax())
-    x = np.stack([np.asarray(v, np.float64) for v in drawn[drawn["dim"] == dim].drop_duplicates("key")["vector"]])
+    sizes, keys = drawn["dim"].to_numpy(), drawn["key"].to_numpy()
+    dim = int(np.bincount(sizes).argmax())
+    pick = np.sort(np.unique(np.where(sizes == dim, keys, keys[sizes == dim][0]), return_index=True)[1])
+    pick = pick[sizes[pick] == dim]
+    x = np.asarray(drawn["vector"].combine_chunks().take(pick).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(pick), dim)
     x = x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)]
     if not len(x):
         return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
