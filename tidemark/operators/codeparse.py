@@ -83,6 +83,7 @@ PATTERNS = {
 }
 #: Names that look like calls but are keywords.
 NOT_CALLS = frozenset("if for while switch match return catch sizeof function fn func def class and or not in new throw await typeof elif guard else unless until defer go select range".split())
+NOT_NAMES = frozenset("if for while switch return catch else do".split())
 PREFIX = {"javascript": "js", "jsx": "js", "typescript": "js", "tsx": "js", "c": "c", "cpp": "c"}
 IMPORTS = {
     "rust": re.compile(r"^\s*(?:pub\s+)?use\s+([^;]+);", re.M), "go": re.compile(r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$", re.M),
@@ -148,7 +149,7 @@ def parse_lexical(language: str, source: str) -> list[Item]:
             if not m:
                 continue
             name = m.group(m.lastindex).strip()
-            if kind in ("method", "function") and name in NOT_CALLS:
+            if kind in ("method", "function") and name in NOT_NAMES:
                 break
             inside = [o for o in open_ if o.kind in ("class", "struct", "interface", "enum", "trait", "impl", "module", "protocol")]
             if open_ and not (inside and open_[-1] is inside[-1]):
@@ -212,6 +213,8 @@ def parse_file(language: str, path: str, source: str) -> tuple[list[tuple], list
     prefix = PREFIX.get(language, language)
     items, hints = [], []
     for it in found:
+        if language == "rust" and it.kind == "module":
+            continue  # a module only names its items
         qualified = ("::" if language == "rust" else ".").join(x for x in (it.container, it.name) if x)
         key = digest(language, path, module, it.kind, qualified)
         items.append((key, module, it.name, qualified, it.kind, it.start + shift, it.end + shift, it.preamble, it.signature, it.body))
