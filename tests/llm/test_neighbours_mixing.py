@@ -49,7 +49,7 @@ def test_recall_and_similar_pairs_on_clusters(spark):
     x = np.concatenate([centres + rng.normal(size=centres.shape) * s for s in (0.05, 0.1, 0.15, 0.2)] + [rng.normal(size=(600, 32))])
     pairs = [(f"{i:05d}", v) for i, v in enumerate(x)]
     want = brute(pairs, 5)
-    options = IndexOptions(list_rows=500, candidates=450)
+    options = IndexOptions(candidates=0.8)
     near = nearest_neighbours(frame(spark, pairs), "id", "vector", 5, options)
     got = lists(near)
     recall = np.mean([len(set(got.get(a, [])) & set(b)) / 5 for a, b in want.items()])
@@ -64,7 +64,7 @@ def test_long_lists_are_cut(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(1, 16)) + rng.normal(size=(500, 16)) * 0.3, rng.normal(size=(200, 16))])
     pairs = [(f"{i:04d}", v) for i, v in enumerate(x)]
-    got = lists(nearest_neighbours(frame(spark, pairs), "id", "vector", 5, IndexOptions(list_rows=40, max_list=90)))
+    got = lists(nearest_neighbours(frame(spark, pairs), "id", "vector", 5, IndexOptions(min_list=40, list_factor=1.0, longest=2.5)))
     want = brute(pairs, 5)
     assert np.mean([len(set(got.get(a, [])) & set(b)) / 5 for a, b in want.items()]) > 0.6
     assert list_keys([3, 1, 2, 0], 1, frozenset({(3,), (3, 1)})) == [(3, 1, 0), (3, 1, 2), (3, 2)]

@@ -7,7 +7,7 @@ collection. Inside a posting list the others are ranked by Spearman's footrule b
 vector.
 
 Exact copies are one vector in the index and come back as members afterwards, so a group of copies of any size adds
-rows in proportion to itself, never its pairs. Posting lists that the sample shows to be longer than ``max_list`` are
+rows in proportion to itself, never its pairs. Posting lists that the sample shows to be far longer than the others are
 cut by the next pivots of the permutation, again and again, so no task holds an unbounded list.
 """
 
@@ -21,20 +21,25 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class IndexOptions:
-    """``list_rows`` is the mean length of a posting list: the number of pivots follows the collection, between
-    ``min_pivots`` and ``max_pivots`` (the bound of what is sent to every task: 4096 pivots of 384 floats are 6 MB).
-    ``sample_rows`` bounds the sample from which pivots are drawn and long lists are foreseen."""
+    """The mean length of a posting list follows the square root of the collection (``list_factor`` times it,
+    ``min_list`` at least), and so does the number of pivots, up to ``max_pivots`` (the bound of what is sent to every
+    task: 4096 pivots of 384 floats are 6 MB): with lists of a fixed length recall would fall as the collection grows.
+    ``candidates`` and ``longest`` are in lengths of a mean list. ``sample_rows`` bounds the sample from which pivots
+    are drawn and long lists are foreseen."""
 
     posts: int = 3
     width: int = 24
-    candidates: int = 1500
-    list_rows: int = 1000
-    min_pivots: int = 6
+    list_factor: float = 3.2
+    min_list: int = 300
+    candidates: float = 2.0
+    longest: float = 8.0
     max_pivots: int = 4096
     sample_rows: int = 8_192
-    max_list: int = 8192
     seed: int = 7
 
+    def list_rows(self, total: int) -> int:
+        return max(self.min_list, round(self.list_factor * total**0.5))
+
 
 def _pack(dim: int):
     """Arrow function: key and vector to key and the vector's bytes, those of equal weight side by side, which packs
@@ -188,10 +193,11 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
         return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
     x /= np.abs(x).max(axis=1, keepdims=True)
     x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
-    count = min(max(options.min_pivots, -(-options.posts * total // options.list_rows)), options.max_pivots, len(x))
+    length = options.list_rows(total)
+    count = min(max(2 * options.posts, -(-options.posts * total // length)), options.max_pivots, len(x))
     pivots = np.ascontiguousarray(x[:count])
     width, posts = min(options.width, count), options.posts
-    long_lists = _long_lists(permutations(x, pivots, width), total / len(x), options)
+    long_lists = _long_lists(permutations(x, pivots, width), total / len(x), options.posts, options.longest * length)
     shared = spark.sparkContext.broadcast((pivots, long_lists))
 
     def post(frames):
@@ -211,7 +217,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     # Copies of a vector are one key. A partition posts a key once; lists drop what several partitions posted.
     packed = rows.select(key.alias("key"), "vector").mapInArrow(_pack(dim), "key long, packed binary")
     posted = packed.mapInPandas(post, "list string, rep long, perm binary, packed binary")
-    found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, options.candidates), "rep long, other long, cosine double")
+    found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, cosine double")
     pairs = found.groupBy("rep", "other").agg(F.max("cosine").alias("cosine"))
     near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(F.round("cosine", 6).desc(), "other"))).filter(F.col("_n") <= k + 1).drop("_n")
     if least is not None:
@@ -220,14 +226,14 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     return _members(rows.filter(usable).select(key.alias("rep"), "id"), near, k)
 
 
-def _long_lists(perm, weight: float, options: IndexOptions) -> frozenset:
-    """Posting lists, and sublists of long ones, that the sample foresees to exceed ``max_list`` rows."""
+def _long_lists(perm, weight: float, posts: int, most: float) -> frozenset:
+    """Posting lists, and sublists of long ones, that the sample foresees to exceed ``most`` rows."""
     from collections import Counter
 
     long_: frozenset = frozenset()
     for depth in range(1, 4):
-        sizes = Counter(key for p in perm for key in list_keys(p, options.posts, long_) if len(key) == depth)
-        more = {key for key, n in sizes.items() if n * weight > options.max_list}
+        sizes = Counter(key for p in perm for key in list_keys(p, posts, long_) if len(key) == depth)
+        more = {key for key, n in sizes.items() if n * weight > most}
         if not more:
             break
         long_ |= more
