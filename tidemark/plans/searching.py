@@ -133,8 +133,8 @@ def rnk09(spark, sf):
     return R.reciprocal_rank_fusion(each, ["query_id"], ["project", "hit_id"], "rank", 10).select("query_id", "project", "hit_id", "place")
 
 
-BUDGET, LEAST = 400, 0.45
-_PACK = f"""WITH RECURSIVE {_HITS}, o AS (SELECT query_id, hit_id, content, coalesce(pinned, false) pin, coalesce(score::double, 'inf') score, row_number() OVER (PARTITION BY query_id ORDER BY (NOT coalesce(pinned, false)), coalesce(score::double, 'inf'), hit_id) i FROM h),
+BUDGET, LEAST, MOST_HITS = 400, 0.45, 100
+_PACK = f"""WITH RECURSIVE {_HITS}, o AS (SELECT query_id, hit_id, content, coalesce(pinned, false) pin, coalesce(score::double, 'inf') score, row_number() OVER (PARTITION BY query_id ORDER BY (NOT coalesce(pinned, false)), coalesce(score::double, 'inf'), hit_id) i FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score NULLS LAST, hit_id) <= 100)),
 f AS (SELECT query_id, 0::bigint i, 0::bigint total, false stopped, NULL::bigint hit_id, NULL::varchar kept FROM (SELECT DISTINCT query_id FROM o) UNION ALL
  SELECT query_id, i, CASE WHEN stop THEN total ELSE total + coalesce(length(txt), 0) END, stop, CASE WHEN stop THEN NULL ELSE hit_id END, txt FROM (
  SELECT *, CASE WHEN content IS NULL THEN NULL WHEN NOT over_ THEN content WHEN room >= 80 THEN cut ELSE CASE WHEN sz <= 80 THEN content ELSE substr(content, 1, 62) || E'\\n... [truncated]\\n' END END txt FROM (
@@ -144,8 +144,9 @@ packed AS (SELECT query_id, i, hit_id, kept FROM f WHERE hit_id IS NOT NULL)"""
 
 
 def _packed(spark, sf):
-    h = hits(spark, sf).select("query_id", F.struct("pinned", F.struct(F.coalesce(C("score").cast("double"), F.lit(float("inf"))).alias("far"), "hit_id").alias("ord"), C("hit_id").alias("id"), "content").alias("h"), "score")
-    # At most the hits of one query, which a search limits to 100 and the budget to a few.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(C("score").asc_nulls_last(), "hit_id"))
+    h = hits(spark, sf).withColumn("place", place).filter(C("place") <= MOST_HITS).select("query_id", F.struct("pinned", F.struct(F.coalesce(C("score").cast("double"), F.lit(float("inf"))).alias("far"), "hit_id").alias("ord"), C("hit_id").alias("id"), "content").alias("h"), "score")
+    # A search gives 100 hits at most, so this is what one task holds of a query.
     return h.groupBy("query_id").agg(F.collect_list("h").alias("hits"), F.count("*").alias("n"), F.max(R.relevance(F.lit(None).cast("double"), C("score").cast("double"))).alias("best")).withColumn("kept", R.char_budget(C("hits"), BUDGET))
 
 

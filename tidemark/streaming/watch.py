@@ -1,12 +1,12 @@
 """Watching files: debounce, freshness, scope and incremental sync, in batch and as streams.
 
-Every event resets a project's timer and the batch fires after a quiet gap; in event time that is a session. A session
-window merges sessions before and after the shuffle, so a busy project's events are combined where they are read.
+Every event resets a project's timer and the batch fires after a quiet gap; in event time that is a session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.tables import SnapshotTable, delete_keys
@@ -17,12 +17,20 @@ MOST_PATHS, MOST_EVENTS = 200, 100
 
 def debounce(events: DataFrame, key: str, at: str, gap: str = "3 seconds", value: str | None = None) -> DataFrame:
     """``key, dirty_since, last_event, events`` of each burst: events no farther apart than the gap. With ``value`` also
-    the sorted distinct values, as ``dirty`` (a burst longer than MOST_PATHS is a full walk anyway)."""
-    burst = events.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key), F.session_window(F.col(at), gap).alias("_w"))
-    sums = [F.min(at).alias("dirty_since"), F.max(at).alias("last_event"), F.count("*").alias("events")]
+    the sorted distinct values, as ``dirty`` (a burst longer than MOST_PATHS is a full walk anyway). Events without key
+    or time are ignored. Events in one cell of the gap's length always belong together, so they become one row before
+    the shuffle, and a key with a third of all events is as many rows as it has busy cells."""
+    width = pd.Timedelta(gap) // pd.Timedelta(microseconds=1)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    sums = [F.min(micros).alias("a"), F.max(micros).alias("z"), F.count("*").alias("n")] + ([F.collect_set(value).alias("values")] if value else [])
+    cells = events.filter(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, F.floor(micros / F.lit(width)).alias("cell")).agg(*sums)
+    order = Window.partitionBy(key).orderBy("a")
+    fresh = F.coalesce(F.col("a") > F.lag("z").over(order) + width, F.lit(True))
+    runs = cells.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = [F.timestamp_micros(F.min("a")).alias("dirty_since"), F.timestamp_micros(F.max("z")).alias("last_event"), F.sum("n").alias("events")]
     if value:
-        sums.append(F.array_sort(F.collect_set(value)).alias("dirty"))
-    return burst.agg(*sums).drop("_w")
+        out.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("values")))).alias("dirty"))
+    return runs.groupBy(key, "run").agg(*out).drop("run")
 
 
 def overflowed(bursts: DataFrame, most: int = MOST_EVENTS) -> DataFrame:
@@ -57,8 +65,9 @@ def sync_snapshot(table: SnapshotTable, listing: DataFrame, read, key: str = "pa
 
 def stream_bursts(events: DataFrame, key: str, at: str, gap: str, lateness: str = "10 minutes") -> DataFrame:
     """The streaming form of ``debounce``: a burst is emitted once the watermark has passed its end."""
-    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, lateness)
-    return debounce(timed, key, at, gap)
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).filter(F.col(key).isNotNull()).withWatermark(at, lateness)
+    burst = timed.groupBy(F.col(key), F.session_window(F.col(at), gap).alias("_w"))
+    return burst.agg(F.min(at).alias("dirty_since"), F.max(at).alias("last_event"), F.count("*").alias("events")).drop("_w")
 
 
 def stream_upserts(events: DataFrame, root: str, key: str, order: str, checkpoint: str):
