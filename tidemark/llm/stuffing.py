@@ -42,13 +42,13 @@ WORD = re.compile(r"[^\W_]+")
 LEET = str.maketrans("013457@$", "oleastas")
 LEETED = re.compile(r"(?<![\w@$])(?=[a-z0-9@$]*[a-z])(?=[a-z0-9@$]*[01345@$])[a-z0-9@$]{3,}(?![\w@$])")
 LOG = re.compile(r"^\W*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d(?::\d\d)?\]?\s|(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\b)")
-CODE = re.compile(r"[;{}]\s*$|^\s*(?:[})\]]|//|/\*|\*/)|[\w)\]]\s*(?:=|==|=>|:=|\+=|->)\s*\S|\w\(.*\)\s*[:{;]?\s*$|^\s*(?:def|fn|func|class|import|from|return|if|for|while|raise|with|end|else|const|let|var|async|pub|static|guard|defer|assert)\b.*[\w)\]}:({;,]$")
+CODE = re.compile(r"[;{}]\s*$|^\s*(?:[})\]]|//|/\*|\*/)|[\w)\]]\s*(?:=|==|=>|:=|\+=|->)\s*\S|\w\(.*\)\s*[:{;]?\s*$|^\s*(?:def|fn|func|class|if|for|while|with|else|async|pub|static|guard)\b.*[)\]}:({;,]$|^\s*(?:import|from|return|raise|end|const|let|var|defer|assert)\b[^,]*$")
 HASHTAG = re.compile(r"(?<![\w&])#\w")
 LISTED = re.compile(r"[|/;»•]|#\w|(?:,.*){4}")
 #: Letters by which words of one beginning are known, as in glued tags.
 STEM = 4
-#: Share of a page's words that its three most frequent make up where sentences only carry keywords.
-FOCUS = 0.25
+#: Share of a page's words that its three most frequent make up where it repeats keywords, and where sentences do.
+FOCUS, SPOKEN_FOCUS = 0.25, 0.3
 ENDS = re.compile(r"[.!?…:;。！？][\"'”’)\]]*\s*$")
 
 
@@ -129,6 +129,7 @@ def stuffing(text: str | None) -> float:
     often = max(3 if spoken < 80 else 2, 0.015 * spoken)
     keys = {w for w, n in ranked if n >= often}
     focus = sum(n for _, n in ranked[:3]) / spoken if spoken else 0.0
+    top = {w for w, _ in ranked[:3]}
     stems = None
     bad = total = 0.0
     for q, said, urls, w, form in lines:
@@ -138,9 +139,10 @@ def stuffing(text: str | None) -> float:
             continue
         if sentence(said, w):
             # A sentence that serves to repeat keywords only; else it is what a page is for, or explains a link.
-            if focus >= FOCUS:
+            if focus >= SPOKEN_FOCUS and spoken >= 30:
                 own = [x for x in w if x not in GLUE]
-                if len(own) >= 3 and sum(x in keys for x in own) >= 0.6 * len(own) and len(set(own)) <= 0.78 * len(own):
+                echo = sum(x in keys for x in own) >= 0.6 * len(own) or sum(x in top for x in own) >= len(own) / 3
+                if len(own) >= 3 and echo and len(set(own)) <= 0.78 * len(own) and any(own.count(x) > 1 for x in top):
                     bad += size
             continue
         if urls:
