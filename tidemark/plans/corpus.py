@@ -335,3 +335,88 @@ def str08(spark, sf):
     """What an index holds after syncing all changes of notes: the newest state of each path that still exists."""
     d = read_table(spark, sf, "file_changes").filter("corpus = 'vault'").groupBy("path").agg(F.max(F.struct("modified_at", "change_id", "content_hash")).alias("s"))
     return d.filter("s.content_hash is not null").select("path", C("s.modified_at").alias("modified_at"))
+
+
+@query("src02_default_globs", "SELECT * FROM (VALUES ('include', '**/*.md'), ('exclude', '**/node_modules/**'), ('exclude', '**/target/**'), ('exclude', '**/.git/**')) t(kind, pattern)")
+def src02(spark, sf):
+    return spark.createDataFrame([("include", g) for g in P.INCLUDE_GLOBS] + [("exclude", g) for g in P.EXCLUDE_GLOBS], "kind string, pattern string")
+
+
+@query("src11_help_texts", "SELECT DISTINCT kind command, 'run ' || kind AS content FROM index_jobs")
+def src11(spark, sf):
+    """Help texts of the indexer's commands as a source of context packs."""
+    return read_table(spark, sf, "index_jobs").select(C("kind").alias("command"), F.concat(F.lit("run "), "kind").alias("content")).distinct()
+
+
+@query("set05_section_concat", "SELECT 'decisions' section, doc_id FROM documents WHERE trim(lower(source)) = 'vault_export' UNION ALL SELECT 'code', doc_id FROM documents WHERE trim(lower(source)) = 'code_docs'")
+def set05(spark, sf):
+    """Sources of a pack's sections, one after the other."""
+    d = read_table(spark, sf, "documents").withColumn("s", F.lower(F.trim("source")))
+    part = lambda name, source: d.filter(C("s") == source).select(F.lit(name).alias("section"), "doc_id")
+    return part("decisions", "vault_export").unionByName(part("code", "code_docs"))
+
+
+@query("fn05_long_blocks")
+def fn05(spark, sf):
+    """Texts larger than a chunk, cut at lines with an overlap."""
+    d = read_table(spark, sf, "documents").filter(F.octet_length("text") > markdown.CHUNK_BYTES).select("doc_id", "text")
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            out = [(i, n, p) for i, t in zip(pdf["doc_id"], pdf["text"]) for n, p in enumerate(markdown.cut_lines(t))]
+            yield pd.DataFrame(out, columns=["doc_id", "part", "text"]).astype({"part": "int32"})
+
+    return d.mapInPandas(run, "doc_id long, part int, text string")
+
+
+def _fails_on_control(texts, dim):
+    if any("\x00" in t or "\x07" in t for t in texts):
+        raise ValueError("control character")
+    return embed.hashed_words(texts, dim)
+
+
+@query("emb02_whole_documents")
+def emb02(spark, sf):
+    """Documents of which every chunk was embedded, by a provider that refuses control characters."""
+    chunks = markdown.note_chunks(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").filter("error is null")
+    keyed = chunks.select(F.struct("doc_id", "chunk_index").alias("chunk"), "text")
+    got = embed.embed_texts(keyed, "chunk", "text", 32, _fails_on_control).select("chunk.doc_id", "chunk.chunk_index", "error")
+    return embed.whole_documents(got, "doc_id").select("doc_id", "chunk_index")
+
+
+@query("str01_note_events", "SELECT change_id, path, CASE WHEN content_hash IS NULL THEN 'removed' ELSE 'written' END AS event FROM file_changes WHERE corpus = 'vault' AND ends_with(path, '.md') AND NOT contains(path, '.bak') AND NOT contains(path, '/logs/')")
+def str01(spark, sf):
+    d = read_table(spark, sf, "file_changes").filter(C("corpus") == "vault").filter(C("path").endswith(".md") & ~C("path").contains(".bak") & ~C("path").contains("/logs/"))
+    return d.select("change_id", "path", F.when(C("content_hash").isNull(), "removed").otherwise("written").alias("event"))
+
+
+@query("str07_second_tries", "SELECT job_id, next_id FROM (SELECT job_id, status, lead(job_id) OVER (PARTITION BY project, corpus ORDER BY started_at, job_id) next_id FROM (SELECT DISTINCT job_id, project, corpus, status, started_at FROM index_jobs)) WHERE status IN ('failed', 'cancelled') AND next_id IS NOT NULL")
+def str07(spark, sf):
+    """Runs that didn't succeed and the one that took their place."""
+    j = read_table(spark, sf, "index_jobs").select("job_id", "project", "corpus", "status", "started_at").distinct()
+    later = j.withColumn("next_id", F.lead("job_id").over(Window.partitionBy("project", "corpus").orderBy("started_at", "job_id")))
+    return later.filter(C("status").isin("failed", "cancelled") & C("next_id").isNotNull()).select("job_id", "next_id")
+
+
+@query("cmp03_checkpoint_load", f"""WITH {_LIVE}, t AS (SELECT path, max(title) title FROM live WHERE path IS NOT NULL GROUP BY path)
+SELECT DISTINCT checkpoint_path, l.path, t.path IS NOT NULL AS found, t.title, substr(trim(l.preview, ' '), 1, 400) preview FROM linked_notes l LEFT JOIN t ON t.path = l.path""")
+def cmp03(spark, sf):
+    known = live_notes(read_table(spark, sf, "vault_notes"), ["path", "title"]).filter("path is not null").groupBy(C("path").alias("p")).agg(F.max("title").alias("title"))
+    links = read_table(spark, sf, "linked_notes").select("checkpoint_path", "path", F.substring(F.trim("preview"), 1, 400).alias("preview"))
+    return links.join(known, C("path") == C("p"), "left").select("checkpoint_path", "path", C("p").isNotNull().alias("found"), "title", "preview").distinct()
+
+
+@query("cmp05_session_start", f"WITH {_LIVE} SELECT CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '(root)' END folder, coalesce(nullif(status, ''), 'active') status, count(*) \"count\" FROM live GROUP BY ALL")
+def cmp05(spark, sf):
+    from tidemark import api
+
+    return api.session_hook("session_start", None, live_notes(read_table(spark, sf, "vault_notes"), ["path", "status", "created_at"]))[0]
+
+
+@query("cmp11_project_list", f"WITH {_LIVE}, j AS (SELECT project, count(DISTINCT job_id) jobs FROM index_jobs GROUP BY project), n AS (SELECT project, count(*) notes FROM live WHERE project IS NOT NULL GROUP BY project) SELECT project, coalesce(notes, 0) notes, coalesce(jobs, 0) jobs FROM n FULL JOIN j USING (project)")
+def cmp11(spark, sf):
+    n = live_notes(read_table(spark, sf, "vault_notes"), ["project"]).filter("project is not null").groupBy("project").agg(F.count("*").alias("notes"))
+    j = read_table(spark, sf, "index_jobs").groupBy("project").agg(F.countDistinct("job_id").alias("jobs"))
+    return n.join(j, "project", "full").select("project", F.coalesce("notes", F.lit(0)).alias("notes"), F.coalesce("jobs", F.lit(0)).alias("jobs"))

@@ -238,3 +238,21 @@ def top06(spark, sf):
 def top10(spark, sf):
     best = hits(spark, sf).filter("confidence is not null").orderBy(C("confidence").desc(), "hit_id").limit(50)
     return best.withColumn("place", F.row_number().over(Window.orderBy(C("confidence").desc(), "hit_id"))).select("hit_id", "place")
+
+
+@query("top02_fused_order", f"WITH {_RANKS}, t AS (SELECT query_id, hit_id, round(1.0::double / (60 + rank), 12) rrf FROM cr) SELECT query_id, hit_id, (row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, hit_id))::int place FROM t QUALIFY place <= 5")
+def top02(spark, sf):
+    return R.reciprocal_rank_fusion(_corpus_ranks(spark, sf, ["source"]), ["query_id"], ["hit_id"], "rank", 5).select("query_id", "hit_id", "place")
+
+
+@query("rnk16_retrieval", _FUSED.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))").replace("FROM documents),", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),").replace("embeddings b WHERE", "embeddings b WHERE b.vec_id IN (SELECT doc_id FROM documents) AND") + f""", r AS (SELECT qid, {_SHORT} AND qid IN (SELECT qid FROM bm) fts FROM q)
+SELECT qid query_id, doc_id chunk_id, rank place, 'fts_prefer' AS mode FROM bm JOIN r USING (qid) WHERE fts UNION ALL SELECT qid, item, place, 'hybrid' FROM hp JOIN r USING (qid) WHERE NOT fts""")
+def rnk16(spark, sf):
+    """The search tool over documents that have a vector."""
+    from tidemark import api
+
+    e = read_table(spark, sf, "embeddings").select(C("vec_id").alias("chunk_id"), C("embedding").alias("vector"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("status", "string"), ("pinned", "boolean"), ("valid_from", "string"), ("valid_until", "string"), ("confidence", "double"))]
+    notes = read_table(spark, sf, "documents").select(C("doc_id").alias("chunk_id"), "text").join(e, "chunk_id").select("*", *none)
+    asked = texts(spark).select(C("qid").alias("query_id"), C("qtext").alias("text")).join(e.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    return api.search(notes, asked, "2025-01-01T00:00:00Z", 10)
