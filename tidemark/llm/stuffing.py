@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Glue words of the eight languages of the corpus. Sentences have them, lists of keywords don't.
 GLUE = frozenset(
-    """the a an of to in and is was were for that with on it this by as at from or be are so not but if when which
-    than then there their its we you they had has have been will would could can no only after before while until
+    """the a an of to in and is was were for that with on it this by as at from or be are so not but if when
+    then there we they has have been will can no after before while until
     der die das den dem des ein eine einen einem und ist war wird wurde nicht mit für auf von zu zum beim bei dass
     nach noch oder aus im wir haben hat etwa braucht ohne als wieder ob danach erst dann weil wenn bis
     el la los las un una unos de del que y en es fue está con por para se lo al más no porque hasta cuando hemos
