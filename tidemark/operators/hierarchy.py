@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import count_written, cut_lineage
 
 
 def resolve_parents(notes: DataFrame, id_col: str, up: str, down: str, key) -> DataFrame:
@@ -54,7 +54,7 @@ def resolve_hierarchy(links: DataFrame, levels: int = 10, with_path: bool = Fals
             "id", "parent", "root_id", F.lit(depth).alias("depth"), *([F.concat("path", F.array("id")).alias("path")] if with_path else [])
         )
         frontier = cut_lineage(step)
-        found = frontier.count()
+        found = count_written(frontier)
         if found == 0:
             break
         left -= found
