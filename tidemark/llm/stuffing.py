@@ -41,6 +41,7 @@ WORD = re.compile(r"[^\W_]+")
 #: Digits and signs that stand for letters inside a word.
 LEET = str.maketrans("013457@$", "oleastas")
 LEETED = re.compile(r"(?<![\w@$])(?=[a-z0-9@$]*[a-z])(?=[a-z0-9@$]*[01345@$])[a-z0-9@$]{3,}(?![\w@$])")
+LEET_INSIDE = re.compile(r"[a-z][01345@$][a-z]")
 LOG = re.compile(r"^\W*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d(?::\d\d)?\]?\s|(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\b)")
 CODE = re.compile(r"[;{}]\s*$|^\s*(?:[})\]]|//|/\*|\*/)|[\w)\]]\s*(?:=|==|=>|:=|\+=|->)\s*\S|\w\(.*\)\s*[:{;]?\s*$|^\s*(?:def|fn|func|class|if|for|while|with|else|async|pub|static|guard)\b.*[)\]}:({;,]$|^\s*(?:import|from|return|raise|end|const|let|var|defer|assert)\b[^,]*$")
 HASHTAG = re.compile(r"(?<![\w&])#\w")
@@ -88,15 +89,14 @@ def shape(said: str, words: list[str], linked: bool) -> tuple:
     """Word count (in steps), glue words, capitals, separators, link and end of a line."""
     names = said.split()
     caps = sum(x[:1].isupper() for x in names) * 2 > len(names)
-    return (min(len(words), 15) // 3, min(sum(x in GLUE for x in words), 3), caps, frozenset(SEPARATORS.findall(said)), linked, bool(ENDS.search(said)))
+    return (min(len(words), 15) // 3, min(len(GLUE.intersection(words)), 3), caps, frozenset(SEPARATORS.findall(said)), linked, bool(ENDS.search(said)))
 
 
 def sentence(said: str, words: list[str]) -> bool:
     """Whether a line reads as a sentence: glue words among its words, an end, or a run of a script without spaces."""
     if not said.isascii() and CJK.search(said):
         return True
-    glue = [x for x in words if x in GLUE]
-    if len(words) >= 5 and len(set(glue)) >= 2 and len(glue) >= 0.15 * len(words) and not HASHTAG.search(said):
+    if len(words) >= 5 and len(GLUE.intersection(words)) >= 2 and sum(x in GLUE for x in words) >= 0.15 * len(words) and ("#" not in said or not HASHTAG.search(said)):
         return True
     return len(words) >= 3 and bool(ENDS.search(said)) and said.lstrip("#*- ")[:1].isupper() and not LISTED.search(said)
 
@@ -107,7 +107,8 @@ def stuffing(text: str | None) -> float:
     if not text or not text.strip():
         return 0.0
     text = plain(text)
-    tags, links, leet = "<" in text, URL.search(text) is not None, LEETED.search(text.lower()) is not None
+    low = text.lower()
+    tags, links, leet = "<" in text, "://" in low or "www." in low, LEET_INSIDE.search(low) is not None
     lines, every, shapes = [], Counter(), Counter()
     for q, fenced in lines_of(text):
         urls = len(URL.findall(q)) if links else 0
@@ -117,9 +118,10 @@ def stuffing(text: str | None) -> float:
             lines.append((q, said, urls, None, None))
             continue
         w = words_of(said, leet)
-        form = shape(said, w, urls > 0)
-        shapes[form] += 1
         every.update(w)
+        form = None if sentence(said, w) else shape(said, w, urls > 0)
+        if form:
+            shapes[form] += 1
         lines.append((q, said, urls, w, form))
     for g in GLUE & every.keys():
         del every[g]
@@ -135,9 +137,9 @@ def stuffing(text: str | None) -> float:
     for q, said, urls, w, form in lines:
         size = len(said) + 24 * urls
         total += size
-        if w is None or LOG.match(q):
+        if w is None:
             continue
-        if sentence(said, w):
+        if form is None:
             # A sentence that serves to repeat keywords only; else it is what a page is for, or explains a link.
             if focus >= SPOKEN_FOCUS and spoken >= 30:
                 own = [x for x in w if x not in GLUE]
@@ -145,6 +147,8 @@ def stuffing(text: str | None) -> float:
                 if len(own) >= 3 and echo and len(set(own)) <= 0.78 * len(own) and any(own.count(x) > 1 for x in top):
                     bad += size
             continue
+        if LOG.match(q):
+            continue
         if urls:
             bad += size
             continue
