@@ -147,7 +147,7 @@ def _measurer(columns: list[str], known):
     return run
 
 
-def known_shingles(upstream: DataFrame, text_col: str, most: int = 2_000_000):
+def known_shingles(upstream: DataFrame, text_col: str, most: int = 500_000):
     """Hashes of all shingles of the known sources, for every task; their number is checked first."""
     spark = upstream.sparkSession
 
