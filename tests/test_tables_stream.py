@@ -86,3 +86,13 @@ def test_stream_upserts_and_bursts(spark, tmp_path):
     q = watch.stream_bursts(live, "project", "at", "3 seconds", "1 minute").writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.events for r in spark.sql("select events from bursts").collect()) == [2, 3]
+
+
+def test_small_scans_are_spread(spark, tmp_path):
+    from tidemark.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    wide, shuffled = spark.range(0, 10, 1, 64), one.groupBy("id").count()
+    assert spread(wide) is wide and spread(shuffled) is shuffled

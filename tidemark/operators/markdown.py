@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 CHUNK_BYTES, OVERLAP_FROM = 1500, 1200
 FIELD = re.compile(r"^([A-Za-z_][\w-]*):(?:\s+(.*))?$")
 HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -195,7 +197,7 @@ def repair_note(text: str, new_id: str | None = None) -> str:
 def note_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_col, chunk_index, heading, text`` of all notes; front matter isn't chunked, and a note whose front matter
     can't be read gives one row with ``error``."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
 
     def run(frames):
         import pandas as pd

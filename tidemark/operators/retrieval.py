@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import cut_text
+from tidemark.session import spread
 
 RRF_K = 60
 #: Query vectors one pass may hold in memory per task (10,000 of 384 floats are 15 MB); more go in several passes.
@@ -87,7 +88,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
     per (term, document) before they move; only terms of the queries are kept, by a semi-join, so a frequent word that
     no query has costs nothing. Null and empty texts are documents without terms."""
     q = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    split = docs.select(F.col(doc_id).alias("d"), terms(F.coalesce(F.col(doc_text), F.lit(""))).alias("all"))
+    split = spread(docs.select(doc_id, doc_text)).select(F.col(doc_id).alias("d"), terms(F.coalesce(F.col(doc_text), F.lit(""))).alias("all"))
     stats = split.agg(F.count("*").alias("n"), F.avg(F.size("all")).alias("mean"))
     wanted = q.select("term").distinct()
     tf = split.select("d", F.size("all").alias("len"), F.explode("all").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "d", "len").agg(F.count("*").alias("tf"))

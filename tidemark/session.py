@@ -51,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def count_written(df: DataFrame) -> int:
     """Rows of a checkpointed frame, counted where they lie: one small job and no new plan for the driver to keep."""
     return int(df._jdf.queryExecution().toRdd().count())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many tasks as there are cores: a small table in one file would keep one core busy with
+    work that costs far more than moving its rows. Larger tables have more splits than cores and stay as they are.
+    Only scans with projections and filters are looked at, so asking for partitions runs nothing; what comes from a
+    shuffle is spread already."""
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if plan.executedPlan().nodeName() == "AdaptiveSparkPlan" or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
