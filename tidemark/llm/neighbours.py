@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 
 @dataclass(frozen=True)
 class IndexOptions:
@@ -215,7 +217,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
             )
 
     # Copies of a vector are one key. A partition posts a key once; lists drop what several partitions posted.
-    packed = rows.select(key.alias("key"), "vector").mapInArrow(_pack(dim), "key long, packed binary")
+    packed = spread(rows.select(key.alias("key"), "vector")).mapInArrow(_pack(dim), "key long, packed binary")
     posted = packed.mapInPandas(post, "list string, rep long, perm binary, packed binary")
     found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, cosine double")
     pairs = found.groupBy("rep", "other").agg(F.max("cosine").alias("cosine"))

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 #: Notices of generated files, as they stand in comments, in lower case.
 GENERATED_NOTICES = """
 code generated by
@@ -176,7 +178,7 @@ def unwritten_files(segments: DataFrame, upstream: DataFrame, path_col: str = "f
     counts if one of its segments shows it. Null paths are ignored, null and empty contents show nothing, repeated
     segments change nothing; empty tables give an empty result. ``similar``: share of a segment's five-word shingles
     that known third-party sources have, from which it is a copy."""
-    rows = segments.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).filter("path is not null")
+    rows = spread(segments.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).filter("path is not null"))
     measured = rows.mapInArrow(_measurer(["path"], known_shingles(upstream, upstream_text)), "path string, " + FEATURES)
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     flags = {

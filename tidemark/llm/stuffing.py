@@ -16,6 +16,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 #: Glue words of the eight languages of the corpus. Sentences have them, lists of keywords don't.
 GLUE = frozenset(
     """the a an of to in and is was were for that with on it this by as at from or be are so not but if when
@@ -173,6 +175,7 @@ def stuffed_pages(docs: DataFrame, id_col: str, text_col: str, least: float = 0.
     """``id_col, share`` of the documents of which more than ``least`` is stuffed. Null, empty and blank texts are no
     cases; repeated rows of an id count once (the greatest share); other columns aren't read."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.trim("text") != ""))
+    rows = spread(rows)
     kind = rows.schema["doc"].dataType.simpleString()
 
     def run(batches):

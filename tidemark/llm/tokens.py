@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern of the vocabulary.
@@ -85,7 +87,7 @@ def encode_corpus(docs: DataFrame, id_col: str, text_col: str, tokenizer: str =
     """``id_col, ids`` with one row per input row. An empty and a null text give an empty list; rows of a null id are
     kept. Other columns of ``docs`` aren't read. White space, control characters and strings like special tokens are
     encoded as they are."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")))
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
     doc_type = rows.schema["doc"].dataType.simpleString()
     short = rows.filter(~long).mapInArrow(_encoder(tokenizer, "text"), f"doc {doc_type}, {IDS}")
@@ -134,7 +136,7 @@ def decode_corpus(coded: DataFrame, id_col: str, ids_col: str = "ids", tokenizer
 def count_tokens(docs: DataFrame, text_col: str, tokenizer: str = f"{TOKENIZERS}/{BYTE_BPE_50K}") -> DataFrame:
     """``docs`` with its text replaced by ``tokens``, the number of its tokens (0 for empty and null)."""
     kept = docs.drop(text_col).columns
-    rows = docs.select(*kept, F.col(text_col).alias("_text"))
+    rows = spread(docs.select(*kept, F.col(text_col).alias("_text")))
 
     def run(batches):
         import numpy as np
