@@ -1,5 +1,7 @@
 """Files nobody wrote, and stuffed pages, on hand-made cases."""
 
+import random
+
 import pytest
 
 from tidemark.llm.source_files import by_path, unwritten_files
@@ -97,3 +99,23 @@ def test_pages(spark):
     got = sorted((r.doc is not None, r.doc) for r in stuffed_pages(df, "doc", "text").collect())
     assert [d for _, d in got] == [None, *range(len(STUFFED))]
     assert stuffed_pages(df.limit(0), "doc", "text").count() == 0
+
+
+@pytest.mark.parametrize("keywords", [30, 100, 1000])
+@pytest.mark.parametrize("times", [3, 10, 50])
+def test_stuffed_with_many_keywords(keywords, times):
+    rng = random.Random(keywords + times)
+    words = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(keywords)]
+    said = words * times
+    rng.shuffle(said)
+    assert stuffing("\n".join(", ".join(said[i : i + 10]) for i in range(0, len(said), 10))) > 0.9
+    glued = ["#" + w + rng.choice(words) for w in said]
+    assert stuffing("\n".join(" ".join(glued[i : i + 10]) for i in range(0, len(glued), 10))) > 0.9
+
+
+@pytest.mark.parametrize("lines", [30, 300, 3000])
+def test_long_lists_are_fine(lines):
+    rng = random.Random(lines)
+    words = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(4, 9))) for _ in range(50_000)]
+    titles = rng.choices(words, [1 / (i + 10) for i in range(len(words))], k=lines * 7)
+    assert stuffing("\n".join("- " + " ".join(titles[i : i + 7]) for i in range(0, len(titles), 7))) <= 0.5

@@ -52,6 +52,8 @@ LISTED = re.compile(r"[|/;»•]|#\w|(?:,.*){4}")
 STEM = 4
 #: Share of a page's words that its three most frequent make up where it repeats keywords, and where sentences do.
 FOCUS, SPOKEN_FOCUS = 0.25, 0.3
+#: Share of the different words, and of their beginnings, said three times or more where they are a list of keywords.
+CLOSED, CLOSED_STEMS = 0.6, 0.8
 ENDS = re.compile(r"[.!?…:;。！？][\"'”’)\]]*\s*$")
 
 
@@ -103,6 +105,26 @@ def sentence(said: str, words: list[str]) -> bool:
     return len(words) >= 3 and bool(ENDS.search(said)) and said.lstrip("#*- ")[:1].isupper() and not LISTED.search(said)
 
 
+def stems_of(words: Counter) -> Counter:
+    """Counts of the beginnings of words."""
+    begun: Counter = Counter()
+    for x, n in words.items():
+        begun[x[:STEM]] += n
+    return begun
+
+
+def repeated(words: Counter, least: float) -> set[str]:
+    """The words said three times or more, if these are at least a share ``least`` of all different ones: in texts of
+    any length a good part of the words comes only once or twice, in a list of keywords said over and over hardly any."""
+    again = {x for x, n in words.items() if n >= 3}
+    return again if len(again) >= least * len(words) else set()
+
+
+def repeats(akin: float, own: int, alike: int, focus: float) -> bool:
+    """Whether a line of ``own`` words without glue, a part ``akin`` of which are keywords, serves to repeat these."""
+    return akin >= 0.5 and (own >= 3 or alike >= 5 or focus >= FOCUS) or akin >= 0.3 and alike >= 8
+
+
 def stuffing(text: str | None) -> float:
     """Share of the text (in characters, a link counting as a few words) that is links, tags, product lines or repeated
     keywords. 0 for null, empty and blank texts."""
@@ -128,14 +150,15 @@ def stuffing(text: str | None) -> float:
     for g in GLUE & every.keys():
         del every[g]
     spoken = sum(every.values())
-    ranked = every.most_common(24)
+    first = every.most_common(3)
     # Words the page keeps repeating: often, and a good part of all it says. Glued ones share their beginning.
     often = max(3 if spoken < 80 else 2, 0.015 * spoken)
-    keys = {w for w, n in ranked if n >= often}
-    focus = sum(n for _, n in ranked[:3]) / spoken if spoken else 0.0
-    top = {w for w, _ in ranked[:3]}
+    keys = {w for w, n in every.items() if n >= often}
+    focus = sum(n for _, n in first) / spoken if spoken else 0.0
+    top = {w for w, _ in first}
     stems = None
     bad = total = 0.0
+    loose, left = Counter(), []
     for q, said, urls, w, form in lines:
         size = len(said) + 24 * urls
         total += size
@@ -156,18 +179,25 @@ def stuffing(text: str | None) -> float:
             continue
         own = [x for x in w if x not in GLUE]
         if stems is None:
-            begun: Counter = Counter()
-            for x, n in every.items():
-                begun[x[:STEM]] += n
-            stems = {x for x, n in begun.most_common(24) if n >= often}
+            stems = {x for x, n in stems_of(every).items() if n >= often}
         akin = max(sum(x in keys for x in own), sum(x[:STEM] in stems for x in own)) / len(own) if own else 0.0
         if akin < 0.8 and (q.lstrip().startswith("|") or CODE.search(q)):
             continue
         alike = shapes[form]
-        if own and (akin >= 0.5 and (len(own) >= 3 or alike >= 5 or focus >= FOCUS) or akin >= 0.3 and alike >= 8):
+        loose.update(own)
+        if own and repeats(akin, len(own), alike, focus):
             bad += size
         elif alike >= 8 and len(w) <= 3 and not ENDS.search(q):
             bad += size
+        elif own:
+            left.append((size, own, alike))
+    if left:
+        # Many keywords have a small share of the page each, however often they come: then the list is a closed one.
+        again, begins = repeated(loose, CLOSED), repeated(stems_of(loose), CLOSED_STEMS)
+        if again or begins:
+            for size, own, alike in left:
+                if repeats(max(sum(x in again for x in own), sum(x[:STEM] in begins for x in own)) / len(own), len(own), alike, focus):
+                    bad += size
     return bad / total if total else 0.0
 
 
