@@ -70,6 +70,26 @@ def test_long_lists_are_cut(spark):
     assert list_keys([3, 1, 2, 0], 1, frozenset({(3,), (3, 1)})) == [(3, 1, 0), (3, 1, 2), (3, 2)]
 
 
+@pytest.mark.parametrize("scale", ["exact", "any"])
+def test_rescaled_copies_fall_to_the_smallest_ids(spark, scale):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16)).astype(np.float32)
+    groups = [x[0]] * 150 + [x[1]] * 40 + [x[2]] * 10
+    by = rng.choice([0.25, 0.5, 2.0, 4.0], 200) if scale == "exact" else rng.uniform(0.3, 3.0, 200)
+    vectors = [*x, *(v * np.float32(b) for v, b in zip(groups, by))]
+    names = [f"{i:04d}" for i in rng.permutation(len(vectors))]
+    pairs = list(zip(names, vectors))
+    got, want = lists(nearest_neighbours(frame(spark, pairs).repartition(5), "id", "vector", 5, IndexOptions(min_list=100, list_factor=1.0))), brute(pairs, 5)
+    copies = [names[i] for i in (0, 1, 2, *range(600, 800))]
+    assert all(got[a] == want[a] for a in copies), [(a, got[a], want[a]) for a in copies if got[a] != want[a]][:3]
+
+
+def test_many_equally_near(spark):
+    # 60 unlike vectors have one cosine with the axis: the smallest ids of all of them are its neighbours.
+    pairs = [("axis", [1.0] + [0.0] * 60)] + [(f"{(i * 37) % 60:02d}", [1.0] + [float(i == j) for j in range(60)]) for i in range(60)]
+    assert lists(nearest_neighbours(frame(spark, pairs), "id", "vector", 5))["axis"] == ["00", "01", "02", "03", "04"]
+
+
 def test_empty(spark):
     for rows in ([], [("a", None)], [("a", [0.0, 0.0])], [("a", [1.0, 0.0])]):
         assert nearest_neighbours(frame(spark, rows), "id", "vector").count() == 0

@@ -6,8 +6,9 @@ collection. Inside a posting list the others are ranked by Spearman's footrule b
 ``candidates`` (in a shorter list all) are reranked by exact cosine similarity, and the lists' findings are merged per
 vector.
 
-Exact copies are one vector in the index and come back as members afterwards, so a group of copies of any size adds
-rows in proportion to itself, never its pairs. Posting lists that the sample shows to be far longer than the others are
+Copies of a vector, also rescaled ones whose directions are equal in double precision, are one vector in the index and
+come back as members afterwards, so a group of copies of any size adds rows in proportion to itself, never its pairs.
+Equal cosines fall to the smallest id among the copies, in the lists and where these are merged. Posting lists that the sample shows to be far longer than the others are
 cut by the next pivots of the permutation, again and again, so no task holds an unbounded list.
 """
 
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from tidemark.session import spread
 
 
+#: Cosines in single precision that lie closer together than this may be equal to 6 digits.
+BLUR = 4e-6
+
+
 @dataclass(frozen=True)
 class IndexOptions:
     """The mean length of a posting list follows the square root of the collection (``list_factor`` times it,
@@ -43,31 +48,77 @@ class IndexOptions:
         return max(self.min_list, round(self.list_factor * total**0.5))
 
 
+def _directions(vecs, dim: int):
+    """Of an Arrow column of vectors: the places of the usable ones, these, and a hash of the direction of each. Not
+    usable are all-zero vectors, vectors of another length and those with NaN or infinity: they are similar to nothing."""
+    import numpy as np
+    import xxhash
+
+    lengths = np.asarray(vecs.value_lengths().fill_null(-1))
+    keep = np.flatnonzero(lengths == dim)
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
+    flat = np.asarray(vecs.flatten().to_numpy(zero_copy_only=False), dtype="<f4")
+    whole = len(keep) == len(lengths)
+    x = (flat if whole else np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in keep] or [flat[:0]])).reshape(len(keep), dim)
+    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    keep, x = keep[good], np.ascontiguousarray(x[good])
+    keys = np.array([xxhash.xxh64_intdigest(y) for y in _scaled(x)], np.uint64).astype(np.int64)
+    return keep, x, keys
+
+
+def _scaled(x):
+    """Vectors in double precision with 1 as their greatest component: no overflow in the squares, and the same for
+    rescaled copies."""
+    import numpy as np
+
+    x = x.astype(np.float64)
+    return x / np.abs(x).max(axis=1, keepdims=True) + 0.0
+
+
+def _members_of(dim: int):
+    """Arrow function: id and vector to id and the hash of the vector's direction."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep, _, keys = _directions(batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(keys, pa.int64())], ["id", "rep"])
+
+    return run
+
+
 def _pack(dim: int):
-    """Arrow function: key and vector to key and the vector's bytes, those of equal weight side by side, which packs
-    well; a key that the partition has had is left out. So are all-zero vectors, vectors of another length and those
-    with NaN or infinity: they are similar to nothing."""
+    """Arrow function: id and vector to the hash of its direction, the id and the vector's bytes, those of equal weight
+    side by side, which packs well. A direction that the partition has had is left out, unless a smaller id than the one
+    given away turns up: this follows at the end."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        had: set = set()
-        for batch in batches:
-            keys, vecs = batch.column(0).to_numpy(), batch.column(1)
-            lengths = np.asarray(vecs.value_lengths().fill_null(-1))
-            keep = np.flatnonzero(lengths == dim)
-            offsets = np.concatenate([[0], np.cumsum(np.maximum(lengths, 0))])
-            flat = np.asarray(vecs.flatten().to_numpy(zero_copy_only=False), dtype="<f4")
-            whole = len(keep) == len(lengths)
-            x = (flat if whole else np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in keep] or [flat[:0]])).reshape(len(keep), dim)
-            good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-            for i, key in enumerate(keys[keep].tolist()):
-                good[i] &= key not in had
-                had.add(key)
-            x = np.ascontiguousarray(x[good])
+        def batch_of(keys, ids, x):
             planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), dim, 4).transpose(0, 2, 1)).reshape(len(x), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep][good], pa.int64()), pa.array([p.tobytes() for p in planes], pa.binary())], ["key", "packed"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.string()), pa.array([p.tobytes() for p in planes], pa.binary())], ["key", "first", "packed"])
+
+        had: dict = {}
+        later: dict = {}
+        for batch in batches:
+            keep, x, keys = _directions(batch.column(1), dim)
+            ids, new = batch.column(0).take(pa.array(keep)).to_pylist(), []
+            for i, (key, name) in enumerate(zip(keys.tolist(), ids)):
+                if key not in had:
+                    new.append(i)
+                elif name < had[key]:
+                    later[key] = x[i].copy()
+                else:
+                    continue
+                had[key] = name
+            yield batch_of(keys[new], [ids[i] for i in new], np.ascontiguousarray(x[new]))
+        rest = list(later)
+        for at in range(0, len(rest), 2048):
+            part = rest[at : at + 2048]
+            yield batch_of(part, [had[key] for key in part], np.stack([later[key] for key in part]))
 
     return run
 
@@ -77,8 +128,7 @@ def _unpack(blobs, dim: int):
     import numpy as np
 
     planes = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), 4, dim)
-    x = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<f4").reshape(len(blobs), dim).astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+    x = _scaled(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<f4").reshape(len(blobs), dim))
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -120,24 +170,39 @@ def footrule_block(pos, rows, width: int):
     return out
 
 
+def _nearest(x, row: int, others, take: int):
+    """The ``take`` of the other rows that are nearest to a row, equal ones (to 6 digits) by place."""
+    import numpy as np
+
+    mine = x[row].astype(np.float64)
+    # Nothing is nearer than the same direction: enough of these among the first ones, and the others needn't be seen.
+    if len(others) > 64:
+        same = others[:64][(x[others[:64]].astype(np.float64) @ mine).round(6) >= 1.0]
+        if len(same) >= take:
+            return same[:take]
+    exact = x[others].astype(np.float64) @ mine
+    return others[np.lexsort((others, -exact.round(6)))[:take]]
+
+
 def _list_neighbours(dim: int, k: int, width: int, candidates: int):
     """Grouped function: of one posting list, for each vector its best k by exact cosine among the ``candidates``
-    nearest by footrule. Works through the list in blocks of rows."""
+    nearest by footrule, equal ones (to 6 digits) by their smallest id. Works through the list in blocks of rows."""
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("rep").sort_values("rep").reset_index(drop=True)
+        # In the order of the smallest ids, so that the smaller place is the smaller id.
+        pdf = pdf.sort_values(["first", "rep"]).drop_duplicates("rep").reset_index(drop=True)
         n = len(pdf)
         if n < 2:
-            return pd.DataFrame({"rep": [], "other": [], "cosine": []}).astype({"rep": "int64", "other": "int64", "cosine": float})
+            return pd.DataFrame({"rep": [], "other": [], "first": [], "cosine": []}).astype({"rep": "int64", "other": "int64", "first": str, "cosine": float})
         x = _unpack(pdf["packed"].tolist(), dim)
         perm = np.frombuffer(b"".join(pdf["perm"]), np.int16).reshape(n, -1)
         seen, col = np.unique(perm, return_inverse=True)
         pos = np.full((len(seen), n), width, np.int8)
         pos[col.reshape(perm.shape), np.arange(n)[:, None]] = np.arange(perm.shape[1], dtype=np.int8)
-        c, ids = min(candidates, n - 1), pdf["rep"].to_numpy()
+        c, ids, names = min(candidates, n - 1), pdf["rep"].to_numpy(), pdf["first"].to_numpy()
         left, right, cos = [], [], []
         for at in range(0, n, 256):
             rows = np.arange(at, min(at + 256, n))
@@ -151,15 +216,22 @@ def _list_neighbours(dim: int, k: int, width: int, candidates: int):
             sims[np.arange(len(rows)), rows] = -2
             take = min(k + 3, n - 1)
             best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+            # Where more than these may be as near as the last one wanted, which of them have the smallest ids.
+            if take < n - 1:
+                last = -np.partition(-np.take_along_axis(sims, best, 1), min(k, take - 1), axis=1)[:, min(k, take - 1)]
+                close = (sims >= last[:, None] - BLUR) & (sims > -2)
+                for i in np.flatnonzero(close.sum(axis=1) > take):
+                    best[i] = _nearest(x, rows[i], np.flatnonzero(close[i]), take)
             exact = np.einsum("rd,rtd->rt", x[rows].astype(np.float64), x[best].astype(np.float64))
             exact[np.take_along_axis(sims, best, 1) <= -2] = -2
             order = np.lexsort((best, -exact.round(6)), axis=1)[:, : k + 1]
             best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
             kept = exact > -2
             left.append(np.repeat(ids[rows], kept.sum(axis=1)))
-            right.append(ids[best[kept]])
+            right.append(best[kept])
             cos.append(exact[kept])
-        return pd.DataFrame({"rep": np.concatenate(left), "other": np.concatenate(right), "cosine": np.concatenate(cos)})
+        right = np.concatenate(right)
+        return pd.DataFrame({"rep": np.concatenate(left), "other": ids[right], "first": names[right], "cosine": np.concatenate(cos)})
 
     return run
 
@@ -181,19 +253,14 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     bar = min(1.0, 1.2 * options.sample_rows / max(1, total))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(options.seed), "id"), 11)
     sample = rows.filter(place <= F.lit(int(bar * 2**53))).orderBy(place, "id").limit(options.sample_rows)
-    key = F.xxhash64("vector")
-    drawn = sample.select(F.size("vector").alias("dim"), key.alias("key"), "vector").filter("dim > 0").toArrow()
+    drawn = sample.select(F.size("vector").alias("dim"), "vector").filter("dim > 0").toArrow()
     if not drawn.num_rows:
         return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
-    sizes, keys = drawn["dim"].to_numpy(), drawn["key"].to_numpy()
-    dim = int(np.bincount(sizes).argmax())
-    pick = np.sort(np.unique(np.where(sizes == dim, keys, keys[sizes == dim][0]), return_index=True)[1])
-    pick = pick[sizes[pick] == dim]
-    x = np.asarray(drawn["vector"].combine_chunks().take(pick).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(pick), dim)
-    x = x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)]
+    dim = int(np.bincount(drawn["dim"].to_numpy()).argmax())
+    _, x, keys = _directions(drawn["vector"].combine_chunks(), dim)
+    x = _scaled(x[np.sort(np.unique(keys, return_index=True)[1])])
     if not len(x):
         return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
-    x /= np.abs(x).max(axis=1, keepdims=True)
     x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
     length = options.list_rows(total)
     count = min(max(2 * options.posts, -(-options.posts * total // length)), options.max_pivots, len(x))
@@ -213,19 +280,21 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
             keys = [list_keys(p, posts, long_) for p in perm]
             pick = np.repeat(np.arange(len(pdf)), [len(x) for x in keys])
             yield pd.DataFrame(
-                {"list": [",".join(map(str, y)) for x in keys for y in x], "rep": pdf["key"].to_numpy()[pick], "perm": [perm[i].tobytes() for i in pick], "packed": pdf["packed"].to_numpy()[pick]}
+                {"list": [",".join(map(str, y)) for x in keys for y in x], "rep": pdf["key"].to_numpy()[pick], "first": pdf["first"].to_numpy()[pick], "perm": [perm[i].tobytes() for i in pick], "packed": pdf["packed"].to_numpy()[pick]}
             )
 
-    # Copies of a vector are one key. A partition posts a key once; lists drop what several partitions posted.
-    packed = spread(rows.select(key.alias("key"), "vector")).mapInArrow(_pack(dim), "key long, packed binary")
-    posted = packed.mapInPandas(post, "list string, rep long, perm binary, packed binary")
-    found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, cosine double")
-    pairs = found.groupBy("rep", "other").agg(F.max("cosine").alias("cosine"))
-    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(F.round("cosine", 6).desc(), "other"))).filter(F.col("_n") <= k + 1).drop("_n")
+    # Copies of a vector are one key. A partition posts a key once, or twice if its smallest id came late; lists drop what
+    # was posted several times but for the smallest id.
+    packed = spread(rows).mapInArrow(_pack(dim), "key long, first string, packed binary")
+    posted = packed.mapInPandas(post, "list string, rep long, first string, perm binary, packed binary")
+    found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, first string, cosine double")
     if least is not None:
-        near = near.filter(F.col("cosine") >= least)
-    usable = (F.size("vector") == dim) & F.exists("vector", lambda v: v != 0) & F.forall("vector", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return _members(rows.filter(usable).select(key.alias("rep"), "id"), near, k)
+        # Those clearly below have places after all others; those equal to 6 digits don't.
+        found = found.filter(F.col("cosine") >= least - 1e-6)
+    pairs = found.groupBy("rep", "other").agg(F.max("cosine").alias("cosine"), F.min("first").alias("first"))
+    near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(F.round("cosine", 6).desc(), "first"))).filter(F.col("_n") <= k + 1).drop("_n", "first")
+    best = _members(spread(rows).mapInArrow(_members_of(dim), "id string, rep long").select("rep", "id"), near, k)
+    return best if least is None else best.filter(F.col("cosine") >= least)
 
 
 def _long_lists(perm, weight: float, posts: int, most: float) -> frozenset:
