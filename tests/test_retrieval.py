@@ -80,3 +80,11 @@ def test_decisions(spark):
     df = spark.createDataFrame([(0, None, 0), (2, 0.05, 2), (2, 0.9, 0), (1, 0.9, 1), (1, None, 1)], "n int, best double, kept int")
     d, r = R.recall_decision(F.col("n"), F.col("best"), F.col("kept"), 0.5)
     assert [tuple(x) for x in df.select(d, r).collect()] == [("abstain", "no_hits"), ("abstain", "best_relevance_below_min_score"), ("abstain", "char_budget_exhausted"), ("inject", "hits_above_threshold"), ("inject", "hits_above_threshold")]
+
+
+def test_equal_neighbours_fall_to_the_smallest_ids(spark):
+    rows = [(i, [1.0, 2.0, 0.1]) for i in range(300, 0, -1)] + [(i, [5.0, float(i), 1.0]) for i in range(301, 320)]
+    base = spark.createDataFrame(rows, "id long, v array<double>").coalesce(1)
+    asked = spark.createDataFrame([(7, [1.0, 2.0, 0.3]), (8, [1.0, 2.0, 0.1])], "q long, v array<double>")
+    got = {(r.q, r["rank"]): r.id for r in R.exact_neighbours(asked, base, 3, "q", "id", "v").collect()}
+    assert got == {(q, n): n for q in (7, 8) for n in (1, 2, 3)}

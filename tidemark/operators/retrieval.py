@@ -64,6 +64,13 @@ def _block_neighbours(spark, got, base: DataFrame, k: int, base_id: str, vector:
             b = batch.column(0).to_numpy()[good]
             far = np.maximum(((m * m).sum(1)[:, None] + (x * x).sum(1)[None]) - 2 * (m @ x.T), 0)
             near = np.argsort(far, axis=1, kind="stable")[:, : k + 8]
+            if k + 8 < len(good):
+                # More rows than these may be as near as the k-th one: then ids decide, on exact distances.
+                blur = 1e-9 * ((m * m).sum(1) + (x * x).sum(1).max())
+                close = far <= (np.take_along_axis(far, near[:, k - 1 : k], 1)[:, 0] + blur)[:, None]
+                for i in np.flatnonzero(close.sum(1) > k + 8):
+                    at = np.flatnonzero(close[i])
+                    near[i] = at[np.lexsort((b[at], ((m[i] - x[at]) ** 2).sum(1)))[: k + 8]]
             exact = ((m[:, None, :] - x[near]) ** 2).sum(2)
             cand = (np.repeat(ids, near.shape[1]), b[near].ravel(), exact.ravel())
             best = cand if best is None else tuple(np.concatenate(z) for z in zip(best, cand))
