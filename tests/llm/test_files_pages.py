@@ -36,6 +36,10 @@ FILES = {
     "p/src/o.c": ("/* quill 1.2.3 - https://quill.example/ */\n" + HAND, True),
     "p/src/q.c": ("// not vendored: we wrote this after reading their paper\n" + HAND, False),
     "p/src/r.py": ("", False),
+    "p/src/u.py": ("# Automatically generated from the inputs, do not edit\n" + HAND, True),
+    "p/src/v.c": ("/*\nTHIS FILE IS GENERATED BY toolx\n*/\n" + HAND, True),
+    "p/src/w.py": ('"""\nTables of the parser.\n\nCode generated by toolx. DO NOT EDIT.\n"""\n' + HAND, True),
+    "p/src/x.py": ('"""\nLoads files.\n"""\n' + HAND + 'HEAD = """\nCode generated by toolx. DO NOT EDIT.\n"""\n' + HAND, False),
 }
 
 

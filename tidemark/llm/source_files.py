@@ -67,7 +67,7 @@ não edite
 自動生成
 """.strip().split("\n")
 #: What undoes a notice.
-UNDONE = re.compile(r"used to be|no longer|not generated|kept by hand|not vendored|never minify|puts|adds|writes \"|instead of being")
+UNDONE = re.compile(r"used to be|no longer|not generated|kept by hand|not vendored|never minify|\bputs\b|\badds\b|writes \"|instead of being")
 #: A notice of origin: a name with a version, and where it came from or to whom it belongs.
 ORIGIN = re.compile(
     r"(?:imported unchanged|vendored from|copied (?:verbatim )?from|copy of|taken from|mirror of|origin:|upstream:|local changes:|kept in the tree)"
@@ -98,10 +98,29 @@ def shingle_hashes(text: str) -> list[int]:
     return [xxhash.xxh64_intdigest(" ".join(w[i : i + SHINGLE])) for i in range(len(w) - SHINGLE + 1)]
 
 
+def follow_blocks(lines: list[str], said: list) -> list:
+    """What lines say, those inside a block comment, or a docstring before any code, included; a block that has no end
+    here is left as it is."""
+    said, at = list(said), 0
+    while at < len(lines):
+        start = lines[at].lstrip()
+        end = "*/" if start.startswith("/*") else start[:3] if start[:3] in ('"""', "'''") and False not in said[:at] else None
+        if end and end not in start[len(end) :]:
+            last = next((i for i in range(at + 1, len(lines)) if end in lines[i]), None)
+            if last is not None:
+                for i in range(at + 1, last + 1):
+                    inside, _, after = lines[i].partition(end)
+                    said[i] = False if i == last and after.strip() else inside.strip().lstrip("*").strip() or None
+                at = last
+        at += 1
+    return said
+
+
 def notices(lines: list[str], automaton) -> tuple[bool, bool]:
     """Whether the comments before the first and after the last line of code give notice of generation, of origin."""
     said = [None if not x.strip() else (m.group(1) if (m := COMMENT.match(x)) else False) for x in lines]
     said = [False if x and BLOCK.sub("", y).strip() and y.lstrip().startswith("/*") and "*/" in y else x for x, y in zip(said, lines)]
+    said = follow_blocks(lines, said)
     code = [i for i, x in enumerate(said) if x is False]
     head = said[: code[0]] if code else said
     tail = said[code[-1] + 1 :] if code else []
