@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.llm.source_files import by_path, unwritten_files
+from tidemark.llm.source_files import GENERATED_NOTICES, LITERALS, by_path, measure, unwritten_files
 from tidemark.llm.stuffing import stuffed_pages, stuffing
 from pyspark.sql import functions as F
 
@@ -39,6 +39,20 @@ FILES = {
     "p/src/u.py": ("# Automatically generated from the inputs, do not edit\n" + HAND, True),
     "p/src/v.c": ("/*\nTHIS FILE IS GENERATED BY toolx\n*/\n" + HAND, True),
     "p/src/w.py": ('"""\nTables of the parser.\n\nCode generated by toolx. DO NOT EDIT.\n"""\n' + HAND, True),
+    "p/lic/a.go": ("// Licensed under the Apache License 2.0, see https://www.apache.org/licenses/LICENSE-2.0\n" + HAND, False),
+    "p/lic/b.go": ("// SPDX-License-Identifier: GPL-2.0 Copyright Acme\n" + HAND, False),
+    "p/lic/c.c": ("/*\n * Copyright (c) 2020 Acme\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n */\n" + HAND, False),
+    "p/lic/d.c": ("// MIT License. Copyright (c) 2019 The Authors\n// SPDX-License-Identifier: Apache-2.0 OR MIT\n" + HAND, False),
+    "p/lic/e.py": ("# Requires Python 3.11, see https://docs.example/ (c) us\n# This program is free software under the GNU General Public License version 3.0 or later\n" + HAND, False),
+    "p/lic/f.js": ("// Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed, obtain one at https://mozilla.example/MPL/2.0/.\n" + HAND, False),
+    "p/gen/a.go": ("// Code generated by stringer; adds String methods. DO NOT EDIT.\n" + HAND, True),
+    "p/gen/b.py": ("# This file is generated, it puts the rows in order\n" + HAND, True),
+    "p/gen/c.go": ("// DO NOT EDIT.\n" + HAND, True),
+    "p/gen/d.py": ("# This file is no longer automatically generated\n" + HAND, False),
+    "p/gen/e.py": ("# It was not automatically generated. Do not edit while the server runs.\n" + HAND, False),
+    "p/gen/f.py": ("# Generated from api.yaml - do not modify\n" + HAND, True),
+    "p/ven/a.c": ("// quill v1.2.3 | (c) quill contributors | MIT\n" + HAND, True),
+    "p/ven/b.c": ("# copied from quill 1.2.3 (upstream: https://code.example/quill); local changes: none\n" + HAND, True),
     "p/src/x.py": ('"""\nLoads files.\n"""\n' + HAND + 'HEAD = """\nCode generated by toolx. DO NOT EDIT.\n"""\n' + HAND, False),
 }
 
@@ -52,6 +66,39 @@ def test_files(spark):
     assert unwritten_files(df.limit(0), known).count() == 0 and unwritten_files(df, known.limit(0)).count() == len(got) - 2
 
 
+def test_known_sources_beyond_the_bound(spark):
+    df = spark.createDataFrame([(p, t) for p, (t, _) in FILES.items()] * 2 + [("p/none", None)], "file_path string, content string")
+    known = spark.createDataFrame([(LIB,), (None,)], "content string")
+    assert {tuple(r) for r in unwritten_files(df, known, most_known=3).collect()} == {tuple(r) for r in unwritten_files(df, known).collect()}
+
+
+LONG = {
+    "numbers": "-0.30594, -0.37448, -0.86617, " * 10_000, "cut": "-0.30594, " * 10_000 + "-", "digits": "7" * 100_000 + "!", "quotes": "'" * 50_001 + '"', "blocks": "/*" * 50_000 + "1.2 (c)",
+    "versions": "// " + "1.2 " * 30_000 + "!", "names": "// " + "a-1" * 30_000 + "!", "licences": "// " + "apache " * 20_000 + "1.2", "froms": "// copy of 1 " + "origin: upstream: " * 6_000, "nots": "# " + "not " * 25_000,
+    "opens": "/* open\n" * 12_000, "docs": "\"\"\" x\n" * 12_001, "hits": "# do not edit by hand " * 5_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_lines_take_linear_time(name):
+    import time
+
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for i, phrase in enumerate(GENERATED_NOTICES):
+        automaton.add_word(phrase, i)
+    automaton.make_automaton()
+    began = time.process_time()
+    measure(LONG[name], automaton, frozenset())
+    assert time.process_time() - began < 1.5
+
+
+def test_literal_lines():
+    for text, yes in {"-0.30594, -0.37448, -": True, "[0x1F, 'a\\'b', null],": True, "x = 1": False, "nullable, 1": False, "-0.3059, -0.37448 !": False, '"open, 1': False, "{'a': 1.5e-7}": True}.items():
+        assert bool(LITERALS.fullmatch(text)) == yes, text
+
+
 def test_paths(spark):
     cases = {"a\\vendor\\x\\y.c": "vendored", "a/b_pb2.py": "generated", "a/x.pb.go": "generated", "a/Cargo.lock": "lockfile", "a/bundle.js": None, "a/app.bundle.js": "minified", "a/externals/x.c": None, "a/min_heap.go": None, "a/report_generated_at.py": None}
     df = spark.createDataFrame([(p,) for p in cases], "p string")

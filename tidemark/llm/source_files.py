@@ -66,13 +66,21 @@ não edite
 自动生成
 自動生成
 """.strip().split("\n")
-#: What undoes a notice.
-UNDONE = re.compile(r"used to be|no longer|not generated|kept by hand|not vendored|never minify|\bputs\b|\badds\b|writes \"|instead of being")
-#: A notice of origin: a name with a version, and where it came from or to whom it belongs.
-ORIGIN = re.compile(
-    r"(?:imported unchanged|vendored from|copied (?:verbatim )?from|copy of|taken from|mirror of|origin:|upstream:|local changes:|kept in the tree)"
-    r".*?\d+\.\d+|\d+\.\d+(?:\.\d+)?.*?(?:\(c\)|©|copyright|https?://|imported unchanged|upstream|kept in the tree|local changes)"
+#: What undoes a notice that follows within two words; "do not" is part of a notice, not its denial.
+UNDONE = re.compile(r"(?:\bused to be|\bno longer|n't|\bnever|\binstead of being|\brather than|(?<!\bdo )\bnot)(?: \w+){0,2} ?$")
+#: A whole comment that forbids edits, and such a ban beside a word of generation.
+BAN = re.compile(r"\bdo not (?:edit|modify|change|touch)\b")
+ONLY_BAN = re.compile(r"\W*(?:(?:warning|note|attention)\W+)?do not (?:edit|modify|change|touch)(?: this file)?\W*")
+#: Licence texts, which tell nothing about who wrote the file, with their versions.
+LICENCE = re.compile(
+    r"spdx-[a-z-]+: ?[^|]{0,120}|https?://\S*licen[sc]e\S*|\b(?:apache|mozilla|eclipse|gnu|boost|artistic|academic|creative commons|open software|python|microsoft)"
+    r"[^|.;]{0,60}?licen[sc]e[^|.;]{0,30}?(?:v\.? ?)?\d++(?:\.\d++)*|\b(?:apache|[al]?gpl|mpl|epl|cddl|bsl|afl|osl|ms-pl|cc[ -]by[a-z-]*)[ -]?v?\d++(?:\.\d++)*|\b[a-z]+-\d++(?:\.\d++)* licen[sc]e"
 )
+#: A name with a version, in lower case: ``name 1.2``, ``name v1.2.3``, ``name-1.2`` or ``name (1.2)``.
+NAMED = re.compile(r"(?<![\w.+-])[a-z][a-z0-9_+.-]*(?: ?\(| |-|@)(?:version |v)?\d++\.\d++")
+LEADING_NAMED = re.compile(r"[^\w(]*" + NAMED.pattern)
+FROM = re.compile(r"imported unchanged|vendored from|copied (?:verbatim )?from|copy of|taken from|mirror of|origin:|upstream:|local changes:|kept in the tree")
+OWNED = re.compile(r"\(c\)|©|\bcopyright\b|https?://")
 #: Path rules, over the path with a slash before it, in lower case.
 VENDORED_PATH = r"/(third[_-]?party|3rd[_-]?party|vendor|vendors|vendored|node_modules|bower_components|site-packages)/.|/(extern|external|externals|deps|libs?|contrib)/[^/]+[@-]v?\d+(\.\d+)+[^/]*/|/extern/[^/]+/."
 GENERATED_PATH = r"/(__generated__|generated|autogen)/|/zz_generated|\.(gen|generated|pb|g|designer)\.[a-z]+$|_pb2(_grpc)?\.[a-z]+$|_autogen(_[a-z0-9]+)?\.[a-z]+$|\.pb\.(go|cc|h)$"
@@ -80,12 +88,13 @@ MINIFIED_PATH = r"[.-]min\.[a-z]+$|\.(bundle|chunk)\.[a-z]+$"
 LOCK_PATH = r"/(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|cargo\.lock|poetry\.lock|pipfile\.lock|gemfile\.lock|go\.sum|composer\.lock)$"
 
 COMMENT = re.compile(r"^\s*(?://+!?|#+!?(?!include|define|if|endif|else|pragma|undef)|/\*+!?|\*+(?:/|\s|$)|<!--|--\s|;+|%+|\"\"\"|''')\s*(.*)$")
-BLOCK = re.compile(r"/\*.*?\*/")
 QUOTED = re.compile(r"\"[^\"]*\"|'[^'\s][^']*'|`[^`]*`")
 LINES = re.compile(r"\r\n|[\r\n\v\f\x85  ]")
 NAME = re.compile(r"[A-Za-z_$][\w$]*")
 WORDS = re.compile(r"\w+")
-LITERALS = re.compile(r"\s*(?:(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[-+]?(?:0[xX][0-9a-fA-F]+|\.?\d[\w.]*)|[\[\](){},:;]|null|None|nil|true|false)\s*)+")
+#: A line of literals and nothing else; its last number may be cut off at the sign. Nothing is given back once it has
+#: matched (possessive), so a line is read once, whatever it holds.
+LITERALS = re.compile(r"(?>\s++|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|[-+]?\.?\d[\w.]*+|[\[\](){},:;]|(?:null|None|nil|true|false)\b)*+[-+]?")
 SHINGLE = 5
 FEATURES = "notice int, origin int, lines int, templates int, shown int, literal int, literal_size int, size int, dense int, shingles int, known int"
 
@@ -101,33 +110,70 @@ def shingle_hashes(text: str) -> list[int]:
 def follow_blocks(lines: list[str], said: list) -> list:
     """What lines say, those inside a block comment, or a docstring before any code, included; a block that has no end
     here is left as it is."""
-    said, at = list(said), 0
+    said, at, coded, endless = list(said), 0, False, set()
     while at < len(lines):
         start = lines[at].lstrip()
-        end = "*/" if start.startswith("/*") else start[:3] if start[:3] in ('"""', "'''") and False not in said[:at] else None
-        if end and end not in start[len(end) :]:
+        end = "*/" if start.startswith("/*") else start[:3] if not coded and start[:3] in ('"""', "'''") else None
+        if end and end not in endless and end not in start[len(end) :]:
             last = next((i for i in range(at + 1, len(lines)) if end in lines[i]), None)
-            if last is not None:
+            if last is None:
+                endless.add(end)
+            else:
                 for i in range(at + 1, last + 1):
                     inside, _, after = lines[i].partition(end)
                     said[i] = False if i == last and after.strip() else inside.strip().lstrip("*").strip() or None
+                coded = coded or said[at] is False
                 at = last
+        coded = coded or said[at] is False
         at += 1
     return said
 
 
+def without_blocks(line: str, put: str = "") -> str:
+    """A line without the block comments that open and close in it; each place is looked at once."""
+    if "/*" not in line:
+        return line
+    out, at = [], 0
+    while (start := line.find("/*", at)) >= 0 and (end := line.find("*/", start + 2)) >= 0:
+        out += [line[at:start], put]
+        at = end + 2
+    return "".join([*out, line[at:]])
+
+
+def says_generated(said: str, automaton) -> bool:
+    """Whether a comment (in lower case, single spaces) gives notice of generation that its own words don't undo."""
+    if ONLY_BAN.fullmatch(said):
+        return True
+    hits = [end - len(GENERATED_NOTICES[i]) + 1 for end, i in automaton.iter(said)]
+    if "generated" in said and BAN.search(said):
+        hits.append(said.index("generated"))
+    return any(not UNDONE.search(said[max(0, at - 80) : at]) for at in hits)
+
+
+def says_origin(said: str) -> bool:
+    """Whether a comment (in lower case, single spaces) names the library and version it was taken from: after a word of
+    origin or before one, or as a title with an owner or address behind it. Licence texts and their versions don't count."""
+    if not any(x.isdigit() for x in said):
+        return False
+    said = LICENCE.sub(" | ", said)
+    if (named := NAMED.search(said)) is None:
+        return False
+    if (word := FROM.search(said)) and (FROM.search(said, named.end()) or NAMED.search(said, word.end())):
+        return True
+    title = LEADING_NAMED.match(said)
+    return bool(title and OWNED.search(said, title.end()))
+
+
 def notices(lines: list[str], automaton) -> tuple[bool, bool]:
     """Whether the comments before the first and after the last line of code give notice of generation, of origin."""
     said = [None if not x.strip() else (m.group(1) if (m := COMMENT.match(x)) else False) for x in lines]
-    said = [False if x and BLOCK.sub("", y).strip() and y.lstrip().startswith("/*") and "*/" in y else x for x, y in zip(said, lines)]
+    said = [False if x and y.lstrip().startswith("/*") and "*/" in y and without_blocks(y).strip() else x for x, y in zip(said, lines)]
     said = follow_blocks(lines, said)
     code = [i for i, x in enumerate(said) if x is False]
     head = said[: code[0]] if code else said
     tail = said[code[-1] + 1 :] if code else []
-    comments = [QUOTED.sub(" ", x).lower() for x in [*head, *tail] if x]
-    told = [x for x in comments if not UNDONE.search(x)]
-    generated = any(True for x in told for _ in automaton.iter(x))
-    return generated, any(ORIGIN.search(x) for x in told)
+    comments = [" ".join(QUOTED.sub(" ", x).lower().split()) for x in [*head, *tail] if x]
+    return any(says_generated(x, automaton) for x in comments), any(says_origin(x) for x in comments)
 
 
 def measure(text: str, automaton, known: frozenset) -> tuple:
@@ -135,7 +181,7 @@ def measure(text: str, automaton, known: frozenset) -> tuple:
     lines = LINES.split(text)
     generated, origin = notices(lines, automaton)
     shown = [x.strip() for x in lines if x.strip()]
-    code = [y for x in shown if (y := BLOCK.sub("", x).strip()) and not COMMENT.match(y)]
+    code = [y for x in shown if (y := without_blocks(x).strip()) and not COMMENT.match(y)]
     templates = len({re.sub(r"\d+", "9", x) for x in code})
     literal = [x for x in code if LITERALS.fullmatch(x) and WORDS.search(x)]
     dense = 0
@@ -168,22 +214,45 @@ def _measurer(columns: list[str], known):
     return run
 
 
-def known_shingles(upstream: DataFrame, text_col: str, most: int = 500_000):
-    """Hashes of all shingles of the known sources, for every task; their number is checked first."""
-    spark = upstream.sparkSession
+def _shingles_of(columns: list[str]):
+    """Arrow function: the columns before the text, and each different shingle of the text with its number."""
 
     def run(batches):
+        from collections import Counter
+
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = np.array(sorted({h for t in batch.column(0).to_pylist() for h in shingle_hashes(t or "")}), np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
+            found = [Counter(shingle_hashes(t or "")) for t in batch.column(len(columns)).to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            h = np.fromiter((h for x in found for h in x), np.uint64, len(row)).view(np.int64)
+            n = np.fromiter((n for x in found for n in x.values()), np.int32, len(row))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in range(len(columns))), pa.array(h), pa.array(n)], [*columns, "h", "n"])
+
+    return run
+
+
+def known_shingles(upstream: DataFrame, text_col: str) -> DataFrame:
+    """``h``: the different hashes of the shingles of the known sources."""
+    return spread(upstream.select(text_col)).mapInArrow(_shingles_of([]), "h long, n int").select("h").distinct()
+
 
-    rows = upstream.select(text_col).mapInArrow(run, "h long").distinct().limit(most + 1).toPandas()["h"].to_numpy()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} shingles of known sources: pass them in parts")
-    return spark.sparkContext.broadcast(frozenset(rows.astype("uint64").tolist()))
+def _measured(rows: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """``path`` and FEATURES per segment. Hashes of known sources go to every task while they are at most ``most``. Beyond
+    that the segments' shingles meet them in a join by hash: known hashes are unique there, so a shingle that a third of
+    all segments have can be split, and counts per segment combine before they move."""
+    spark = rows.sparkSession
+    few = known.limit(most + 1).toPandas()["h"].to_numpy()
+    if len(few) <= most:
+        shared = spark.sparkContext.broadcast(frozenset(few.astype("int64").view("uint64").tolist()))
+        return rows.mapInArrow(_measurer(["path"], shared), "path string, " + FEATURES)
+    keyed = rows.withColumn("seg", F.xxhash64("path", F.sha2("text", 256))).select("path", "seg", "text")
+    plain = keyed.mapInArrow(_measurer(["path", "seg"], spark.sparkContext.broadcast(frozenset())), "path string, seg long, " + FEATURES).drop("known")
+    # Repeated segments count their shingles once here, as they share their key.
+    once = keyed.dropDuplicates(["seg"]).select("seg", "text")
+    met = once.mapInArrow(_shingles_of(["seg"]), "seg long, h long, n int").join(known, "h").groupBy("seg").agg(F.sum("n").cast("int").alias("known"))
+    return plain.join(met, "seg", "left").select(*plain.columns, F.coalesce("known", F.lit(0)).alias("known")).drop("seg")
 
 
 def by_path(path: Column) -> Column:
@@ -192,13 +261,14 @@ def by_path(path: Column) -> Column:
     return F.when(p.rlike(VENDORED_PATH), "vendored").when(p.rlike(MINIFIED_PATH), "minified").when(p.rlike(GENERATED_PATH), "generated").when(p.rlike(LOCK_PATH), "lockfile")
 
 
-def unwritten_files(segments: DataFrame, upstream: DataFrame, path_col: str = "file_path", text_col: str = "content", upstream_text: str = "content", similar: float = 0.8) -> DataFrame:
+def unwritten_files(segments: DataFrame, upstream: DataFrame, path_col: str = "file_path", text_col: str = "content", upstream_text: str = "content", similar: float = 0.8, most_known: int = 500_000) -> DataFrame:
     """``path, reason`` (generated, minified, vendored, data or lockfile) of the files not written by hand; a file
     counts if one of its segments shows it. Null paths are ignored, null and empty contents show nothing, repeated
     segments change nothing; empty tables give an empty result. ``similar``: share of a segment's five-word shingles
-    that known third-party sources have, from which it is a copy."""
+    that known third-party sources have, from which it is a copy. ``most_known``: different shingles of known sources
+    that every task may hold (a set of half a million is some 50 MB); more are joined, with the same result."""
     rows = spread(segments.select(F.col(path_col).alias("path"), F.col(text_col).alias("text")).filter("path is not null"))
-    measured = rows.mapInArrow(_measurer(["path"], known_shingles(upstream, upstream_text)), "path string, " + FEATURES)
+    measured = _measured(rows, known_shingles(upstream, upstream_text), most_known)
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     flags = {
         "generated": (F.col("notice") == 1) | ((F.col("shown") >= 8) & (share("templates", "shown") <= 0.35)),
