@@ -88,3 +88,48 @@ def test_equal_neighbours_fall_to_the_smallest_ids(spark):
     asked = spark.createDataFrame([(7, [1.0, 2.0, 0.3]), (8, [1.0, 2.0, 0.1])], "q long, v array<double>")
     got = {(r.q, r["rank"]): r.id for r in R.exact_neighbours(asked, base, 3, "q", "id", "v").collect()}
     assert got == {(q, n): n for q in (7, 8) for n in (1, 2, 3)}
+
+
+def brute_bm25(queries, docs, k):
+    import math
+    import re
+
+    split = {d: [w.lower() for w in re.findall(r"[A-Za-z0-9_]+", t or "")] for d, t in docs}
+    n, mean = len(split), sum(map(len, split.values())) / len(split)
+    out = set()
+    for q, text in queries:
+        words = {w.lower() for w in re.findall(r"[A-Za-z0-9_]+", text or "")}
+        df = {w: sum(w in s for s in split.values()) for w in words}
+        scores = {}
+        for d, s in split.items():
+            got = [math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * s.count(w) * 2.2 / (s.count(w) + 1.2 * (0.25 + 0.75 * len(s) / mean)) for w in words if w in s]
+            if got:
+                scores[d] = round(sum(got), 9)
+        best = sorted(scores, key=lambda d: (-scores[d], d))[:k]
+        out |= {(q, d, i + 1) for i, d in enumerate(best)}
+    return out
+
+
+def test_bm25_in_several_passes_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(f"d{i:03d}", rng.choice([None, "", " ".join(rng.choices("the Cat dog mouse the the owl fox_1 é zebra".split(), k=rng.randrange(30)))])) for i in range(120)] + [("long", "the cat " * 20_000)]
+    asked = [(i, " ".join(rng.choices("the cat dog mouse owl fox_1 nothing THE".split(), k=rng.randrange(6)))) for i in range(40)] + [(40, None), (None, "cat")]
+    d = spark.createDataFrame([(*x, "clash") for x in docs], "d string, t string, score string").repartition(3)
+    q = spark.createDataFrame([(*x, "clash") for x in asked], "q long, t string, term string")
+    want = brute_bm25([x for x in asked if x[0] is not None], docs, 5)
+    for most in (7, 10**6):
+        monkeypatch.setattr(R, "TERM_BLOCK", most)
+        assert {(r.q, r.d, r["rank"]) for r in R.bm25(q, d, 5, "q", "t", "d", "t").collect()} == want
+    assert R.bm25(q, d.limit(0), 5, "q", "t", "d", "t").count() == 0 and R.bm25(q.limit(0), d, 5, "q", "t", "d", "t").count() == 0
+
+
+def test_neighbours_of_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(R, "STEP", 2)
+    rng = random.Random(3)
+    rows = [(f"s{i}", [float(rng.randrange(3)) for _ in range(3)]) for i in range(60)] + [(None, [1.0, 1.0, 1.0]), ("null", None)]
+    df = spark.createDataFrame(rows, "id string, v array<float>").repartition(3)
+    got = {(r.q, r.id, r["rank"]) for r in R.exact_neighbours(df.withColumnRenamed("id", "q"), df, 4, "q", "id", "v").collect()}
+    known = [r for r in rows if r[0] and r[1]]
+    want = {(q, i, n + 1) for q, v in known for n, (_, i) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i) for i, w in known)[:4])}
+    assert got == want

@@ -10,79 +10,130 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import cut_text
-from tidemark.session import spread
+from tidemark.session import cut_lineage, spread, write_shared
 
 RRF_K = 60
-#: Query vectors one pass may hold in memory per task (10,000 of 384 floats are 15 MB); more go in several passes.
+#: Queries that one pass holds in memory per task (10,000 vectors of 384 doubles are 31 MB); more go in several passes.
 QUERY_BLOCK = 10_000
+#: Terms of the queries that one pass holds in memory per task, repeated ones too.
+TERM_BLOCK = 200_000
+#: Queries a task scores at once; its largest temporary has so many rows of the base's batch.
+STEP = 256
+
+
+def _passes(rows: DataFrame, key: str, weight: Column, most: int):
+    """The rows in blocks of about ``most`` by weight, each as Arrow. What needs several blocks is written once, a folder
+    per block, so a pass reads its own rows only."""
+    total = rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    if total == 0:
+        return
+    if total <= most:
+        yield rows.toArrow()
+        return
+    # A block may hold a quarter more than the mean; several times that is no concern.
+    count = -(-total // most) + 1
+    stored = write_shared(rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(17), key), F.lit(count))), "_block")
+    for i in range(count):
+        got = stored.filter(F.col("_block") == i).drop("_block").toArrow()
+        if got.num_rows:
+            yield got
 
 
 def exact_neighbours(queries: DataFrame, base: DataFrame, k: int, query_id: str, base_id: str, vector: str) -> DataFrame:
     """``query_id, base_id, distance, rank``: the k rows of ``base`` nearest to each query by squared distance, ties by
-    id. The base is read once per block of queries and never moved: each task keeps the k best of its own rows, and
-    only those are shuffled. Null vectors and such of unlike lengths have no neighbours."""
+    id. Ids keep their types (numbers or text). The base is read once per block of queries and never moved: each task
+    keeps the k best of its own rows, and only those are shuffled. Null ids and vectors, and vectors of another length than
+    most queries of the block, have no neighbours."""
     spark = base.sparkSession
-    blocks, offset = [], 0
-    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).filter("q is not null and v is not null")
-    ordered = rows.orderBy("q")
-    total = rows.count()
-    while offset < total:
-        got = ordered.offset(offset).limit(QUERY_BLOCK).toArrow()
-        blocks.append(_block_neighbours(spark, got, base, k, base_id, vector))
-        offset += QUERY_BLOCK
-    if not blocks:
-        return spark.createDataFrame([], f"{query_id} long, {base_id} long, distance double, rank int")
-    found = blocks[0]
-    for b in blocks[1:]:
-        found = found.unionByName(b)
+    rows = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).filter("q is not null and v is not null")
+    found = None
+    for got in _passes(rows, "q", F.lit(1), QUERY_BLOCK):
+        part = _block_neighbours(spark, got, rows.schema["q"].dataType, base, k, base_id, vector)
+        found = part if found is None else found.unionByName(part)
+    kinds = f"{query_id} {rows.schema['q'].dataType.simpleString()}, {base_id} {base.schema[base_id].dataType.simpleString()}"
+    if found is None:
+        return spark.createDataFrame([], f"{kinds}, distance double, rank int")
     place = F.row_number().over(Window.partitionBy("q").orderBy("distance", "b"))
     best = found.withColumn("rank", place).filter(F.col("rank") <= k)
     return best.select(F.col("q").alias(query_id), F.col("b").alias(base_id), "distance", "rank")
 
 
-def _block_neighbours(spark, got, base: DataFrame, k: int, base_id: str, vector: str) -> DataFrame:
+def _ranks(ids):
+    """Numbers in the order of the ids, for sorting by several keys."""
     import numpy as np
 
-    sizes = got["v"].combine_chunks().value_lengths().to_numpy()
+    return np.unique(ids, return_inverse=True)[1].reshape(ids.shape) if ids.dtype == object else ids
+
+
+def _keep_best(best, at: slice, score, ids, k: int) -> None:
+    """Merge candidates (rows x any number; smaller scores are better, infinite ones are none) into the k best so far."""
+    import numpy as np
+
+    scores, names = best
+    changed = np.flatnonzero(score.min(axis=1) <= scores[at, -1])
+    if not len(changed):
+        return
+    rows = np.arange(at.start, at.stop)[changed]
+    all_scores, all_ids = np.concatenate([scores[rows], score[changed]], 1), np.concatenate([names[rows], ids[changed]], 1)
+    order = np.lexsort((_ranks(all_ids), all_scores), axis=1)[:, :k]
+    scores[rows], names[rows] = np.take_along_axis(all_scores, order, 1), np.take_along_axis(all_ids, order, 1)
+
+
+def _best_batch(ids, best, sign: float, q_type, b_type):
+    """What a task found: query, id and score of its best rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    row, col = np.nonzero(np.isfinite(best[0]))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)).cast(q_type), pa.array(best[1][row, col], b_type), pa.array(sign * best[0][row, col])], ["q", "b", "score"])
+
+
+def _block_neighbours(spark, got, q_kind, base: DataFrame, k: int, base_id: str, vector: str) -> DataFrame:
+    import numpy as np
+
+    vecs = got["v"].combine_chunks()
+    sizes = vecs.value_lengths().to_numpy()
     dim = int(np.bincount(sizes).argmax())
     keep = np.flatnonzero(sizes == dim)
-    matrix = got["v"].combine_chunks().take(keep).flatten().to_numpy(zero_copy_only=False).reshape(len(keep), dim)
-    shared = spark.sparkContext.broadcast((got["q"].to_numpy()[keep], matrix))
+    matrix = vecs.take(keep).flatten().to_numpy(zero_copy_only=False).reshape(len(keep), dim)
+    shared = spark.sparkContext.broadcast((got["q"].combine_chunks().take(keep), matrix))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         ids, m = shared.value
-        best = None
+        mm, best = (m * m).sum(1), None
         for batch in batches:
-            vecs = batch.column(1)
-            good = np.flatnonzero(vecs.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
+            good = np.flatnonzero(batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim)
             if not len(good):
                 continue
-            x = np.asarray(vecs.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(good), dim)
-            b = batch.column(0).to_numpy()[good]
-            far = np.maximum(((m * m).sum(1)[:, None] + (x * x).sum(1)[None]) - 2 * (m @ x.T), 0)
-            near = np.argsort(far, axis=1, kind="stable")[:, : k + 8]
-            if k + 8 < len(good):
-                # More rows than these may be as near as the k-th one: then ids decide, on exact distances.
-                blur = 1e-9 * ((m * m).sum(1) + (x * x).sum(1).max())
-                close = far <= (np.take_along_axis(far, near[:, k - 1 : k], 1)[:, 0] + blur)[:, None]
-                for i in np.flatnonzero(close.sum(1) > k + 8):
-                    at = np.flatnonzero(close[i])
-                    near[i] = at[np.lexsort((b[at], ((m[i] - x[at]) ** 2).sum(1)))[: k + 8]]
-            exact = ((m[:, None, :] - x[near]) ** 2).sum(2)
-            cand = (np.repeat(ids, near.shape[1]), b[near].ravel(), exact.ravel())
-            best = cand if best is None else tuple(np.concatenate(z) for z in zip(best, cand))
-            order = np.lexsort((best[1], best[2], best[0]))
-            best = tuple(z[order] for z in best)
-            start = np.r_[0, np.flatnonzero(np.diff(best[0])) + 1]
-            rank = np.arange(len(best[0])) - np.repeat(start, np.diff(np.r_[start, len(best[0])]))
-            best = tuple(z[rank < k] for z in best)
+            x = np.asarray(batch.column(1).take(pa.array(good)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(good), dim)
+            b = batch.column(0).take(pa.array(good)).to_numpy(zero_copy_only=False)
+            order = np.argsort(b, kind="stable")
+            x, b = x[order], b[order]
+            if best is None:
+                best, b_type = (np.full((len(m), k), np.inf), np.full((len(m), k), b[0], b.dtype)), batch.column(0).type
+            xx, t = (x * x).sum(1), min(k + 8, len(x))
+            for start in range(0, len(m), STEP):
+                at = slice(start, min(start + STEP, len(m)))
+                far = np.maximum(mm[at, None] + xx[None] - 2 * (m[at] @ x.T), 0)
+                near = np.argpartition(far, t - 1, axis=1)[:, :t]
+                if t < len(x):
+                    # More rows than these may be as near as the k-th one: then ids decide, on exact distances.
+                    edge = np.partition(np.take_along_axis(far, near, 1), k - 1, axis=1)[:, k - 1]
+                    close = far <= (edge + 1e-9 * (mm[at] + xx.max()))[:, None]
+                    for i in np.flatnonzero(close.sum(1) > t):
+                        there = np.flatnonzero(close[i])
+                        near[i] = there[np.lexsort((there, ((m[start + i] - x[there]) ** 2).sum(1)))[:t]]
+                exact = ((m[at, None, :] - x[near]) ** 2).sum(2)
+                _keep_best(best, at, exact, b[near], k)
         if best is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1].astype(np.int64)), pa.array(best[2])], ["q", "b", "distance"])
+            yield _best_batch(ids, best, 1.0, ids.type, b_type)
 
-    return base.select(F.col(base_id).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "q long, b long, distance double")
+    b_kind = base.schema[base_id].dataType
+    rows = base.select(F.col(base_id), F.col(vector).cast("array<double>")).filter(F.col(base_id).isNotNull())
+    return rows.mapInArrow(run, f"q {q_kind.simpleString()}, b {b_kind.simpleString()}, score double").withColumnRenamed("score", "distance")
 
 
 def terms(text: Column) -> Column:
@@ -91,23 +142,91 @@ def terms(text: Column) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query_id, doc_id, score, rank``: the k best documents of each query by BM25, ties by id. Postings are counted
-    per (term, document) before they move; only terms of the queries are kept, by a semi-join, so a frequent word that
-    no query has costs nothing. Null and empty texts are documents without terms."""
-    q = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term"))
-    split = spread(docs.select(doc_id, doc_text)).select(F.col(doc_id).alias("d"), terms(F.coalesce(F.col(doc_text), F.lit(""))).alias("all"))
-    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("all")).alias("mean"))
-    wanted = q.select("term").distinct()
-    tf = split.select("d", F.size("all").alias("len"), F.explode("all").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "d", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = (
-        q.join(tf, "term").join(df, "term").join(F.broadcast(stats))  # one row
-        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("w", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean"))))
-        .groupBy("q", "d").agg(F.round(F.sum("w"), 9).alias("score"))
-    )
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "d"))
-    return scored.withColumn("rank", place).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("d").alias(doc_id), "score", "rank")
+    """``query_id, doc_id, score, rank``: the k best documents of each query by BM25, ties by id. Null and empty texts are
+    documents without terms; null ids are left out; repeated rows of a document are documents each.
+
+    One pass counts in how many documents each term of the queries is (combined before the shuffle), the next scores
+    documents where they lie, in blocks of queries: a word that half of all queries and documents have adds numbers in a
+    task's block and never pairs to a shuffle. Each task keeps the k best of its own documents."""
+    spark = docs.sparkSession
+    asked = queries.select(F.col(query_id).alias("q"), F.array_sort(F.array_distinct(terms(F.coalesce(F.col(query_text), F.lit(""))))).alias("terms")).filter("q is not null and size(terms) > 0")
+    texts = spread(docs.select(F.col(doc_id).alias("d"), F.coalesce(F.col(doc_text), F.lit("")).alias("text")).filter("d is not null"))
+    kinds = f"q {asked.schema['q'].dataType.simpleString()}, b {docs.schema[doc_id].dataType.simpleString()}, score double"
+    # A document's row with the empty term carries its length, so that one pass over the texts gives all counts.
+    split = texts.select(terms(F.col("text")).alias("all"))
+    marked = split.select(F.size("all").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("all"))).alias("term"))
+    wanted = asked.select(F.explode("terms").alias("term")).distinct().unionByName(spark.createDataFrame([("",)], "term string"))
+    counts = cut_lineage(marked.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("words")))
+    whole = counts.filter("term = ''").first()
+    found = None
+    if whole is not None and whole["df"] and whole["words"]:
+        n, mean = whole["df"], whole["words"] / whole["df"]
+        exploded = asked.select("q", F.posexplode("terms").alias("at", "term")).join(counts.select("term", "df"), "term", "left")
+        weighed = exploded.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term", "df"))), lambda x: F.struct(x["term"].alias("term"), x["df"].alias("df"))).alias("terms"))
+        for got in _passes(weighed, "q", F.size("terms"), TERM_BLOCK):
+            part = texts.mapInArrow(_scorer(spark, got, k, n, mean, k1, b), kinds)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], kinds)
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "b"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("b").alias(doc_id), "score", "rank")
+
+
+def _scorer(spark, got, k: int, n: int, mean: float, k1: float, b: float):
+    """Arrow function: the k best of the partition's documents for each query of a block. ``got``: q, terms (term, df)."""
+    import numpy as np
+
+    lists = got["terms"].to_pylist()
+    vocabulary: dict = {}
+    each = []
+    for terms_ in lists:
+        pairs = [(vocabulary.setdefault(t["term"], len(vocabulary)), np.log(1 + (n - t["df"] + 0.5) / (t["df"] + 0.5))) for t in terms_ if t["df"]]
+        each.append(pairs)
+    shared = spark.sparkContext.broadcast((got["q"].combine_chunks(), each, vocabulary))
+
+    def run(batches):
+        import re
+        from collections import Counter
+
+        import numpy as np
+
+        ids, asked, known = shared.value
+        word = re.compile(r"[A-Za-z0-9_]+")
+        best = None
+        for batch in batches:
+            b_type, names = batch.column(0).type, batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(names):
+                continue
+            if best is None:
+                best = (np.full((len(asked), k), np.inf), np.full((len(asked), k), names[0], names.dtype))
+            postings: dict = {}
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                said = word.findall(text)
+                length = k1 * (1 - b + b * len(said) / mean)
+                for t, tf in Counter(map(str.lower, said)).items():
+                    if (at := known.get(t)) is not None:
+                        postings.setdefault(at, ([], []))
+                        postings[at][0].append(i)
+                        postings[at][1].append(tf * (k1 + 1) / (tf + length))
+            postings = {t: (np.array(where), np.array(weight)) for t, (where, weight) in postings.items()}
+            total = np.zeros(len(names))
+            for q, pairs in enumerate(asked):
+                seen = [(postings[t], idf) for t, idf in pairs if t in postings]
+                if not seen:
+                    continue
+                for (where, weight), idf in seen:
+                    total[where] += idf * weight
+                touched = np.unique(np.concatenate([where for (where, _), _ in seen])) if len(seen) > 1 else seen[0][0][0]
+                score = total[touched].round(9)
+                total[touched] = 0.0
+                if len(score) > k:
+                    keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    touched, score = touched[keep], score[keep]
+                _keep_best(best, slice(q, q + 1), -score[None], names[touched][None], k)
+        if best is not None:
+            yield _best_batch(ids, best, -1.0, ids.type, b_type)
+
+    return run
 
 
 def reciprocal_rank_fusion(lists: DataFrame, query: list[str], identity: list[str], rank: str, limit: int, k: int = RRF_K) -> DataFrame:

@@ -11,9 +11,10 @@ from tidemark.session import read_table
 
 QUERIES, SQL = {}, {}
 C = F.col
-#: Texts of the query batch; their vectors are those of embeddings 1, 2, ...
-TEXTS = ("token store", "retry queue before the release", "schema migration", "how does the cursor table recover?", "lock file", "billing_export", "merge step", "zzz-nothing")
-_QTAB = "(VALUES " + ", ".join(f"({i + 1}, '{t}')" for i, t in enumerate(TEXTS)) + ") q(qid, qtext)"
+#: The query batch of text searches: the first line with a word of every document whose id is divisible by 50, with the
+#: vector of the same id.
+FIRST_LINE = r"[^\n\r]*[A-Za-z0-9_][^\n\r]*"
+_QTAB = f"(SELECT doc_id qid, regexp_extract(coalesce(text, ''), '{FIRST_LINE}', 0) qtext FROM documents WHERE doc_id % 50 = 0)"
 
 
 def query(name: str, sql: str | None = None):
@@ -26,8 +27,9 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def texts(spark):
-    return spark.createDataFrame([(i + 1, t) for i, t in enumerate(TEXTS)], "qid long, qtext string")
+def texts(spark, sf):
+    d = read_table(spark, sf, "documents").filter("doc_id % 50 = 0")
+    return d.select(C("doc_id").alias("qid"), F.regexp_extract(F.coalesce("text", F.lit("")), FIRST_LINE, 0).alias("qtext"))
 
 
 _DIST = "list_sum(list_transform(list_zip({0}::DOUBLE[], {1}::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -51,17 +53,17 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id
 
 @query("rnk02_bm25", f"WITH {_BM} SELECT qid, doc_id, round(score, 6) score, rank FROM bm")
 def rnk02(spark, sf):
-    return R.bm25(texts(spark), read_table(spark, sf, "documents"), 10, "qid", "qtext", "doc_id", "text").withColumn("score", F.round("score", 6))
+    return R.bm25(texts(spark, sf), read_table(spark, sf, "documents"), 10, "qid", "qtext", "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
 def _lists(spark, sf):
-    words = R.bm25(texts(spark), read_table(spark, sf, "documents"), 10, "qid", "qtext", "doc_id", "text").select("qid", C("doc_id").alias("item"), "rank")
+    words = R.bm25(texts(spark, sf), read_table(spark, sf, "documents"), 10, "qid", "qtext", "doc_id", "text").select("qid", C("doc_id").alias("item"), "rank")
     e = read_table(spark, sf, "embeddings")
-    near = R.exact_neighbours(e.filter(f"vec_id between 1 and {len(TEXTS)}").withColumnRenamed("vec_id", "qid"), e, 10, "qid", "vec_id", "embedding").select("qid", C("vec_id").alias("item"), "rank")
+    near = R.exact_neighbours(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "qid"), e, 10, "qid", "vec_id", "embedding").select("qid", C("vec_id").alias("item"), "rank")
     return words, near
 
 
-_NEAR = f"""nv AS (SELECT a.vec_id qid, b.vec_id item, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST.format('a.embedding', 'b.embedding')}, b.vec_id)::int rank FROM embeddings a, embeddings b WHERE a.vec_id BETWEEN 1 AND {len(TEXTS)} QUALIFY rank <= 10)"""
+_NEAR = f"""nv AS (SELECT a.vec_id qid, b.vec_id item, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST.format('a.embedding', 'b.embedding')}, b.vec_id)::int rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10)"""
 _FUSED = f"""WITH {_BM}, {_NEAR}, u AS (SELECT qid, doc_id item, rank FROM bm UNION ALL SELECT * FROM nv),
 hy AS (SELECT qid, item, round(sum(1.0::double / (60 + rank)), 12) rrf FROM u GROUP BY ALL), hp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, item)::int place FROM hy QUALIFY place <= 10)"""
 
@@ -80,7 +82,7 @@ SELECT qid, 'fts_prefer' retrieval_mode, doc_id item, rank place FROM bm JOIN r
 def rnk04(spark, sf):
     """Keyword-like queries with text hits take these alone; all others the fused list."""
     words, near = _lists(spark, sf)
-    route = texts(spark).join(words.select("qid").distinct().withColumn("hit", F.lit(True)), "qid", "left").select("qid", (prefers_text_search(C("qtext")) & C("hit").isNotNull()).alias("fts"))
+    route = texts(spark, sf).join(words.select("qid").distinct().withColumn("hit", F.lit(True)), "qid", "left").select("qid", (prefers_text_search(C("qtext")) & C("hit").isNotNull()).alias("fts"))
     fused = R.reciprocal_rank_fusion(words.unionByName(near), ["qid"], ["item"], "rank", 10)
     first = words.join(route.filter("fts"), "qid").select("qid", F.lit("fts_prefer").alias("retrieval_mode"), "item", C("rank").alias("place"))
     return first.unionByName(fused.join(route.filter("not fts"), "qid").select("qid", F.lit("hybrid").alias("retrieval_mode"), "item", "place"))
@@ -245,14 +247,31 @@ def top02(spark, sf):
     return R.reciprocal_rank_fusion(_corpus_ranks(spark, sf, ["source"]), ["query_id"], ["hit_id"], "rank", 5).select("query_id", "hit_id", "place")
 
 
-@query("rnk16_retrieval", _FUSED.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))").replace("FROM documents),", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),").replace("embeddings b WHERE", "embeddings b WHERE b.vec_id IN (SELECT doc_id FROM documents) AND") + f""", r AS (SELECT qid, {_SHORT} AND qid IN (SELECT qid FROM bm) fts FROM q)
+_TOOL = _FUSED.replace("a.vec_id % 50 = 0", "a.vec_id % 50 = 0 AND a.vec_id IN (SELECT qid FROM q) AND b.vec_id IN (SELECT doc_id FROM documents)")
+
+
+@query("rnk16_retrieval", _TOOL + f""", r AS (SELECT qid, {_SHORT} AND qid IN (SELECT qid FROM bm) fts FROM q)
 SELECT qid query_id, doc_id chunk_id, rank place, 'fts_prefer' AS mode FROM bm JOIN r USING (qid) WHERE fts UNION ALL SELECT qid, item, place, 'hybrid' FROM hp JOIN r USING (qid) WHERE NOT fts""")
 def rnk16(spark, sf):
-    """The search tool over documents that have a vector."""
+    """The search tool over all documents; those without a vector are found by their words only."""
     from tidemark import api
 
     e = read_table(spark, sf, "embeddings").select(C("vec_id").alias("chunk_id"), C("embedding").alias("vector"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("status", "string"), ("pinned", "boolean"), ("valid_from", "string"), ("valid_until", "string"), ("confidence", "double"))]
-    notes = read_table(spark, sf, "documents").select(C("doc_id").alias("chunk_id"), "text").join(e, "chunk_id").select("*", *none)
-    asked = texts(spark).select(C("qid").alias("query_id"), C("qtext").alias("text")).join(e.withColumnRenamed("chunk_id", "query_id"), "query_id")
+    notes = read_table(spark, sf, "documents").select(C("doc_id").alias("chunk_id"), "text").join(e, "chunk_id", "left").select("*", *none)
+    asked = texts(spark, sf).select(C("qid").alias("query_id"), C("qtext").alias("text")).join(e.withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
     return api.search(notes, asked, "2025-01-01T00:00:00Z", 10)
+
+
+_SEGMENT = "(SELECT id, max(vector) v FROM code_chunks GROUP BY id)"
+
+
+@query("rnk16_code_search", f"""SELECT query_id, segment_id, round(d, 6) distance, rank FROM (SELECT a.id query_id, b.id segment_id, {_DIST.format('a.v', 'b.v')} d,
+ row_number() OVER (PARTITION BY a.id ORDER BY {_DIST.format('a.v', 'b.v')}, b.id)::int rank FROM {_SEGMENT} a, {_SEGMENT} b WHERE ('0x' || substr(a.id, 1, 8))::bigint % 50 = 0) WHERE rank <= 10""")
+def rnk16_code(spark, sf):
+    """The code search tool: segments nearest to every segment whose id, a hash in hexadecimal, is divisible by 50."""
+    from tidemark import api
+
+    s = read_table(spark, sf, "code_chunks").groupBy(C("id").alias("segment_id")).agg(F.max("vector").alias("vector"))
+    asked = s.filter(F.conv(F.substring("segment_id", 1, 8), 16, 10).cast("long") % 50 == 0).withColumnRenamed("segment_id", "query_id")
+    return api.code_search(s, asked, 10).withColumn("distance", F.round("distance", 6))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +33,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``. A session on one machine that names none gets a temporary one; on a
+    cluster this would not be shared, so there it is an error."""
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return jsc.getCheckpointDir().get()
 
 
+def write_shared(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` as a parquet table in the shared checkpoint folder, with a folder per value of ``partition_by``."""
+    at = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    (df.repartition(*partition_by) if partition_by else df).write.partitionBy(*partition_by).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that it outlives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
