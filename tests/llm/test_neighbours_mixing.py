@@ -149,3 +149,46 @@ def test_empty_mixture(spark):
     docs = spark.createDataFrame([], "doc long, source string, language string, topic string, tokens long")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     assert mixing.mix_sources(docs, targets, "doc").count() == 0 and mixing.share_report(mixing.mix_sources(docs, targets, "doc"), docs, targets).count() == 1
+
+
+def test_a_large_source_with_a_small_share_is_ordered_in_part_only(spark):
+    docs = spark.range(400_000).select(F.col("id").alias("doc"), F.when(F.col("id") % 3 == 0, "small").otherwise("large").alias("source"), F.lit("en").alias("language"), F.lit("t").alias("topic"), (F.col("id") % 7 + 1).alias("tokens"))
+    targets = spark.createDataFrame([("large", 0.01, 1), ("small", 0.99, 1)], "source string, target_share double, max_repeats int")
+    plan = mixing.plan_mixture(docs, targets, 400_000, 0.5)
+    got = mixing.draw(docs, plan, "doc", 11).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("c")).collect()
+    assert {r.source: abs(r.t - plan.tokens[r.source]) <= 4 and r.c == 1 for r in got} == {"large": True, "small": True}
+
+
+def test_repeated_documents_in_a_mixture(spark):
+    docs = spark.createDataFrame([(1, "a", "en", "t", 10)] * 100 + [(None, "a", "en", "t", 10)] * 20, "doc long, source string, language string, topic string, tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    assert mixing.mix_sources(docs, targets, "doc", total=333).count() == 33
+
+
+def test_too_many_targets_raise(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 2)
+    docs = spark.createDataFrame([(1, "a", "en", "t", 10)], "doc long, source string, language string, topic string, tokens long")
+    targets = spark.createDataFrame([(s, 1.0, 1) for s in "abc"], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, targets, "doc")
+
+
+def test_query_shares(spark):
+    import os
+
+    import __spark_entry__ as entry
+    from tidemark.llm import tokens
+
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    enc = tokens.encoding(f"{tokens.TOKENIZERS}/{tokens.BYTE_BPE_50K}")
+    sizes, longest = {}, 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n, s = len(enc.encode_ordinary(r.text or "")), "?" if r.source is None else r.source.strip(" ").lower()
+        sizes[s], longest = sizes.get(s, 0) + n, max(longest, n)
+    want = [r for r in spark.read.parquet(f"{sf}/mix_targets.parquet").collect() if r.source is not None]
+    asked = mixing.source_tokens(sizes, {r.source.strip().lower(): r.target_share for r in want}, {r.source.strip().lower(): r.max_repeats for r in want}, 0.5 * sum(sizes.values()))
+    shares = {r.source: r for r in entry.queries()["p9_shares"](spark, sf).collect()}
+    for s, t in asked.items():
+        assert abs(shares[s].mixed_tokens - t) <= longest / 2 + 1, s
+        assert shares[s].available_tokens == sizes[s] and abs(shares[s].actual_share - t / sum(asked.values())) <= longest / sum(asked.values())
+    assert all(r.mixed_tokens == 0 for s, r in shares.items() if s not in asked)

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
 
-#: Cells the driver may hold; more means that a "topic" isn't one.
-MAX_CELLS = 200_000
-RANGES = 1024
+#: Cells (source, language, topic), and targets, that the driver may hold: two million are some 200 MB while they are raked.
+#: More raise an error; a "topic" of which there are more isn't one.
+MAX_CELLS = 2_000_000
+#: Ranges a source is cut into where its draw ends, twice in a row.
+RANGES = 4096
 
 
 @dataclass(frozen=True)
@@ -51,66 +53,64 @@ def rake(cells: dict, asked: dict, caps: dict, rounds: int = 100, near: float =
     and source. Topics and languages keep the shares they have among the tokens of the sources asked; the sources come
     last and hold exactly. No cell exceeds its source's cap; what a capped cell can't take falls to the source's other
     cells."""
-    used = {c: t for c, t in cells.items() if asked.get(c[0], 0) > 0 and t > 0}
-    whole, total = sum(used.values()), sum(asked.values())
-    size = {s: sum(t for c, t in used.items() if c[0] == s) for s in asked}
-    w = {c: asked[c[0]] / size[c[0]] for c in used}
-    margins = []
-    for axis in (2, 1):
-        want: dict = {}
-        for c, t in used.items():
-            want[c[axis]] = want.get(c[axis], 0) + t / whole * total
-        margins.append((axis, want))
+    import numpy as np
+
+    used = [c for c, t in cells.items() if asked.get(c[0], 0) > 0 and t > 0]
+    if not used:
+        return {}
+    t = np.array([cells[c] for c in used], float)
+    names, codes = [], []
+    for axis in range(3):
+        of = {x: i for i, x in enumerate(dict.fromkeys(c[axis] for c in used))}
+        names.append(list(of))
+        codes.append(np.array([of[c[axis]] for c in used]))
+    source, most = codes[0], np.array([float(caps[s]) for s in names[0]])
+    goal, cap = np.array([float(asked[s]) for s in names[0]]), most[codes[0]]
+    w = (goal / np.bincount(source, t))[source]
+    wants = {axis: np.bincount(codes[axis], t) / t.sum() * goal.sum() for axis in (2, 1)}
     for _ in range(rounds):
-        before = dict(w)
-        for axis, want in margins:
-            have: dict = {}
-            for c, t in used.items():
-                have[c[axis]] = have.get(c[axis], 0) + w[c] * t
-            for c in used:
-                if have[c[axis]] > 0:
-                    w[c] = min(w[c] * want[c[axis]] / have[c[axis]], caps[c[0]])
-        _fill(w, used, asked, caps)
-        if max((abs(w[c] - before[c]) for c in w), default=0) < near:
+        before = w.copy()
+        for axis, want in wants.items():
+            have = np.bincount(codes[axis], w * t)
+            w = np.minimum(w * np.divide(want, have, out=np.ones_like(want), where=have > 0)[codes[axis]], cap)
+        w = _fill(w, t, source, goal, most)
+        if np.abs(w - before).max() < near:
             break
-    return w
+    return dict(zip(used, w.tolist()))
 
 
-def _fill(w: dict, used: dict, asked: dict, caps: dict) -> None:
+def _fill(w, t, source, goal, most):
     """Scale each source's cells to its tokens, those at the cap staying there."""
-    by: dict = {}
-    for c in used:
-        by.setdefault(c[0], []).append(c)
-    for s, cells in by.items():
-        free, rest = set(cells), asked[s]
-        while free:
-            have = sum(w[c] * used[c] for c in free)
-            if have <= 0:
-                break
-            factor = rest / have
-            full = {c for c in free if w[c] * factor >= caps[s]}
-            if not full:
-                for c in free:
-                    w[c] *= factor
-                break
-            for c in full:
-                w[c] = float(caps[s])
-                rest -= w[c] * used[c]
-            free -= full
-            if rest <= 0:
-                for c in free:
-                    w[c] = 0.0
-                break
+    import numpy as np
+
+    w, cap, free, rest = w.copy(), most[source], np.ones(len(w), bool), goal.copy()
+    while True:
+        have = np.bincount(source, np.where(free, w * t, 0.0), len(goal))
+        factor = np.divide(np.maximum(rest, 0.0), have, out=np.ones_like(rest), where=have > 0)
+        full = free & (have > 0)[source] & (w * factor[source] >= cap)
+        # Sources without a cell at its cap are done; the others keep these cells and share out the rest again.
+        again = np.bincount(source, full, len(goal)) > 0
+        done = free & ~again[source]
+        w[done] *= factor[source][done]
+        if not full.any():
+            return w
+        w[full] = cap[full]
+        rest -= np.bincount(source, np.where(full, w * t, 0.0), len(goal))
+        free &= again[source] & ~full
+
+
+def _bounded(rows: DataFrame, what: str) -> list:
+    got = rows.limit(MAX_CELLS + 1).collect()
+    if len(got) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} {what}")
+    return got
 
 
 def plan_mixture(docs: DataFrame, targets: DataFrame, total: float | None, fraction: float) -> Plan:
-    """``docs``: source, language, topic, tokens. The driver sees one row per cell, at most MAX_CELLS of them."""
-    grouped = docs.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens"))
-    rows = grouped.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of source, language and topic")
+    """``docs``: source, language, topic, tokens. The driver sees one row per cell and target, at most MAX_CELLS of each."""
+    rows = _bounded(docs.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens")), "cells of source, language and topic")
     cells = {(r["source"], r["language"], r["topic"]): float(r["tokens"]) for r in rows}
-    wanted = {r["source"]: r for r in targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).limit(MAX_CELLS).collect()}
+    wanted = {r["source"]: r for r in _bounded(targets.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")), "targets")}
     sizes: dict = {}
     for (s, _, _), t in cells.items():
         sizes[s] = sizes.get(s, 0) + t
@@ -120,37 +120,55 @@ def plan_mixture(docs: DataFrame, targets: DataFrame, total: float | None, fract
     return Plan(asked, rake(cells, asked, caps))
 
 
+def _cut(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """``source, cut, rest``: the range in which a source's running sum of tokens passes its rest, and what is left of the
+    rest at its start; no row for a source whose tokens never do."""
+    up = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    sums = rows.groupBy("source", "range").agg(F.sum("tokens").alias("in_range")).withColumn("offset", F.coalesce(F.sum("in_range").over(up), F.lit(0)))
+    passed = sums.join(rest, "source").filter(F.col("offset") + F.col("in_range") > F.col("rest"))
+    first = passed.groupBy("source").agg(F.min(F.struct("range", (F.col("rest") - F.col("offset")).alias("rest"))).alias("at"))
+    return first.select("source", F.col("at.range").alias("cut"), F.col("at.rest").alias("rest"))
+
+
 def draw(docs: DataFrame, plan: Plan, id_col: str, seed: int) -> DataFrame:
     """``id_col, source, tokens, copies`` of the documents that take part. Each document gets the whole part of its
     expected repeats; the last copy goes to those with the smallest hash against their probability, up to the token at
-    which the source is full. Running sums go over ranges of that ratio first and inside a range then, so a source with
-    a third of all rows is many tasks."""
+    which the source is full. That ratio is cut into ranges whose tokens are summed up: ranges below the one in which the
+    source gets full are taken whole, those above are left, and only this one is cut again in the same way. What is put in
+    order is one in RANGES**2 ranges of a source, whatever share of all rows the source has. Repeated rows of a document
+    are ordered as one with their number."""
     spark = docs.sparkSession
     cells = spark.createDataFrame([(s, g, t, float(w)) for (s, g, t), w in plan.repeats.items()], "source string, language string, topic string, repeats double")
     asked = spark.createDataFrame([(s, float(t)) for s, t in plan.tokens.items()], "source string, asked double")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(2**53))
+    # Cells are unique, so Spark may split a source, language and topic that a third of all rows have.
     part = (
-        docs.join(F.broadcast(cells), ["source", "language", "topic"])  # at most MAX_CELLS rows
+        docs.select(id_col, "source", "language", "topic", "tokens").join(cells, ["source", "language", "topic"])
         .filter("tokens > 0")
         .withColumn("whole", F.floor(F.col("repeats") + F.lit(1e-9)).cast("int"))
         .withColumn("chance", F.greatest(F.col("repeats") - F.col("whole"), F.lit(0.0)))
         .withColumn("ratio", F.when(F.col("chance") > 1e-9, unit / F.col("chance")))
-        .withColumn("range", F.floor(F.least(F.col("ratio") * (RANGES // 2), F.lit(float(RANGES - 1)))).cast("int"))
-    )
-    base = part.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("sure"))
-    ranges = part.filter("ratio is not null").groupBy("source", "range").agg(F.sum("tokens").alias("in_range"))
-    above = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("in_range").over(above), F.lit(0))).drop("in_range")
-    inside = Window.partitionBy("source", "range").orderBy("ratio", id_col).rowsBetween(Window.unboundedPreceding, -1)
-    maybe = (
-        part.filter("ratio is not null")
-        .withColumn("local", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-        .join(F.broadcast(ranges), ["source", "range"])  # RANGES rows per target source
-        .join(F.broadcast(base.join(asked, "source")), "source")  # one row per target source
-        .withColumn("extra", (F.col("offset") + F.col("local") + F.col("tokens") / 2 <= F.col("asked") - F.col("sure")).cast("int"))
+        # In 0 to 1; about half of it lies below the ratio 1, near which sources get full.
+        .withColumn("place", F.col("ratio") / (1 + F.col("ratio")) * RANGES)
+        .withColumn("range", F.floor("place").cast("int"))
+        .drop("language", "topic", "repeats", "chance")
     )
     cols = [id_col, "source", "tokens"]
-    taken = maybe.select(*cols, (F.col("whole") + F.col("extra")).alias("copies")).unionByName(part.filter("ratio is null").select(*cols, F.col("whole").alias("copies")))
+    sure = part.groupBy("source").agg(F.sum(F.col("whole") * F.col("tokens")).alias("sure"))
+    rest = cut_lineage(sure.join(asked, "source").select("source", (F.col("asked") - F.col("sure")).alias("rest")))
+    maybe, taken = part.filter("ratio is not null"), part.filter("ratio is null").select(*cols, F.col("whole").alias("copies"))
+    for _ in range(2):
+        cut = cut_lineage(_cut(maybe, rest))
+        placed = maybe.join(F.broadcast(cut.drop("rest")), "source", "left")  # one row per target
+        below = F.col("cut").isNull() | (F.col("range") < F.col("cut"))
+        taken = taken.unionByName(placed.filter(F.col("cut").isNull() | (F.col("range") != F.col("cut"))).select(*cols, (F.col("whole") + below.cast("int")).alias("copies")))
+        maybe = placed.filter(F.col("range") == F.col("cut")).withColumn("place", (F.col("place") - F.col("range")) * RANGES).withColumn("range", F.floor("place").cast("int")).drop("cut")
+        rest = cut.select("source", "rest")
+    same = maybe.groupBy("source", "ratio", id_col, "tokens", "whole").agg(F.count("*").alias("n"))
+    before = F.sum(F.col("n") * F.col("tokens")).over(Window.partitionBy("source").orderBy("ratio", id_col, "tokens", "whole").rowsBetween(Window.unboundedPreceding, -1))
+    fit = F.floor((F.col("rest") - F.coalesce(before, F.lit(0)) - F.col("tokens") / 2) / F.col("tokens")) + 1
+    last = same.join(F.broadcast(rest), "source").withColumn("fit", fit).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), "n")))  # one row per target
+    taken = taken.unionByName(last.select(*cols, (F.col("whole") + (F.col("one") <= F.col("fit")).cast("int")).alias("copies")))
     return taken.filter("copies > 0")
 
 
