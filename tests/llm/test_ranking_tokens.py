@@ -89,3 +89,17 @@ def test_round_trip(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
     back = tokens.decode_corpus(tokens.encode_corpus(df, "doc", "text", chunk_chars=80, overlap=16), "doc")
     assert {r.doc: r.text for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_a_long_document_takes_linear_time(spark):
+    import time
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgé日 ", k=rng.randrange(1, 9))) for _ in range(5000)]
+    text = " ".join(rng.choices(words, k=2_200_000)) + "x" * 300_000
+    enc = tokens.encoding(f"{tokens.TOKENIZERS}/{tokens.BYTE_BPE_50K}")
+    df = spark.createDataFrame([(1, text)], "doc long, text string")
+    began = time.time()
+    got = tokens.encode_corpus(df, "doc", "text").collect()
+    took = time.time() - began
+    assert got[0].ids == enc.encode_ordinary(text) and took < 60, took
