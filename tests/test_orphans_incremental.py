@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.incremental import MerkleStore, replay_jobs
+from tidemark.operators import incremental
+from tidemark.operators.incremental import MerkleStore, bits_for, replay_jobs
 from tidemark.operators.orphans import orphan_records, orphan_report, parents, references
 
 
@@ -41,8 +42,9 @@ def expected(changes, jobs):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_replay(spark, seed):
+@pytest.mark.parametrize("seed,node_runs,bits", [(1, 64, 4), (2, 2, 8), (3, 3, None)])
+def test_replay(spark, monkeypatch, seed, node_runs, bits):
+    monkeypatch.setattr(incremental, "NODE_RUNS", node_runs)
     rng = random.Random(seed)
     t = lambda: datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(3000))
     changes = []
@@ -51,7 +53,7 @@ def test_replay(spark, seed):
         changes.append((i, rng.choice("PPQ"), "code", rng.choice([f"f{x}" for x in range(12)] + ["hot"] * 6 + [None]), rng.choice(["h1", "h2", None]), m, m + timedelta(minutes=rng.choice([0, 5, 500])), "x"))
     jobs = [(i, rng.choice("PQR"), "code", rng.choice(["succeeded", "succeeded", "failed", "running"]), t()) for i in range(25)]
     jobs += jobs[:5]
-    got = [tuple(r) for r in replay_jobs(spark.createDataFrame(changes, CHANGES), spark.createDataFrame(jobs, JOBS), bits=4).collect()]
+    got = [tuple(r) for r in replay_jobs(spark.createDataFrame(changes, CHANGES), spark.createDataFrame(jobs, JOBS), bits=bits).collect()]
     assert len(got) == len(set(got)) and set(got) == expected(changes, jobs)
 
 
@@ -76,3 +78,42 @@ def test_store_survives_failures(spark, tmp_path):
     got = {(r.key, r.digest, r.was) for r in store.run(frame(two), "r2").collect()}
     assert got == {("k3", "b", "a"), ("new", "c", None), ("k7", None, "a")}
     assert store.run(frame(two), "r2").count() == 3 and store.run(frame(two), "r3").count() == 0
+
+
+def folders(path):
+    return sorted(p.relative_to(path).as_posix() for p in path.glob("*/snapshot/range=*"))
+
+
+def test_store_reads_only_leaves_that_differ(spark, tmp_path):
+    store = MerkleStore(spark, str(tmp_path / "s"), bits=12)
+    frame = lambda d: spark.createDataFrame([*d.items(), *list(d.items())[:50], (None, "x")], "key string, digest string")
+    state = {f"k{i}": "a" for i in range(3000)}
+    assert store.run(frame(state), "r1").count() == 3000
+    first = len(folders(tmp_path / "s"))
+    state |= {"k5": "b", "k6": "b", "more": "a"}
+    del state["k9"]
+    got = {(r.key, r.digest, r.was) for r in store.run(frame(state), "r2").collect()}
+    assert got == {("k5", "b", "a"), ("k6", "b", "a"), ("more", "a", None), ("k9", None, "a")}
+    assert store.seen["leaves"] <= 4 and store.seen["of"] == 4096 and store.seen["ranges"] <= 4
+    assert sum(f.startswith("r2/") for f in folders(tmp_path / "s")) <= 4 and len(folders(tmp_path / "s")) <= first + 4
+    assert store.run(frame(state), "r3").count() == 0 and store.seen["leaves"] == 0
+    # What only r1 had of the ranges that r2 rewrote isn't needed any more.
+    assert len(folders(tmp_path / "s")) == first
+    assert store.run(frame({}), "r4").count() == len(state) and store.run(frame(state), "r5").count() == len(state)
+
+
+def test_store_grows_its_leaves(spark, tmp_path):
+    assert [bits_for(n) for n in (0, 64 * 16, 64 * 16 + 1, 10**9)] == [4, 4, 8, 24]
+    frame = lambda d: spark.createDataFrame(list(d.items()), "key string, digest string")
+    state = {f"k{i}": "a" for i in range(500)}
+    MerkleStore(spark, str(tmp_path / "s"), bits=8).run(frame(state), "r1")
+    grown = MerkleStore(spark, str(tmp_path / "s"), bits=12)
+    assert {r.key for r in grown.run(frame(state | {"k1": "b"}), "r2").collect()} == {"k1"} and grown.seen["of"] == 4096
+
+
+def test_store_refuses_an_input_that_changes(spark, tmp_path):
+    store = MerkleStore(spark, str(tmp_path / "s"))
+    moving = spark.range(50).select(F.col("id").cast("string").alias("key"), F.expr("cast(java_method('java.lang.System', 'nanoTime') as string)").alias("digest"))
+    with pytest.raises(RuntimeError):
+        store.run(moving, "r1")
+    assert store.current() is None

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import parse_instant, utc_month
 from tidemark.operators.hierarchy import descendants, resolve_hierarchy, resolve_parents
-from tidemark.operators.incremental import replay_jobs
+from tidemark.operators.incremental import MerkleStore, replay_jobs
 from tidemark.operators.intervals import merge_periods, micros_text, period_gaps
 from tidemark.operators.notes import link_id, live_nodes, live_notes
 from tidemark.operators.orphans import orphan_records, orphan_report, parents, references
-from tidemark.session import cut_lineage, read_table
+from tidemark.session import cut_lineage, ensure_checkpoint_dir, read_table
 
 EXTERNAL_LINK = "external:vault-link:"
 
@@ -91,7 +93,22 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return replay_jobs(read_table(spark, sf, "file_changes"), read_table(spark, sf, "index_jobs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p4_found, p4_periods, p5_found, p5_report, p6_found)}
+def p6_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The store's second run: all states of paths after the last 30 days, the first having seen those before."""
+    seen = read_table(spark, sf, "file_changes").filter("path is not null and arrived_at is not null")
+    key = F.concat_ws("\t", "project", "corpus", "path")
+    last = seen.agg((F.max("arrived_at") - F.expr("interval 30 days")).alias("last"))
+
+    def state(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy(key.alias("key")).agg(F.max(F.struct("modified_at", "change_id", "content_hash")).alias("s"))
+        return held.select("key", F.col("s.content_hash").alias("digest")).filter("digest is not null")
+
+    store = MerkleStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.run(state(seen.join(F.broadcast(last), F.col("arrived_at") <= F.col("last"))), "first")  # one row
+    return store.run(state(seen), "second")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p4_found, p4_periods, p5_found, p5_report, p6_found, p6_store)}
 
 _LIVE = """
 held AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY synced_at DESC, row_no DESC) rn FROM vault_notes WHERE id IS NOT NULL),
@@ -162,4 +179,8 @@ job AS (SELECT *, lag(job_id) OVER (PARTITION BY project, corpus ORDER BY starte
 state AS (SELECT j.job_id, c.path, arg_max(coalesce(c.content_hash, ''), (c.modified_at, c.change_id)) h
   FROM job j JOIN file_changes c ON c.project = j.project AND c.corpus = j.corpus AND c.arrived_at <= j.started_at GROUP BY ALL)
 SELECT s.job_id, s.path FROM state s JOIN job j USING (job_id) LEFT JOIN state p ON p.job_id = j.prev AND p.path = s.path WHERE s.h <> '' AND s.h <> coalesce(p.h, '')""",
+    "p6_store": """WITH f AS (SELECT *, concat_ws(chr(9), project, corpus, path) AS key FROM file_changes WHERE path IS NOT NULL AND arrived_at IS NOT NULL),
+s AS (SELECT key, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) digest FROM f GROUP BY key),
+w AS (SELECT key, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) was FROM f WHERE arrived_at <= (SELECT max(arrived_at) - INTERVAL 30 DAY FROM f) GROUP BY key)
+SELECT key, nullif(digest, '') digest, nullif(was, '') was FROM s FULL JOIN w USING (key) WHERE coalesce(digest, '') <> coalesce(was, '')""",
 }
