@@ -94,17 +94,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_store(spark: SparkSession, sf: str) -> DataFrame:
-    """The store's second run: all states of paths after the last 30 days, the first having seen those before."""
-    seen = read_table(spark, sf, "file_changes").filter("path is not null and arrived_at is not null")
+    """The store's second run over the states of all paths, the first having seen what arrived in the first half of time."""
+    seen = read_table(spark, sf, "file_changes").filter("path is not null and arrived_at is not null").withColumn("at", F.unix_micros(F.col("arrived_at").cast("timestamp")))
     key = F.concat_ws("\t", "project", "corpus", "path")
-    last = seen.agg((F.max("arrived_at") - F.expr("interval 30 days")).alias("last"))
+    half = seen.agg(F.expr("(min(at) + max(at)) div 2").alias("half"))
 
     def state(rows: DataFrame) -> DataFrame:
         held = rows.groupBy(key.alias("key")).agg(F.max(F.struct("modified_at", "change_id", "content_hash")).alias("s"))
         return held.select("key", F.col("s.content_hash").alias("digest")).filter("digest is not null")
 
     store = MerkleStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
-    store.run(state(seen.join(F.broadcast(last), F.col("arrived_at") <= F.col("last"))), "first")  # one row
+    store.run(state(seen.join(F.broadcast(half), F.col("at") <= F.col("half"))), "first")  # one row
     return store.run(state(seen), "second")
 
 
@@ -181,6 +181,6 @@ state AS (SELECT j.job_id, c.path, arg_max(coalesce(c.content_hash, ''), (c.modi
 SELECT s.job_id, s.path FROM state s JOIN job j USING (job_id) LEFT JOIN state p ON p.job_id = j.prev AND p.path = s.path WHERE s.h <> '' AND s.h <> coalesce(p.h, '')""",
     "p6_store": """WITH f AS (SELECT *, concat_ws(chr(9), project, corpus, path) AS key FROM file_changes WHERE path IS NOT NULL AND arrived_at IS NOT NULL),
 s AS (SELECT key, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) digest FROM f GROUP BY key),
-w AS (SELECT key, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) was FROM f WHERE arrived_at <= (SELECT max(arrived_at) - INTERVAL 30 DAY FROM f) GROUP BY key)
+w AS (SELECT key, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) was FROM f WHERE epoch_us(arrived_at) <= (SELECT (min(epoch_us(arrived_at)) + max(epoch_us(arrived_at))) // 2 FROM f) GROUP BY key)
 SELECT key, nullif(digest, '') digest, nullif(was, '') was FROM s FULL JOIN w USING (key) WHERE coalesce(digest, '') <> coalesce(was, '')""",
 }
