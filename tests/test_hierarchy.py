@@ -29,9 +29,9 @@ def run(spark, parents, **kw):
     return {r.id: (r.root_id, r.depth) for r in rows}, rows
 
 
-@pytest.mark.parametrize("levels", [1, 3, 10])
+@pytest.mark.parametrize("levels", [1, 3, 10, None])
 def test_random_forests_with_circles(spark, levels):
-    rng = random.Random(levels)
+    rng = random.Random(levels or 5)
     ids = [f"n{i:03d}" for i in range(120)]
     parents = {k: rng.choice([None, *ids, "unknown"]) if rng.random() < 0.9 else None for k in ids}
     got, _ = run(spark, parents, levels=levels)
@@ -48,10 +48,21 @@ def test_deep_chain_and_long_circle(spark):
     assert by["r03"].on_cycle and by["a0"].on_cycle and not by["s1"].on_cycle
 
 
-def test_descendants(spark):
-    df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "d")], SCHEMA)
-    got = {tuple(r) for r in descendants(resolve_hierarchy(df, with_path=True)).collect()}
-    assert got == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
+@pytest.mark.parametrize("seed", [1, 2])
+def test_descendants(spark, seed):
+    rng = random.Random(seed)
+    ids = [f"n{i:02d}" for i in range(40)]
+    parents = {k: rng.choice([None, *ids]) for k in ids} | {"a": "b", "b": "a", "c": "b", "d": "c", "s": "s", "t": "s"} | {f"r{i}": f"r{(i + 3) % 7}" for i in range(7)}
+    want = set()
+    for k in parents:
+        at, n, seen = parents[k], 1, {k}
+        while at is not None and at not in seen:
+            want.add((at, k, n))
+            seen.add(at)
+            at, n = parents[at], n + 1
+    rows = descendants(resolve_hierarchy(spark.createDataFrame(list(parents.items()), SCHEMA), with_path=True)).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert ("c", "d", 1) in want and ("b", "d", 2) in want
 
 
 def test_empty_null_and_repeated_rows(spark):

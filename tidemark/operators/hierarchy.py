@@ -1,9 +1,10 @@
 """Parent-child links to full hierarchies: root, depth, path, descendants and circles.
 
-A frontier grows from the roots level by level: each level is one equi-join of the nodes not yet reached with the
-nodes reached in the level before. Nodes that ``levels`` rounds don't reach (very deep chains, circles and what hangs
-below circles) are settled by pointer doubling, whose rounds grow with the logarithm of the chain length only, so no
-depth is cut off and no circle loops for ever. Only node keys and numbers move; nothing is collected.
+A frontier grows from the roots level by level: each level is one equi-join of the nodes not yet reached with those
+reached in the level before, and what it reaches waits no more, so all levels together move each node about as often as it
+is deep. Once a level reaches few of those that wait (long chains, circles and what hangs below circles) the rest is settled
+by pointer doubling, whose rounds grow with the logarithm of the chain length only, so no depth is cut off and no circle
+loops for ever. Only node keys and numbers move; nothing is collected.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import count_written, cut_lineage
 
+#: The frontier goes on while a level reaches one in so many of the nodes that still wait.
+SLOW = 4
+
 
 def resolve_parents(notes: DataFrame, id_col: str, up: str, down: str, key) -> DataFrame:
     """``id, parent`` per node. The parent is the node its ``up`` link names; if that names none, the smallest node
@@ -31,42 +35,43 @@ def resolve_parents(notes: DataFrame, id_col: str, up: str, down: str, key) -> D
     )
 
 
-def resolve_hierarchy(links: DataFrame, levels: int = 10, with_path: bool = False) -> DataFrame:
+def resolve_hierarchy(links: DataFrame, levels: int | None = None, with_path: bool = False) -> DataFrame:
     """Of ``links(id, parent)`` one row per id: ``id, parent, root_id, depth, on_cycle`` and, if asked, ``path`` (ids
     from the root to the node). A null parent, or one that is no id, makes a root of depth 0. Nodes on a circle or
     below one get the smallest id on that circle as root and depth -1, and a null path. Repeated rows of an id count
-    once (the smallest parent); rows without id are ignored; an empty table gives an empty result."""
+    once (the smallest parent); rows without id are ignored; an empty table gives an empty result. ``levels``: of the
+    frontier before pointers double; by default as long as a level reaches one in SLOW of those that still wait."""
     nodes = links.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"))
     known = nodes.select(F.col("id").alias("_known"))
     nodes = cut_lineage(
         nodes.join(known, F.col("parent") == F.col("_known"), "left").select("id", F.col("_known").alias("parent"))
     )
-    path = [F.array("id").alias("path")] if with_path else []
-    base = ["id", "parent", "root_id", "depth"] + (["path"] if with_path else [])
-    frontier = nodes.filter("parent is null").select("id", "parent", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *path)
+    path = ["path"] if with_path else []
+    base = ["id", "parent", "root_id", "depth", *path]
+    frontier = nodes.filter("parent is null").select("id", "parent", F.col("id").alias("root_id"), F.lit(0).alias("depth"), *([F.array("id").alias("path")] if with_path else []))
     waiting = nodes.filter("parent is not null")
-    reached, left = [frontier], waiting.count()
-    for depth in range(1, levels + 1):
-        if left == 0:
-            break
-        top = frontier.select(F.col("id").alias("_pid"), "root_id", *(["path"] if with_path else []))
-        step = waiting.join(top, F.col("parent") == F.col("_pid"), "inner").select(
-            "id", "parent", "root_id", F.lit(depth).alias("depth"), *([F.concat("path", F.array("id")).alias("path")] if with_path else [])
+    reached, left, depth = [frontier], count_written(waiting), 0
+    while left:
+        depth += 1
+        top = frontier.select(F.col("id").alias("_pid"), F.col("root_id").alias("_root"), *[F.col(c).alias("_path") for c in path])
+        step = cut_lineage(waiting.select("id", "parent").join(top, F.col("parent") == F.col("_pid"), "left"))
+        frontier = step.filter("_pid is not null").select(
+            "id", "parent", F.col("_root").alias("root_id"), F.lit(depth).alias("depth"), *([F.concat("_path", F.array("id")).alias("path")] if with_path else [])
         )
-        frontier = cut_lineage(step)
+        waiting = step.filter("_pid is null")
         found = count_written(frontier)
         if found == 0:
             break
         left -= found
         reached.append(frontier)
+        if depth == levels or (levels is None and found * SLOW < left):
+            break
     out = reached[0].select(*base)
     for part in reached[1:]:
         out = out.unionByName(part.select(*base))
     out = out.withColumn("on_cycle", F.lit(False))
     if left:
-        ids = out.select(F.col("id").alias("_done"))
-        residue = cut_lineage(waiting.join(ids, F.col("id") == F.col("_done"), "left_anti"))
-        out = out.unionByName(_settle(residue, out, left, with_path))
+        out = out.unionByName(_settle(waiting.select("id", "parent"), out, left, with_path))
     return out
 
 
@@ -130,9 +135,25 @@ def _deep_paths(chain: DataFrame, tops: DataFrame) -> DataFrame:
 
 
 def descendants(hierarchy: DataFrame) -> DataFrame:
-    """``ancestor, descendant, distance`` from the paths of ``resolve_hierarchy(..., with_path=True)``; a node isn't its
-    own descendant, and nodes on or below circles have none here. Rows: the sum of all depths, as the result needs."""
-    pairs = hierarchy.filter(F.col("path").isNotNull()).select(
-        F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("_at", "ancestor")
-    )
+    """``ancestor, descendant, distance`` (the least number of steps) of ``resolve_hierarchy(..., with_path=True)``; a node
+    isn't its own descendant. On a circle each node is a descendant of each other one, and what hangs below a circle
+    descends from all its nodes. Rows: the sum of the numbers of ancestors, as the result needs."""
+    pairs = _along_paths(hierarchy.filter(F.col("path").isNotNull()))
+    ringed = cut_lineage(hierarchy.filter("depth < 0").select("id", "parent", "root_id"))
+    if ringed.isEmpty():
+        return pairs
+    # Each circle is cut above its smallest id, which makes a tree of it and all below: so far up paths give the pairs.
+    # From the smallest id on the way goes to the end of the circle, and back along it to where the node's path left it.
+    on = hierarchy.filter("on_cycle").select(F.col("id").alias("_on"))
+    tree = resolve_hierarchy(ringed.select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent")), with_path=True)
+    tree = cut_lineage(tree.join(on, F.col("id") == F.col("_on"), "left").select("id", "root_id", "depth", "path", F.col("_on").isNotNull().alias("on")))
+    rings = tree.filter("on").groupBy("root_id").agg(F.max_by("path", "depth").alias("ring"))
+    shared = F.size(F.array_intersect("path", "ring"))
+    rest = tree.join(rings, "root_id").select(F.col("id").alias("descendant"), "depth", F.size("ring").alias("length"), shared.alias("shared"), F.posexplode("ring").alias("_at", "ancestor"))
+    back = rest.filter(F.col("_at") >= F.col("shared")).select("ancestor", "descendant", (F.col("depth") + F.col("length") - F.col("_at")).alias("distance"))
+    return pairs.unionByName(_along_paths(tree)).unionByName(back)
+
+
+def _along_paths(hierarchy: DataFrame) -> DataFrame:
+    pairs = hierarchy.select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("_at", "ancestor"))
     return pairs.filter(F.col("_at") < F.col("depth")).select("ancestor", "descendant", (F.col("depth") - F.col("_at")).alias("distance"))

@@ -168,8 +168,8 @@ orphans AS (
 SQL = {
     "p2_found": f"WITH RECURSIVE {_TREE} SELECT id, root_id, depth FROM tree WHERE id IN (SELECT id FROM par WHERE parent IS NOT NULL) OR id IN (SELECT parent FROM par WHERE parent IS NOT NULL)",
     "p2_paths": f"WITH RECURSIVE {_TREE} SELECT id, root_id, depth, path, on_cycle FROM tree",
-    "p2_descendants": f"""WITH RECURSIVE {_TREE}, up AS (SELECT id descendant, parent ancestor, 1 distance FROM par WHERE parent IS NOT NULL AND id IN (SELECT id FROM walk)
-  UNION ALL SELECT u.descendant, p.parent, u.distance + 1 FROM up u JOIN par p ON p.id = u.ancestor WHERE p.parent IS NOT NULL) SELECT ancestor, descendant, distance FROM up""",
+    "p2_descendants": f"""WITH RECURSIVE {_TREE}, up AS (SELECT id descendant, parent ancestor, 1 distance, [id, parent] seen FROM par WHERE parent IS NOT NULL AND parent <> id
+  UNION ALL SELECT u.descendant, p.parent, u.distance + 1, list_append(u.seen, p.parent) FROM up u JOIN par p ON p.id = u.ancestor WHERE p.parent IS NOT NULL AND NOT list_contains(u.seen, p.parent)) SELECT ancestor, descendant, distance FROM up""",
     "p4_found": f"WITH RECURSIVE {_PERIODS}, g AS (SELECT root_id, lag(e) OVER (PARTITION BY root_id ORDER BY s) a, s b FROM per) SELECT root_id, {_txt('a')} gap_from, {_txt('b')} gap_to FROM g WHERE a < b",
     "p4_periods": f"WITH RECURSIVE {_PERIODS} SELECT root_id, {_txt('s')} period_from, {_txt('e')} period_to FROM per",
     "p5_found": f"WITH {_REFS} SELECT DISTINCT ref_table, record_key, ref_field, created_month FROM orphans",
