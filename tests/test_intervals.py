@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tidemark.operators import intervals
 from tidemark.operators.intervals import OPEN, merge_periods, period_gaps
 
 SCHEMA = "who string, a timestamp, b timestamp, entity string"
@@ -34,14 +35,16 @@ def sweep(rows):
     return periods, gaps
 
 
-def check(spark, rows, days):
-    p = merge_periods(spark.createDataFrame(rows, SCHEMA), "who", "a", "b", days)
-    got = {tuple(r) for r in p.collect()}, {tuple(r) for r in period_gaps(p, days).collect()}
-    assert got == sweep(rows)
+def check(spark, rows, most):
+    p = merge_periods(spark.createDataFrame(rows, SCHEMA), "who", "a", "b", most)
+    periods, gaps = p.collect(), period_gaps(p, most).collect()
+    assert ({tuple(r) for r in periods}, {tuple(r) for r in gaps}) == sweep(rows)
+    assert len(periods) == len(set(periods)) and len(gaps) == len(set(gaps))
 
 
-@pytest.mark.parametrize("seed,days", [(1, 1), (2, 7), (3, 30), (4, 400)])
-def test_random_intervals(spark, seed, days):
+@pytest.mark.parametrize("seed,most", [(1, 1), (2, 7), (3, 30), (4, 400)])
+def test_random_intervals(spark, monkeypatch, seed, most):
+    monkeypatch.setattr(intervals, "SHARDS", 4 + 20 * (seed % 2))
     rng = random.Random(seed)
     rows = []
     for i in range(400):
@@ -49,16 +52,21 @@ def test_random_intervals(spark, seed, days):
         length = rng.choice([1, 5, 24, 24 * 3, 24 * 40, 24 * 90])
         b = None if rng.random() < 0.005 else a + timedelta(hours=rng.randrange(-2, length))
         rows.append((rng.choice(["hot", "hot", "x", "y", f"e{i}"]), a, b, "extra"))
-    check(spark, rows, days)
+    check(spark, rows, most)
 
 
 def test_borders_touching_and_nesting(spark):
     day = timedelta(days=1)
     rows = [("a", T0, T0 + day, None), ("a", T0 + day, T0 + 2 * day, None), ("b", T0, T0 + 100 * day, None), ("b", T0 + 3 * day, T0 + 4 * day, None), ("c", T0, T0, None), ("d", T0, None, None),
             ("d", T0 + 9 * day, T0 + 10 * day, None), ("e", T0, T0 + timedelta(seconds=1), None), ("e", T0 + timedelta(seconds=2), T0 + 70 * day, None), (None, T0, None, None), ("f", None, T0, None)] * 2
-    for days in (1, 3, 30):
-        check(spark, rows, days)
+    for most in (1, 3, 30):
+        check(spark, rows, most)
 
 
 def test_empty(spark):
     check(spark, [], 30)
+
+
+def test_a_dense_entity_is_cut_where_it_is_dense(spark):
+    rows = [("hot", T0 + timedelta(seconds=3 * i), T0 + timedelta(seconds=3 * i + (i % 5)), None) for i in range(3000)] + [("hot", T0 - timedelta(days=400), T0 - timedelta(days=399), None), ("cold", T0, None, None)]
+    check(spark, rows, 200)
