@@ -170,3 +170,12 @@ def test_long_lists_are_fine(lines):
     words = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randint(4, 9))) for _ in range(50_000)]
     titles = rng.choices(words, [1 / (i + 10) for i in range(len(words))], k=lines * 7)
     assert stuffing("\n".join("- " + " ".join(titles[i : i + 7]) for i in range(0, len(titles), 7))) <= 0.5
+
+
+@pytest.mark.parametrize("text", [" " * 200_000 + "x", "f(" * 60_000, "a " * 20_000 + "(", "<" * 100_000, "<b" * 50_000, "." * 100_000, "= " * 60_000, "1" * 150_000 + "a", "x / " * 40_000, ";" * 100_000, "---\n" * 30_000, ", " * 60_000])
+def test_long_pages_take_linear_time(text):
+    import time
+
+    began = time.process_time()
+    stuffing(text)
+    assert time.process_time() - began < 1.5

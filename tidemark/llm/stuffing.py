@@ -1,10 +1,12 @@
 """Keyword-stuffed and link-list pages.
 
-Each text is cut into lines (and long lines at tags and separators), and each line is reduced to its shape: how many
-words, how many of them capitalised or glue words of a sentence, which separators, whether it holds links. A page is
-stuffed if the greater part of its text lies in shapes that aren't sentences, tables, logs or code but links, tags,
-product lines or words the page keeps repeating. Everything is decided from the page alone, in one pass over the
-column, so the operator needs no shuffle and behaves alike at every size.
+Each text is cut into lines (and long lines at tags and separators), and each line is reduced to its shape: whether it
+reads as a sentence, how many words, how many of them capitalised or glue words of a sentence, which separators, whether
+it holds links. Lines are grouped by shape. Of each group counts what isn't sentences, tables, logs or code but links,
+tags, product lines or words the page keeps repeating, and sentences that do nothing but repeat them. A page is stuffed if
+the few shapes that have most of this make up the greater part of its text: who stuffs a page repeats a layout, too.
+Everything is decided from the page alone, in one pass over the column, so the operator needs no shuffle and behaves alike
+at every size.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ GLUE = frozenset(
 )
 BREAKS = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
 CLOSES = re.compile(r"(?i)</a>|<br\s*/?>|</li>|</p>|</div>|</td>")
-PARTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\s+[/|»•·]\s+|;\s+")
+PARTS = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|(?<!\s)\s++[/|»•·]\s+|;\s+")
 FRONT = re.compile(r"\A\s*---\s*\n.*?\n---\s*(?:\n|\Z)", re.S)
 URL = re.compile(r"(?i)\b(?:https?://|www\.)[^\s<>\"')\]|]+")
-TAG = re.compile(r"<[^<>]{1,400}>")
+TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 SEPARATORS = re.compile(r"[|/;»•#=<>\[\]{}]")
 CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff]{8}")
@@ -45,9 +47,12 @@ LEET = str.maketrans("013457@$", "oleastas")
 LEETED = re.compile(r"(?<![\w@$])(?=[a-z0-9@$]*[a-z])(?=[a-z0-9@$]*[01345@$])[a-z0-9@$]{3,}(?![\w@$])")
 LEET_INSIDE = re.compile(r"[a-z][01345@$][a-z]")
 LOG = re.compile(r"^\W*(?:\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[?\d\d:\d\d(?::\d\d)?\]?\s|(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\b)")
-CODE = re.compile(r"[;{}]\s*$|^\s*(?:[})\]]|//|/\*|\*/)|[\w)\]]\s*(?:=|==|=>|:=|\+=|->)\s*\S|\w\(.*\)\s*[:{;]?\s*$|^\s*(?:def|fn|func|class|if|for|while|with|else|async|pub|static|guard)\b.*[)\]}:({;,]$|^\s*(?:import|from|return|raise|end|const|let|var|defer|assert)\b[^,]*$")
+CALL = re.compile(r"\w\(")
+CODE = re.compile(r"[;{}]\s*$|^\s*(?:[})\]]|//|/\*|\*/)|[\w)\]]\s*(?:=|==|=>|:=|\+=|->)\s*\S|^\s*(?:def|fn|func|class|if|for|while|with|else|async|pub|static|guard)\b.*[)\]}:({;,]$|^\s*(?:import|from|return|raise|end|const|let|var|defer|assert)\b[^,]*$")
 HASHTAG = re.compile(r"(?<![\w&])#\w")
 LISTED = re.compile(r"[|/;»•]|#\w|(?:,.*){4}")
+#: Shapes that may make up a stuffed page.
+FEW = 4
 #: Letters by which words of one beginning are known, as in glued tags.
 STEM = 4
 #: Share of a page's words that its three most frequent make up where it repeats keywords, and where sentences do.
@@ -89,22 +94,32 @@ def lines_of(text: str) -> list[tuple[str, bool]]:
     return out
 
 
-def shape(said: str, words: list[str], linked: bool) -> tuple:
-    """Word count (in steps), glue words, capitals, separators, link and end of a line."""
+def shape(said: str, words: list[str], glue: int, linked: bool, spoken: bool) -> tuple:
+    """Whether a line is a sentence, its word count (in steps), glue words, capitals, separators, link and end."""
     names = said.split()
     caps = sum(x[:1].isupper() for x in names) * 2 > len(names)
-    return (min(len(words), 15) // 3, min(len(GLUE.intersection(words)), 3), caps, frozenset(SEPARATORS.findall(said)), linked, bool(ENDS.search(said)))
+    return (spoken, min(len(words), 15) // 3, min(glue, 3), caps, frozenset(SEPARATORS.findall(said)), linked, bool(ENDS.search(said)))
 
 
-def sentence(said: str, words: list[str]) -> bool:
-    """Whether a line reads as a sentence: glue words among its words, an end, or a run of a script without spaces."""
+def sentence(said: str, words: list[str], glue: int) -> bool:
+    """Whether a line reads as a sentence: glue words (``glue`` different ones) among its words, an end, or a run of a
+    script without spaces."""
     if not said.isascii() and CJK.search(said):
         return True
-    if len(words) >= 5 and len(GLUE.intersection(words)) >= 2 and sum(x in GLUE for x in words) >= 0.15 * len(words) and ("#" not in said or not HASHTAG.search(said)):
+    if glue >= 2 and len(words) >= 5 and sum(x in GLUE for x in words) >= 0.15 * len(words) and ("#" not in said or not HASHTAG.search(said)):
         return True
     return len(words) >= 3 and bool(ENDS.search(said)) and said.lstrip("#*- ")[:1].isupper() and not LISTED.search(said)
 
 
+def is_code(line: str) -> bool:
+    """Whether a line reads as code."""
+    if CODE.search(line):
+        return True
+    end = line.rstrip()
+    end = end[:-1].rstrip() if end[-1:] in ":{;" else end
+    return end.endswith(")") and CALL.search(end) is not None
+
+
 def stems_of(words: Counter) -> Counter:
     """Counts of the beginnings of words."""
     begun: Counter = Counter()
@@ -127,26 +142,29 @@ def repeats(akin: float, own: int, alike: int, focus: float) -> bool:
 
 def stuffing(text: str | None) -> float:
     """Share of the text (in characters, a link counting as a few words) that is links, tags, product lines or repeated
-    keywords. 0 for null, empty and blank texts."""
+    keywords, in the FEW shapes of lines that have most of these. 0 for null, empty and blank texts."""
     if not text or not text.strip():
         return 0.0
     text = plain(text)
     low = text.lower()
     tags, links, leet = "<" in text, "://" in low or "www." in low, LEET_INSIDE.search(low) is not None
-    lines, every, shapes = [], Counter(), Counter()
+    lines, every, total = [], Counter(), 0
+    #: Per shape: lines, and text that is stuffed.
+    groups: dict = {}
     for q, fenced in lines_of(text):
         urls = len(URL.findall(q)) if links else 0
         said = URL.sub(" ", q) if urls else q
         said = (TAG.sub(" ", said) if tags else said).strip()
+        size = len(said) + 24 * urls
+        total += size
         if fenced:
-            lines.append((q, said, urls, None, None))
             continue
         w = words_of(said, leet)
         every.update(w)
-        form = None if sentence(said, w) else shape(said, w, urls > 0)
-        if form:
-            shapes[form] += 1
-        lines.append((q, said, urls, w, form))
+        glue = len(GLUE.intersection(w))
+        form = shape(said, w, glue, urls > 0, sentence(said, w, glue))
+        groups.setdefault(form, [0, 0])[0] += 1
+        lines.append((q, said, urls, w, form, size))
     for g in GLUE & every.keys():
         del every[g]
     spoken = sum(every.values())
@@ -157,48 +175,42 @@ def stuffing(text: str | None) -> float:
     focus = sum(n for _, n in first) / spoken if spoken else 0.0
     top = {w for w, _ in first}
     stems = None
-    bad = total = 0.0
     loose, left = Counter(), []
-    for q, said, urls, w, form in lines:
-        size = len(said) + 24 * urls
-        total += size
-        if w is None:
-            continue
-        if form is None:
+    for q, said, urls, w, form, size in lines:
+        alike, stuffed = groups[form][0], False
+        if form[0]:
             # A sentence that serves to repeat keywords only; else it is what a page is for, or explains a link.
             if focus >= SPOKEN_FOCUS and spoken >= 30:
                 own = [x for x in w if x not in GLUE]
                 echo = sum(x in keys for x in own) >= 0.6 * len(own) or sum(x in top for x in own) >= len(own) / 3
-                if len(own) >= 3 and echo and len(set(own)) <= 0.78 * len(own) and any(own.count(x) > 1 for x in top):
-                    bad += size
-            continue
-        if LOG.match(q):
-            continue
-        if urls:
-            bad += size
-            continue
-        own = [x for x in w if x not in GLUE]
-        if stems is None:
-            stems = {x for x, n in stems_of(every).items() if n >= often}
-        akin = max(sum(x in keys for x in own), sum(x[:STEM] in stems for x in own)) / len(own) if own else 0.0
-        if akin < 0.8 and (q.lstrip().startswith("|") or CODE.search(q)):
+                stuffed = len(own) >= 3 and echo and len(set(own)) <= 0.78 * len(own) and any(own.count(x) > 1 for x in top)
+        elif LOG.match(q):
             continue
-        alike = shapes[form]
-        loose.update(own)
-        if own and repeats(akin, len(own), alike, focus):
-            bad += size
-        elif alike >= 8 and len(w) <= 3 and not ENDS.search(q):
-            bad += size
-        elif own:
-            left.append((size, own, alike))
+        elif urls:
+            stuffed = True
+        else:
+            own = [x for x in w if x not in GLUE]
+            if stems is None:
+                stems = {x for x, n in stems_of(every).items() if n >= often}
+            akin = max(sum(x in keys for x in own), sum(x[:STEM] in stems for x in own)) / len(own) if own else 0.0
+            if akin < 0.8 and (q.lstrip().startswith("|") or is_code(q)):
+                continue
+            loose.update(own)
+            stuffed = bool(own) and repeats(akin, len(own), alike, focus) or alike >= 8 and len(w) <= 3 and not form[-1]
+            if own and not stuffed:
+                left.append((size, own, form))
+        if stuffed:
+            groups[form][1] += size
     if left:
         # Many keywords have a small share of the page each, however often they come: then the list is a closed one.
         again, begins = repeated(loose, CLOSED), repeated(stems_of(loose), CLOSED_STEMS)
         if again or begins:
-            for size, own, alike in left:
-                if repeats(max(sum(x in again for x in own), sum(x[:STEM] in begins for x in own)) / len(own), len(own), alike, focus):
-                    bad += size
-    return bad / total if total else 0.0
+            for size, own, form in left:
+                if repeats(max(sum(x in again for x in own), sum(x[:STEM] in begins for x in own)) / len(own), len(own), groups[form][0], focus):
+                    groups[form][1] += size
+    # Sentences are one layout, whatever their lengths.
+    most = sorted([sum(n for f, (_, n) in groups.items() if f[0]), *(n for f, (_, n) in groups.items() if not f[0])], reverse=True)
+    return sum(most[:FEW]) / total if total else 0.0
 
 
 def stuffed_pages(docs: DataFrame, id_col: str, text_col: str, least: float = 0.5) -> DataFrame:
