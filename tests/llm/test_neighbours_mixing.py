@@ -1,11 +1,13 @@
 """Permutation index against brute force, mixing against its targets."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
-from tidemark.llm.neighbours import IndexOptions, footrule_block, list_keys, nearest_neighbours, permutations, similar_pairs
+from tidemark.llm.neighbours import IndexOptions, _long_lists, footrule_block, list_keys, nearest_neighbours, permutations, similar_pairs
 
 SCHEMA = "id string, vector array<float>"
 
@@ -60,14 +62,38 @@ def test_recall_and_similar_pairs_on_clusters(spark):
     assert len(true & close) >= 0.97 * len(true) and close <= true | close and len(close - true) <= 0.02 * len(true)
 
 
-def test_long_lists_are_cut(spark):
+def recall(spark, x, options, k=5):
+    pairs = [(f"{i:05d}", v) for i, v in enumerate(x)]
+    got = lists(nearest_neighbours(frame(spark, pairs), "id", "vector", k, options))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    hit = []
+    for at in range(0, len(x), 500):
+        sims = u[at : at + 500] @ u.T
+        sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -2
+        best = np.argpartition(-sims, k, axis=1)[:, :k]
+        hit += [len({f"{j:05d}" for j in b} & set(got.get(f"{at + i:05d}", []))) / k for i, b in enumerate(best)]
+    return np.array(hit)
+
+
+def test_recall_in_a_dense_region_with_lists_cut(spark):
+    # Half of all vectors lie around one centre; lists are cut there.
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=(1, 16)) + rng.normal(size=(500, 16)) * 0.3, rng.normal(size=(200, 16))])
-    pairs = [(f"{i:04d}", v) for i, v in enumerate(x)]
-    got = lists(nearest_neighbours(frame(spark, pairs), "id", "vector", 5, IndexOptions(min_list=40, list_factor=1.0, longest=2.5)))
-    want = brute(pairs, 5)
-    assert np.mean([len(set(got.get(a, [])) & set(b)) / 5 for a, b in want.items()]) > 0.6
+    centre = rng.normal(size=(1, 24))
+    x = np.concatenate([centre + rng.normal(size=(3000, 24)) * 0.4, rng.normal(size=(3000, 24))])
+    options = IndexOptions(longest=1.5)
+    hit = recall(spark, x, options)
+    assert hit.mean() >= 0.9 and hit[:3000].mean() >= 0.9, (hit.mean(), hit[:3000].mean())
+
+
+def test_lists_are_cut_while_it_helps():
     assert list_keys([3, 1, 2, 0], 1, frozenset({(3,), (3, 1)})) == [(3, 1, 0), (3, 1, 2), (3, 2)]
+    rng = np.random.default_rng(3)
+    spread_out = np.array([rng.permutation(30)[:8] for _ in range(4000)])
+    long_ = _long_lists(spread_out, 1.0, 3, 50, 8)
+    sizes = Counter(k for p in spread_out for k in list_keys(p, 3, long_))
+    assert max(sizes.values()) <= 50 and max(map(len, sizes)) > 1
+    alike = np.array([[5, 4, 3, 2, 1, 0, 6, 7]] * 4000)
+    assert max(len(k) for k in _long_lists(alike, 1.0, 3, 50, 8)) == 1
 
 
 @pytest.mark.parametrize("scale", ["exact", "any"])

@@ -6,10 +6,14 @@ collection. Inside a posting list the others are ranked by Spearman's footrule b
 ``candidates`` (in a shorter list all) are reranked by exact cosine similarity, and the lists' findings are merged per
 vector.
 
-Copies of a vector, also rescaled ones whose directions are equal in double precision, are one vector in the index and
-come back as members afterwards, so a group of copies of any size adds rows in proportion to itself, never its pairs.
-Equal cosines fall to the smallest id among the copies, in the lists and where these are merged. Posting lists that the sample shows to be far longer than the others are
-cut by the next pivots of the permutation, again and again, so no task holds an unbounded list.
+Posting lists that the sample shows to be longer than ``longest`` mean lists, or than ``most_rows``, are cut by the next
+pivots of the permutation, again and again as long as this makes them shorter, so the rows a list holds don't grow with
+the collection beyond that bound. Pivots are drawn from the vectors, so a region that holds a third of these has a third
+of the pivots, and its lists are no longer than others.
+
+Copies of a vector, also rescaled ones whose directions differ by rounding, are one vector in the index and come back as
+members afterwards, so a group of copies of any size adds rows in proportion to itself, never its pairs. Equal cosines fall
+to the smallest id among the copies, in the lists and where these are merged.
 """
 
 from __future__ import annotations
@@ -24,6 +28,11 @@ from tidemark.session import spread
 
 #: Cosines in single precision that lie closer together than this may be equal to 6 digits.
 BLUR = 4e-6
+#: Directions are one if they fall into one cell of this width on each of so many fixed random axes: rounding moves them by
+#: some 1e-8 there, so one group of rescaled copies in fifty or so is two, and unlike directions never meet by chance.
+CELL, AXES = 1e-6, 6
+#: Bytes of posted vectors a task should read.
+TASK_BYTES = 24_000_000
 
 
 @dataclass(frozen=True)
@@ -31,17 +40,24 @@ class IndexOptions:
     """The mean length of a posting list follows the square root of the collection (``list_factor`` times it,
     ``min_list`` at least), and so does the number of pivots, up to ``max_pivots`` (the bound of what is sent to every
     task: 4096 pivots of 384 floats are 6 MB): with lists of a fixed length recall would fall as the collection grows.
-    ``candidates`` and ``longest`` are in lengths of a mean list. ``sample_rows`` bounds the sample from which pivots
-    are drawn and long lists are foreseen."""
+    The sample tells how many true neighbours share a list; while these are fewer than ``recall``, lists are made longer
+    (``efforts``: by how much, and in how many sublists a vector is posted where its list is cut). In a sample far smaller
+    than the collection neighbours are farther apart, so the estimate is then too low rather than too high.
+    ``candidates`` and ``longest`` are in lengths of a mean list; ``most_rows`` is the length in rows from which lists are
+    cut whatever the mean (20,000 vectors of 384 floats are 31 MB). ``sample_rows`` bounds the sample from which pivots are
+    drawn and long lists are foreseen (25 MB on the driver)."""
 
     posts: int = 3
     width: int = 24
     list_factor: float = 3.2
     min_list: int = 300
     candidates: float = 2.0
-    longest: float = 8.0
+    longest: float = 4.0
+    most_rows: int = 20_000
     max_pivots: int = 4096
-    sample_rows: int = 8_192
+    recall: float = 0.94
+    efforts: tuple = ((1.0, 2), (1.3, 2), (1.6, 2), (2.0, 3), (2.6, 3), (4.0, 4), (6.0, 5))
+    sample_rows: int = 16_384
     seed: int = 7
 
     def list_rows(self, total: int) -> int:
@@ -62,10 +78,20 @@ def _directions(vecs, dim: int):
     x = (flat if whole else np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in keep] or [flat[:0]])).reshape(len(keep), dim)
     good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
     keep, x = keep[good], np.ascontiguousarray(x[good])
-    keys = np.array([xxhash.xxh64_intdigest(y) for y in _scaled(x)], np.uint64).astype(np.int64)
+    keys = np.array([xxhash.xxh64_intdigest(y) for y in _cells(x)], np.uint64).astype(np.int64)
     return keep, x, keys
 
 
+def _cells(x):
+    """The cells of vectors' directions on the axes."""
+    import numpy as np
+
+    y = _scaled(x)
+    y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
+    axes = np.random.default_rng(5).normal(size=(y.shape[1], AXES))
+    return np.floor(np.einsum("rd,da->ra", y, axes) / CELL).astype(np.int64)
+
+
 def _scaled(x):
     """Vectors in double precision with 1 as their greatest component: no overflow in the squares, and the same for
     rescaled copies."""
@@ -136,23 +162,24 @@ def permutations(x, pivots, width: int):
     """The nearest pivots of unit vectors, in order; equal similarities fall to the smaller pivot number."""
     import numpy as np
 
-    sims = x @ pivots.T
-    width = min(width, sims.shape[1])
-    near = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width < sims.shape[1] else np.tile(np.arange(width), (len(x), 1))
-    near.sort(axis=1)
-    order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
-    return np.take_along_axis(near, order, 1).astype(np.int16)
+    width, out = min(width, len(pivots)), []
+    for at in range(0, len(x), 2048):
+        sims = x[at : at + 2048] @ pivots.T
+        near = np.argpartition(-sims, width - 1, axis=1)[:, :width] if width < sims.shape[1] else np.tile(np.arange(width), (len(sims), 1))
+        near.sort(axis=1)
+        order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
+        out.append(np.take_along_axis(near, order, 1).astype(np.int16))
+    return np.concatenate(out)
 
 
-def list_keys(perm, posts: int, long_lists: frozenset, depth: int = 4) -> list[tuple]:
-    """Posting lists of one permutation: its first pivots; a list known to be long is left for its two sublists by the
-    next pivots."""
+def list_keys(perm, posts: int, long_lists: frozenset, sublists: int = 2) -> list[tuple]:
+    """Posting lists of one permutation: its first pivots; a list known to be long is left for so many sublists by the next
+    pivots."""
     keys, todo = [], [(int(p),) for p in perm[:posts]]
     while todo:
         key = todo.pop()
-        rest = [int(p) for p in perm if int(p) not in key]
-        if key in long_lists and len(key) < depth and rest:
-            todo += [(*key, p) for p in rest[:2]]
+        if key in long_lists:
+            todo += [(*key, p) for p in [int(p) for p in perm if int(p) not in key][:sublists]]
         else:
             keys.append(key)
     return sorted(set(keys))
@@ -262,12 +289,8 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     if not len(x):
         return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
     x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
-    length = options.list_rows(total)
-    count = min(max(2 * options.posts, -(-options.posts * total // length)), options.max_pivots, len(x))
-    pivots = np.ascontiguousarray(x[:count])
-    width, posts = min(options.width, count), options.posts
-    long_lists = _long_lists(permutations(x, pivots, width), total / len(x), options.posts, options.longest * length)
-    shared = spark.sparkContext.broadcast((pivots, long_lists))
+    pivots, width, length, long_lists, sublists = _fit(x, total, k, options)
+    posts, shared = options.posts, spark.sparkContext.broadcast((pivots, long_lists))
 
     def post(frames):
         import pandas as pd
@@ -277,7 +300,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
             if not len(pdf):
                 continue
             perm = permutations(_unpack(pdf["packed"].tolist(), dim), at, width)
-            keys = [list_keys(p, posts, long_) for p in perm]
+            keys = [list_keys(p, posts, long_, sublists) for p in perm]
             pick = np.repeat(np.arange(len(pdf)), [len(x) for x in keys])
             yield pd.DataFrame(
                 {"list": [",".join(map(str, y)) for x in keys for y in x], "rep": pdf["key"].to_numpy()[pick], "first": pdf["first"].to_numpy()[pick], "perm": [perm[i].tobytes() for i in pick], "packed": pdf["packed"].to_numpy()[pick]}
@@ -287,7 +310,9 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     # was posted several times but for the smallest id.
     packed = spread(rows).mapInArrow(_pack(dim), "key long, first string, packed binary")
     posted = packed.mapInPandas(post, "list string, rep long, first string, perm binary, packed binary")
-    found = posted.groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, first string, cosine double")
+    # As many tasks as the posted vectors need, not as the session has by default: lists spread over them by their names.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-options.posts * total * dim * 4 // TASK_BYTES))
+    found = posted.repartition(tasks, "list").groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, first string, cosine double")
     if least is not None:
         # Those clearly below have places after all others; those equal to 6 digits don't.
         found = found.filter(F.col("cosine") >= least - 1e-6)
@@ -297,17 +322,47 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     return best if least is None else best.filter(F.col("cosine") >= least)
 
 
-def _long_lists(perm, weight: float, posts: int, most: float) -> frozenset:
-    """Posting lists, and sublists of long ones, that the sample foresees to exceed ``most`` rows."""
+def _fit(x, total: int, k: int, options: IndexOptions):
+    """Pivots, width, mean list, long lists and sublists, from a sample of unit vectors: the first of ``efforts`` with
+    which enough of the nearest neighbours that the sample knows share a list."""
+    import numpy as np
+
+    asked = np.arange(0, len(x), max(1, len(x) // 1000))
+    near = max(1, min(round(k * len(x) / max(1, total)), len(x) - 1, k))
+    if len(x) > 1:
+        sims = x[asked] @ x.T
+        sims[np.arange(len(asked)), asked] = -2
+        true = np.argpartition(-sims, near - 1, axis=1)[:, :near]
+    for factor, sublists in options.efforts:
+        length = round(options.list_rows(total) * factor)
+        count = min(max(2 * options.posts, -(-options.posts * total // length)), options.max_pivots, len(x))
+        pivots = np.ascontiguousarray(x[:count])
+        width = min(options.width, count)
+        perm = permutations(x, pivots, width)
+        long_lists = _long_lists(perm, total / len(x), options.posts, min(options.longest * length, options.most_rows), width, sublists)
+        if len(x) < 2 or count <= 2 * options.posts:
+            break
+        keys: dict = {}
+        lists = lambda i: keys[i] if i in keys else keys.setdefault(i, set(list_keys(perm[i], options.posts, long_lists, sublists)))
+        if np.mean([not lists(i).isdisjoint(lists(j)) for i, row in zip(asked.tolist(), true.tolist()) for j in row]) >= options.recall:
+            break
+    return pivots, width, length, long_lists, sublists
+
+
+def _long_lists(perm, weight: float, posts: int, most: float, width: int, sublists: int = 2) -> frozenset:
+    """Posting lists, and sublists of long ones, that the sample foresees to exceed ``most`` rows. Where the sublists
+    wouldn't be shorter, as in a list of vectors with one permutation, cutting ends."""
     from collections import Counter
 
     long_: frozenset = frozenset()
-    for depth in range(1, 4):
-        sizes = Counter(key for p in perm for key in list_keys(p, posts, long_) if len(key) == depth)
-        more = {key for key, n in sizes.items() if n * weight > most}
+    parents: dict = {}
+    for depth in range(1, width):
+        sizes = Counter(key for p in perm for key in list_keys(p, posts, long_, sublists) if len(key) == depth)
+        more = {key for key, n in sizes.items() if n * weight > most and n < 0.8 * parents.get(key[:-1], n + n)}
         if not more:
             break
         long_ |= more
+        parents = sizes
     return long_
 
 
