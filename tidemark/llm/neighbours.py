@@ -31,8 +31,8 @@ BLUR = 4e-6
 #: Directions are one if they fall into one cell of this width on each of so many fixed random axes: rounding moves them by
 #: some 1e-8 there, so one group of rescaled copies in fifty or so is two, and unlike directions never meet by chance.
 CELL, AXES = 1e-6, 6
-#: Bytes of posted vectors a task should read.
-TASK_BYTES = 24_000_000
+#: Bytes of posted vectors a task should read, and the most tasks.
+TASK_BYTES, MOST_TASKS = 12_000_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ class IndexOptions:
     than the collection neighbours are farther apart, so the estimate is then too low rather than too high.
     ``candidates`` and ``longest`` are in lengths of a mean list; ``most_rows`` is the length in rows from which lists are
     cut whatever the mean (20,000 vectors of 384 floats are 31 MB). ``sample_rows`` bounds the sample from which pivots are
-    drawn and long lists are foreseen (25 MB on the driver)."""
+    drawn and long lists are foreseen (13 MB on the driver)."""
 
     posts: int = 3
     width: int = 24
@@ -57,7 +57,7 @@ class IndexOptions:
     max_pivots: int = 4096
     recall: float = 0.94
     efforts: tuple = ((1.0, 2), (1.3, 2), (1.6, 2), (2.0, 3), (2.6, 3), (4.0, 4), (6.0, 5))
-    sample_rows: int = 16_384
+    sample_rows: int = 8_192
     seed: int = 7
 
     def list_rows(self, total: int) -> int:
@@ -311,7 +311,7 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     packed = spread(rows).mapInArrow(_pack(dim), "key long, first string, packed binary")
     posted = packed.mapInPandas(post, "list string, rep long, first string, perm binary, packed binary")
     # As many tasks as the posted vectors need, not as the session has by default: lists spread over them by their names.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-options.posts * total * dim * 4 // TASK_BYTES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-options.posts * total * dim * 4 // TASK_BYTES)))
     found = posted.repartition(tasks, "list").groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, first string, cosine double")
     if least is not None:
         # Those clearly below have places after all others; those equal to 6 digits don't.
