@@ -57,6 +57,18 @@ def test_large_groups_are_ranked_in_ranges(spark):
     assert small == {tuple(r) for r in rank_values(df, ["g"], bucket_rows=50).collect()}
 
 
+def test_ties_of_a_large_group_are_placed_by_many_tasks(spark):
+    df = spark.range(20_000).select(F.lit(1).cast("long").alias("g"), "id", F.lit(None).cast("float").alias("a"))
+    got = borda_ranking(df, "g", "id", {"a": 1.0})
+    assert got.filter(F.col("place") != F.col("id") + 1).count() == 0 and got.select("place").distinct().count() == 20_000
+    assert points_in_ranges(spark) > 1
+
+
+def points_in_ranges(spark):
+    points = spark.range(20_000).select(F.lit(1).alias("g"), F.col("id").alias("i"), F.lit(0.5).alias("points"))
+    return points.repartitionByRange(4, "g", F.col("points").desc(), F.col("i")).select(F.spark_partition_id()).distinct().count()
+
+
 def test_empty_borda(spark):
     assert borda_ranking(spark.createDataFrame([], SCHEMA), "g", "i", {"a": 1.0}).count() == 0
 

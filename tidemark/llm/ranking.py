@@ -1,8 +1,9 @@
 """One ranking from several differently scaled scores, by Borda count.
 
 Ranks are counted on distinct values: rows are first tallied per (group, score, value), which combines before the
-shuffle, and large groups are cut into ranges of values whose offsets are summed up, so a group with a third of all
-rows is ranked by many tasks.
+shuffle, and groups with more values than a task may order are cut into ranges of values whose offsets are summed up.
+Places of all items are given along one sort by ranges of (group, points, item), so a group with a third of all rows is
+ranked by many tasks even if all its items tie.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 #: Distinct values of one group and score that one task may order.
 BUCKET_ROWS = 100_000
 
@@ -17,7 +20,10 @@ BUCKET_ROWS = 100_000
 def rank_values(values: DataFrame, keys: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Of rows ``keys, value`` one row per distinct value: ``n`` (rows with it), ``before`` (rows of the group with a
     greater value) and ``m`` (rows of the group). Values are doubles, not null."""
-    tally = values.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    tally = cut_lineage(values.groupBy(*keys, "value").agg(F.count("*").alias("n")))
+    if tally.groupBy(*keys).count().filter(F.col("count") > bucket_rows).isEmpty():
+        whole, higher = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return tally.select(*keys, "value", "n", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("m"))
     sizes = tally.groupBy(*keys).agg(F.sum("n").alias("m"), F.count("*").alias("distinct_values"))
     # Groups with more distinct values than a task may order: at most rows / bucket_rows of them.
     big = sizes.filter(F.col("distinct_values") > bucket_rows).select(*keys, "distinct_values")
@@ -61,7 +67,15 @@ def borda_ranking(hits: DataFrame, group: str, item: str, scores: dict[str, floa
     if top is not None:
         placed = points.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter(F.col("place") <= top)
     else:
-        before = rank_values(points.select("g", F.col("points").alias("value")), ["g"]).select("g", F.col("value").alias("points"), "before")
-        tied = F.row_number().over(Window.partitionBy("g", "points").orderBy("i"))
-        placed = points.withColumn("tied", tied).join(before, ["g", "points"]).withColumn("place", (F.col("before") + F.col("tied")).cast("int"))
+        placed = _places(points, order)
     return placed.select(F.col("g").alias(group), F.col("i").alias(item), "points", "place")
+
+
+def _places(points: DataFrame, order: list) -> DataFrame:
+    """``points(g, i, points)`` with ``place``: rows are sorted by ranges of group, points and item, counted in each range,
+    and the ranges' counts of a group are summed up. Ties are cut by item, so no range is longer for them."""
+    ranged = cut_lineage(points.repartitionByRange("g", *order).withColumn("range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("g", "range").orderBy(*order))
+    above = Window.partitionBy("g").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("g", "range").agg(F.count("*").alias("n")).select("g", "range", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("offset"))
+    return ranged.withColumn("inside", inside).join(offsets, ["g", "range"]).select("g", "i", "points", (F.col("inside") + F.col("offset")).cast("int").alias("place"))
