@@ -22,6 +22,25 @@ def test_snapshot_table(spark, tmp_path):
     assert t.version() == 2
 
 
+def test_writes_touch_the_parts_of_their_keys(spark, tmp_path):
+    t = T.SnapshotTable(spark, str(tmp_path / "t"), "k", parts=8)
+    rows = lambda d: spark.createDataFrame(list(d.items()), "k string, v int")
+    state = {f"k{i}": i for i in range(200)} | {None: 1}
+    t.replace(rows(state))
+    parts = lambda v: sorted(p.name for p in (tmp_path / "t" / "data" / f"v{v}").glob("_part=*"))
+    assert len(parts(1)) == 8
+    t.upsert(rows({"k5": -5}), "k")
+    assert len(parts(2)) == 1 and parts(1) == sorted({*parts(1)})
+    t.append(rows({"more": 1}))
+    assert len(parts(3)) == 1
+    t.delete(rows({"k7": 0}), "k")
+    assert dict(map(tuple, t.read().collect())) == {k: v for k, v in state.items() if k != "k7"} | {"k5": -5, "more": 1}
+    # Files of the first version that two later ones rewrote are gone.
+    assert len(parts(1)) < 8 and not (tmp_path / "t" / "v2.json").exists()
+    t.replace(rows({}))
+    assert t.read().count() == 0 and t.append(rows({"a": 1})) == 6 and t.read().count() == 1
+
+
 def test_generations_overrides_and_deletion(spark):
     e = spark.createDataFrame([("e1", "n1", "n2", "derived", "x", 1), ("e2", "n2", "n3", "derived", "x", 2), ("e3", "n1", "n3", "user", None, None)], "edge_key string, source_key string, target_key string, origin string, extractor string, generation long")
     n = spark.createDataFrame([("n1", 1), ("n2", 2), ("n3", None)], "node_key string, generation long")
@@ -53,8 +72,10 @@ def events(spark, *seconds):
 
 
 def test_debounce_scope_and_freshness(spark):
-    b = watch.debounce(events(spark, 0, 2, 4, 20, 21), "project", "at", "3 seconds", "path").orderBy("dirty_since").collect()
-    assert [(r.events, r.dirty) for r in b] == [(3, ["f0"]), (2, ["f0", "f1"])]
+    e = events(spark, 0, 2, 4, 20, 21)
+    b = watch.debounce(e, "project", "at", "3 seconds", "path").orderBy("dirty_since").collect()
+    assert [(r.events, r.dirty_paths) for r in b] == [(3, 1), (2, 2)]
+    assert sorted((r.dirty_since, r.path) for r in watch.dirty_values(e, "project", "at", "3 seconds", "path").collect()) == [(T0, "f0"), (T0 + timedelta(seconds=20), "f0"), (T0 + timedelta(seconds=20), "f1")]
     bursts = watch.debounce(events(spark, 0, 10), "project", "at")
     marks = spark.createDataFrame([("p", T0)], "project string, completed_at timestamp")
     assert watch.stale_bursts(bursts, marks, "project").count() == 1 and watch.stale_bursts(bursts, marks.limit(0), "project").count() == 2
@@ -96,3 +117,29 @@ def test_small_scans_are_spread(spark, tmp_path):
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
     wide, shuffled = spark.range(0, 10, 1, 64), one.groupBy("id").count()
     assert spread(wide) is wide and spread(shuffled) is shuffled
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_bursts_over_chunks(spark, monkeypatch, chunk):
+    import random
+
+    monkeypatch.setattr(watch, "CHUNK_CELLS", chunk)
+    rng, now, at = random.Random(chunk), 0, []
+    for _ in range(300):
+        now += rng.choice([0, 1, 2, 3, 4, 9])
+        at.append(now)
+    runs = [[at[0]]]
+    for t in at[1:]:
+        if t - runs[-1][-1] <= 3:
+            runs[-1].append(t)
+        else:
+            runs.append([t])
+    got = watch.debounce(events(spark, *rng.sample(at, len(at))), "project", "at", "3 seconds", "path").orderBy("dirty_since").collect()
+    assert [(r.dirty_since, r.last_event, r.events, r.dirty_paths) for r in got] == [(T0 + timedelta(seconds=r[0]), T0 + timedelta(seconds=r[-1]), len(r), len({x % 2 for x in r})) for r in runs]
+
+
+def test_busy_projects_try_again(spark):
+    b = watch.debounce(events(spark, 0, 100, 200), "project", "at")
+    jobs = spark.createDataFrame([("p", T0, T0 + timedelta(seconds=10)), ("p", T0 + timedelta(seconds=12), T0 + timedelta(seconds=20)), ("p", T0 + timedelta(seconds=110), None), ("q", T0, T0 + timedelta(days=1))], "project string, started_at timestamp, finished_at timestamp")
+    got = watch.requeue(b, jobs, "project").orderBy("dirty_since").collect()
+    assert [((r.fires_at - T0).seconds, r.tries) for r in got] == [(21, 7), (103, 1), (203, 1)]

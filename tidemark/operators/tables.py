@@ -1,13 +1,18 @@
 """Snapshot tables on parquet: append, upsert, delete, compare-and-set and generational prune.
 
-Parquet has no MERGE, so a write makes a new snapshot and a pointer is renamed to it; readers see the old one or the new
-one, never half of it. The state transitions are plain DataFrame functions, so they also run inside larger plans.
+Parquet has no MERGE, so a write makes new files and a manifest that names them beside those that stay, and a pointer is
+renamed to it; readers see the old snapshot or the new one, never half of it. Tables with a key are laid out in parts by
+its hash, and a write touches the parts of its own keys only. The state transitions are plain DataFrame functions, so they
+also run inside larger plans.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 
 def last_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -84,10 +89,14 @@ def keep_newest(df: DataFrame, keys: list[str], order: list[Column], most: int)
 
 
 class SnapshotTable:
-    """A parquet table in versioned folders with a pointer file; one writer at a time."""
+    """A parquet table in versioned folders with a manifest per version and a pointer file; one writer at a time.
+
+    ``key``: rows lie in ``parts`` folders by the hash of their key. An append adds files to parts, an upsert, a merge and
+    a deletion rewrite the parts that hold a key they name. A table without key is one part until it is first upserted.
+    Files that neither the current nor the previous version names are removed."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, key: str | None = None, parts: int = 64):
+        self.spark, self.root, self.key, self.parts = spark, root.rstrip("/"), key, parts
         jvm = spark.sparkContext._jvm
         self._path = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join((self.root, *p)))
         self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -96,32 +105,91 @@ class SnapshotTable:
         """Number of the current snapshot, 0 if there is none."""
         return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0]) if self._fs.exists(self._path("CURRENT")) else 0
 
+    def _manifest(self, version: int) -> dict | None:
+        """Key, number of parts, schema, and per part the versions that have files of it."""
+        at = f"v{version}.json"
+        return json.loads(self.spark.read.text(f"{self.root}/{at}", wholetext=True).first()[0]) if version and self._fs.exists(self._path(at)) else None
+
+    def _read(self, manifest: dict, parts=None) -> DataFrame:
+        schema = types.StructType.fromJson(manifest["schema"])
+        paths = [f"{self.root}/data/v{v}/_part={p}" for p, versions in manifest["homes"].items() if parts is None or p in parts for v in versions]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def read(self, schema=None) -> DataFrame:
         """The current snapshot; a missing table is empty if its schema is given."""
-        v = self.version()
-        if v:
-            return self.spark.read.parquet(f"{self.root}/v{v}")
+        if manifest := self._manifest(self.version()):
+            return self._read(manifest)
         if schema is None:
             raise FileNotFoundError(self.root)
         return self.spark.createDataFrame([], schema)
 
-    def replace(self, df: DataFrame, expected: int | None = None) -> int:
-        """Write a new snapshot and point to it. With ``expected``, fail if the table moved on meanwhile."""
+    def _part(self, key: str | None, parts: int) -> Column:
+        return (F.pmod(F.xxhash64(key), F.lit(parts)) if key else F.lit(0)).cast("string")
+
+    def _publish(self, df: DataFrame, manifest: dict | None, key: str | None, stay: dict, expected: int | None) -> int:
+        """Write rows as files of a new version, name these beside those that stay, and point to it."""
         now = self.version()
         if expected is not None and expected != now:
             raise RuntimeError(f"conflict: expected version {expected}, found {now}")
-        df.write.mode("overwrite").parquet(f"{self.root}/v{now + 1}")
-        out = self._fs.create(self._path("CURRENT.next"), True)
-        out.write(bytearray(str(now + 1).encode()))
-        out.close()
+        parts = manifest["parts"] if manifest and manifest["key"] == key else self.parts
+        laid = df.withColumn("_part", self._part(key, parts))
+        # Balanced by part where there are parts: large ones go over several tasks, small ones together.
+        (laid.hint("rebalance", "_part") if key else laid).write.mode("overwrite").partitionBy("_part").parquet(f"{self.root}/data/v{now + 1}")
+        wrote = [f.getPath().getName().removeprefix("_part=") for f in self._fs.listStatus(self._path("data", f"v{now + 1}")) if f.isDirectory()]
+        homes = {p: list(stay.get(p, [])) + ([now + 1] if p in wrote else []) for p in sorted({*stay, *wrote})}
+        schema = manifest["schema"] if manifest and stay else df.schema.jsonValue()
+        self._write(json.dumps({"key": key, "parts": parts, "schema": schema, "homes": homes}), f"v{now + 1}.json")
+        self._write(str(now + 1), "CURRENT.next")
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
         options = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), sc._jsc.hadoopConfiguration()).rename(self._path("CURRENT.next"), self._path("CURRENT"), options)
+        self._vacuum(now, homes, manifest)
         return now + 1
 
+    def _write(self, text: str, at: str) -> None:
+        out = self._fs.create(self._path(at), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _vacuum(self, before: int, homes: dict, manifest: dict | None) -> None:
+        used = {(str(v), p) for h in (homes, (manifest or {}).get("homes", {})) for p, versions in h.items() for v in versions}
+        for folder in self._fs.listStatus(self._path("data")):
+            name = folder.getPath().getName().removeprefix("v")
+            if int(name) > before + 1:
+                continue
+            for part in self._fs.listStatus(folder.getPath()):
+                if part.isDirectory() and (name, part.getPath().getName().removeprefix("_part=")) not in used:
+                    self._fs.delete(part.getPath(), True)
+        if before > 1:
+            self._fs.delete(self._path(f"v{before - 1}.json"), False)
+
+    def replace(self, df: DataFrame, expected: int | None = None) -> int:
+        """Write a new snapshot of all rows. With ``expected``, fail if the table moved on meanwhile."""
+        return self._publish(df, self._manifest(self.version()), self.key, {}, expected)
+
     def append(self, df: DataFrame) -> int:
-        return self.replace(self.read(df.schema).unionByName(df))
+        """Add rows; what is there stays where it is."""
+        manifest = self._manifest(self.version())
+        if manifest is None:
+            return self.replace(df)
+        columns = [f["name"] for f in manifest["schema"]["fields"]]
+        return self._publish(df.select(*columns), manifest, manifest["key"], manifest["homes"], None)
+
+    def merge(self, keys: DataFrame, key: str, combine, schema=None) -> int:
+        """Rewrite the parts that hold ``keys``: ``combine`` makes their new rows from their old ones. A table kept by
+        another key, or by none, is written anew by this one, once."""
+        manifest = self._manifest(self.version())
+        if manifest is None or manifest["key"] != key:
+            self.key = key
+            return self.replace(combine(self.read(schema)))
+        touched = {r[0] for r in keys.select(self._part(key, manifest["parts"]).alias("p")).distinct().collect()}  # at most ``parts``
+        stay = {p: v for p, v in manifest["homes"].items() if p not in touched}
+        return self._publish(combine(self._read(manifest, touched)), manifest, key, stay, None)
 
     def upsert(self, changes: DataFrame, key: str) -> int:
-        return self.replace(upsert(self.read(changes.schema), changes, key))
+        """Changed rows, one per key, replace those of their key; new ones are added."""
+        return self.merge(changes, key, lambda old: upsert(old, changes, key), changes.schema)
+
+    def delete(self, keys: DataFrame, key: str) -> int:
+        return self.merge(keys, key, lambda old: delete_keys(old, keys, key))
