@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import vault
-from tidemark.functions.predicates import prefers_text_search, recallable
+from tidemark.functions.predicates import LANGUAGES, in_wiki, prefers_text_search, recallable
+from tidemark.functions.timestamps import parse_instant
 from tidemark.operators import packs, retrieval
+from tidemark.operators.notes import live_notes
 
 DEFAULT_LIMIT, MOST = 10, 100
 PROJECTS = 8
@@ -121,3 +125,59 @@ def session_hook(event: str, stored: DataFrame, notes: DataFrame) -> DataFrame |
 def newest_per_project(notes: DataFrame, most: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("project").orderBy(F.col("created_at").desc_nulls_last(), "path"))
     return notes.withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+
+
+def merge_settings(stored: DataFrame, flags: DataFrame) -> DataFrame:
+    """Settings (key, include, code_indexing, languages) after flags of the same columns: only given fields change.
+    ``error`` names what is wrong with a project's flags, which then change nothing: an unknown language or an empty
+    glob."""
+    asked = flags.select("key", *[F.col(c).alias(f"_{c}") for c in ("include", "code_indexing", "languages")])
+    unknown = F.exists("_languages", lambda x: ~F.lower(F.trim(x)).isin("auto", *LANGUAGES))
+    error = F.when(unknown, "unknown language").when(F.exists("_include", lambda g: F.trim(g) == ""), "empty glob")
+    both = stored.join(asked, "key", "left").withColumn("error", error)
+    keep = lambda c: F.when(F.col("error").isNull(), F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c)
+    return both.select("key", *[keep(c) for c in ("include", "code_indexing", "languages")], "error")
+
+
+def migration_plan(notes: DataFrame, target: DataFrame) -> DataFrame:
+    """``step, id, subject, warning`` of moving the notes (id, path, project, links) of all other projects into the one
+    named by ``target(new)``, a single row. move: a note's new path, and whether another note has or gets it too; stamp:
+    the project it gets, and whether its path was another's; link: a link to a moved note, to be written anew, or of a moved
+    note to none."""
+    named = notes.join(F.broadcast(target))  # one row
+    moved = named.filter("project <> new and path like '%/%'").withColumn("to", F.concat("new", F.regexp_extract("path", "^[^/]*(.*)$", 1)))
+    meets = moved.groupBy("to").agg(F.count("*").alias("n"))
+    stays = notes.filter("path is not null").join(moved.select("id"), "id", "left_anti").select(F.col("path").alias("to"), F.lit(True).alias("taken")).distinct()
+    clash = F.when((F.col("n") > 1) | F.col("taken").isNotNull(), "collision")
+    step = lambda name, df, subject, warning: df.select(F.lit(name).alias("step"), "id", F.col(subject).alias("subject"), warning.alias("warning"))
+    moves = step("move", moved.join(meets, "to").join(stays, "to", "left"), "to", clash)
+    stamps = step("stamp", moved, "new", F.when(F.split_part("path", F.lit("/"), F.lit(1)) != F.col("project"), "path of another project"))
+    links = notes.select("id", F.explode("links").alias("link")).filter("link is not null").distinct()
+    repaired = step("link", links.join(moved.select(F.col("path").alias("link")).distinct(), "link", "left_semi"), "link", F.lit(None).cast("string"))
+    known = notes.filter("path is not null").select(F.col("path").alias("link"))
+    missing = step("link", links.join(moved.select("id"), "id", "left_semi").join(known, "link", "left_anti"), "link", F.lit("missing"))
+    return moves.unionByName(stamps).unionByName(repaired).unionByName(missing)
+
+
+def doctor(rows: DataFrame, registered: DataFrame, changes: DataFrame) -> DataFrame:
+    """``check, n``: numbers of issues of the synced notes (``rows``), given the projects ``registered(project)`` and the
+    observed ``changes`` (path, modified_at, change_id, content_hash) of the files."""
+    n = live_notes(rows, ["path", "links", "supersedes", "valid_from", "valid_until", "project"])
+    paths = n.filter("path is not null").select("path").distinct()
+    links = n.select("id", F.explode("links").alias("path")).filter("path is not null").distinct()
+    several = lambda df, by, what: df.filter(f"{by} is not null and {what} is not null").groupBy(by).agg(F.countDistinct(what).alias("k")).filter("k > 1")
+    unread = lambda c: F.col(c).isNotNull() & parse_instant(c).isNull()
+    files = changes.groupBy("path").agg(F.max(F.struct("modified_at", "change_id", "content_hash")).alias("s")).select("path", F.col("s.modified_at").alias("m"), F.col("s.content_hash").isNotNull().alias("there"))
+    indexed = rows.filter("path is not null").groupBy("path").agg(F.max("synced_at").alias("synced"))
+    fresh = files.filter("there").join(indexed, "path", "left")
+    named = n.filter("supersedes is not null").filter(~F.col("supersedes").startswith("path:"))
+    checks = {
+        "missing_id": rows.filter("id is null"), "duplicate_id": several(rows, "id", "path"), "shared_path": several(n, "path", "id"),
+        "bad_path": n.filter(F.col("path").isNull() | ~F.col("path").endswith(".md")), "broken_links": links.join(paths, "path", "left_anti"),
+        "broken_supersedes": named.join(n.select(F.col("id").alias("_k")), F.col("supersedes") == F.col("_k"), "left_anti"),
+        "bad_dates": n.filter(unread("valid_from") | unread("valid_until")), "wiki_leakage": n.filter(in_wiki(F.col("path"))), "no_project": n.filter("project is null"),
+        "unregistered_project": n.filter("project is not null").select("project").distinct().join(registered, "project", "left_anti"),
+        "not_indexed": fresh.filter("synced is null"), "outdated_index": fresh.filter("synced < m"), "index_of_deleted": paths.join(files.filter("not there"), "path", "left_semi"),
+    }
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in checks.items()]
+    return reduce(DataFrame.unionByName, counts)

@@ -237,6 +237,24 @@ def reciprocal_rank_fusion(lists: DataFrame, query: list[str], identity: list[st
     return total.withColumn("place", place).filter(F.col("place") <= limit)
 
 
+def semantic_graph(asked: DataFrame, vectors: DataFrame, nodes: DataFrame, max_nodes: int = 100, neighbours: int = 5, least: float = 0.7) -> DataFrame:
+    """``key_a, key_b, confidence`` of undirected links by meaning. ``asked`` and ``nodes``: node_key, path, label;
+    ``vectors``: path, label, vector, one per place. Of the nodes asked that have a vector the first ``max_nodes`` by key (200
+    at most) are taken, and of each the nearest ``neighbours`` (8 at most) other nodes with enough confidence. Hits that
+    are no node, and the node itself, don't count; of several nodes of one place the smallest key does. Nothing is
+    stored."""
+    place = nodes.groupBy("path", "label").agg(F.min("node_key").alias("target"))
+    base = vectors.join(place, ["path", "label"]).select("target", "vector")
+    picked = asked.join(vectors, ["path", "label"]).orderBy("node_key").limit(min(max_nodes, 200)).select("node_key", "vector")
+    k = min(neighbours, 8)
+    near = exact_neighbours(picked, base, k + 1, "node_key", "target", "vector").filter("node_key <> target")
+    hits = near.withColumn("confidence", confidence_of(F.col("distance"))).filter(F.col("confidence") >= least)
+    order = Window.partitionBy("node_key").orderBy(F.col("confidence").desc(), "target")
+    best = hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
+    pairs = best.groupBy(F.least("node_key", "target").alias("key_a"), F.greatest("node_key", "target").alias("key_b"))
+    return pairs.agg(F.round(F.max("confidence"), 6).alias("confidence"))
+
+
 def similarity_of(score: Column) -> Column:
     """A BM25 score as a distance."""
     return 1 / (1 + F.greatest(score, F.lit(0.0)))
@@ -253,11 +271,13 @@ def confidence_of(distance: Column) -> Column:
     return F.when(finite, F.least(F.greatest(1 / (1 + F.greatest(d, F.lit(0.0))), F.lit(0.0)), F.lit(1.0)))
 
 
-def char_budget(hits: Column, most: int) -> Column:
+def char_budget(hits: Column, most: int, include_content: bool = True) -> Column:
     """Of an array of structs (pinned, ord, id, content) the packed ones in order: pinned first; the others stop at the
     first that finds the budget spent or less than 80 characters left; what doesn't fit is cut; pinned ones always stay,
-    as a stub of 80 if need be; null contents cost nothing."""
+    as a stub of 80 if need be; null contents cost nothing. Without contents all hits stay, and nothing is spent."""
     ordered = F.array_sort(F.transform(hits, lambda h: F.struct((~F.coalesce(h["pinned"], F.lit(False))).alias("after"), h["ord"].alias("ord"), h["id"].alias("id"), h["content"].alias("content"))))
+    if not include_content:
+        return F.transform(ordered, lambda h: F.struct(h["id"].alias("id"), F.lit(None).cast("string").alias("content")))
     kind = "array<struct<id:bigint,content:string>>"
     state = F.struct(F.lit(0).alias("total"), F.lit(False).alias("stopped"), F.array().cast(kind).alias("kept"))
 

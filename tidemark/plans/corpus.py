@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tidemark.operators import codeparse, embed, markdown
 from tidemark.operators import tables as T
 from tidemark.operators.notes import live_notes
 from tidemark.sources import files
-from tidemark.session import read_table
+from tidemark.session import ensure_checkpoint_dir, read_table
 from tidemark.streaming import watch
 
 QUERIES, SQL = {}, {}
@@ -32,6 +34,10 @@ _LIVE = "held AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY synced_a
 _WIKI = "lower(split_part(regexp_replace(replace(path, '\\', '/'), '^(\\./)+', ''), '/', 1)) = 'wiki'"
 
 
+#: A readable date, as the notes' lints see it.
+_READ = "CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({0} || 'T00:00:00+00:00' AS timestamptz) WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?(Z|[+-]\\d{{2}}:\\d{{2}})') THEN try_cast({0} AS timestamptz) END"
+
+
 @query("src01_note_discovery", f"SELECT DISTINCT path FROM linked_notes WHERE regexp_full_match(path, '(?:.*/)?[^/]*\\.md') AND NOT regexp_matches(path, '(^|/)(node_modules|target|\\.git)/') AND NOT {_WIKI}")
 def src01(spark, sf):
     return files.select_notes(read_table(spark, sf, "linked_notes").select("path")).distinct()
@@ -112,7 +118,7 @@ _BURST = """b AS (SELECT project, min(arrived_at) dirty_since, max(arrived_at) l
 
 def bursts(spark, sf):
     e = read_table(spark, sf, "file_changes").withColumn("arrived_at", C("arrived_at").cast("timestamp"))
-    return watch.debounce(e, "project", "arrived_at", "1 hour", "path").withColumn("dirty_paths", F.size("dirty").cast("long")).drop("dirty")
+    return watch.debounce(e, "project", "arrived_at", "1 hour", "path")
 
 
 @query("str03_dirty_paths", f"WITH {_BURST} SELECT project, dirty_since, last_event, events, dirty_paths FROM b")
@@ -125,9 +131,9 @@ def str04(spark, sf):
     return watch.overflowed(bursts(spark, sf), 20).select("project", "dirty_since", "full_walk")
 
 
-@query("str05_fresh_enough", f"WITH {_BURST}, m AS (SELECT project, max(finished_at) done FROM index_jobs WHERE status = 'succeeded' AND job_id % 2 = 0 GROUP BY project) SELECT project, dirty_since FROM b LEFT JOIN m USING (project) WHERE done IS NULL OR done < dirty_since")
+@query("str05_fresh_enough", f"WITH {_BURST}, m AS (SELECT project, max(finished_at) done FROM index_jobs WHERE status = 'succeeded' GROUP BY project) SELECT project, dirty_since FROM b LEFT JOIN m USING (project) WHERE done IS NULL OR done < dirty_since")
 def str05(spark, sf):
-    done = read_table(spark, sf, "index_jobs").filter("status = 'succeeded' and job_id % 2 = 0 and finished_at is not null").select("project", C("finished_at").cast("timestamp").alias("completed_at"))
+    done = read_table(spark, sf, "index_jobs").filter("status = 'succeeded' and finished_at is not null").select("project", C("finished_at").cast("timestamp").alias("completed_at"))
     return watch.stale_bursts(bursts(spark, sf), done, "project").select("project", "dirty_since")
 
 
@@ -194,23 +200,23 @@ def top11(spark, sf):
     return read_table(spark, sf, "file_changes").select("change_id", "path").orderBy(C("change_id").desc()).limit(50).orderBy("change_id")
 
 
-@query("agg14_doctor", f"""WITH {_LIVE}, d AS (SELECT id FROM live GROUP BY id HAVING count(*) > 1)
-SELECT 'missing_id' "check", count(*) n FROM vault_notes WHERE id IS NULL UNION ALL SELECT 'broken_links', count(*) FROM (SELECT DISTINCT id, link FROM (SELECT id, unnest(links) link FROM live) WHERE link IS NOT NULL AND link NOT IN (SELECT path FROM live WHERE path IS NOT NULL))
-UNION ALL SELECT 'broken_supersedes', count(*) FROM live WHERE supersedes IS NOT NULL AND NOT starts_with(supersedes, 'path:') AND supersedes NOT IN (SELECT id FROM live)
-UNION ALL SELECT 'moved_notes', count(*) FROM (SELECT id FROM vault_notes WHERE id IS NOT NULL AND path IS NOT NULL GROUP BY id HAVING count(DISTINCT path) > 1)""")
+@query("agg14_doctor", f"""WITH {_LIVE}, p AS (SELECT DISTINCT path FROM live WHERE path IS NOT NULL), l AS (SELECT DISTINCT id, link FROM (SELECT id, unnest(links) link FROM live) WHERE link IS NOT NULL),
+x AS (SELECT path, max(synced_at) synced FROM vault_notes WHERE path IS NOT NULL GROUP BY path), f AS (SELECT path, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) h, max(modified_at) m FROM file_changes WHERE corpus = 'vault' AND path IS NOT NULL GROUP BY path)
+SELECT 'missing_id' "check", count(*) n FROM vault_notes WHERE id IS NULL UNION ALL SELECT 'duplicate_id', count(*) FROM (SELECT id FROM vault_notes WHERE id IS NOT NULL AND path IS NOT NULL GROUP BY id HAVING count(DISTINCT path) > 1)
+UNION ALL SELECT 'shared_path', count(*) FROM (SELECT path FROM live WHERE path IS NOT NULL GROUP BY path HAVING count(DISTINCT id) > 1) UNION ALL SELECT 'bad_path', count(*) FROM live WHERE path IS NULL OR NOT ends_with(path, '.md')
+UNION ALL SELECT 'broken_links', count(*) FROM l WHERE link NOT IN (SELECT path FROM p) UNION ALL SELECT 'broken_supersedes', count(*) FROM live WHERE supersedes IS NOT NULL AND NOT starts_with(supersedes, 'path:') AND supersedes NOT IN (SELECT id FROM live)
+UNION ALL SELECT 'bad_dates', count(*) FROM live WHERE (valid_from IS NOT NULL AND {_READ.format('valid_from')} IS NULL) OR (valid_until IS NOT NULL AND {_READ.format('valid_until')} IS NULL)
+UNION ALL SELECT 'wiki_leakage', count(*) FROM live WHERE {_WIKI} UNION ALL SELECT 'no_project', count(*) FROM live WHERE project IS NULL
+UNION ALL SELECT 'unregistered_project', count(DISTINCT project) FROM live WHERE project IS NOT NULL AND project NOT IN (SELECT project FROM index_jobs WHERE project IS NOT NULL)
+UNION ALL SELECT 'not_indexed', count(*) FROM f LEFT JOIN x USING (path) WHERE h <> '' AND synced IS NULL UNION ALL SELECT 'outdated_index', count(*) FROM f JOIN x USING (path) WHERE h <> '' AND synced < m
+UNION ALL SELECT 'index_of_deleted', count(*) FROM p JOIN f USING (path) WHERE h = ''""")
 def agg14(spark, sf):
-    """Numbers of issues by check."""
-    raw = read_table(spark, sf, "vault_notes")
-    n = live_notes(raw, ["path", "links", "supersedes"])
-    links = n.select("id", F.explode("links").alias("link")).filter("link is not null").distinct().join(n.select(C("path").alias("link")), "link", "left_anti")
-    broken = n.filter("supersedes is not null").filter(~C("supersedes").startswith("path:")).join(n.select(C("id").alias("k")), C("supersedes") == C("k"), "left_anti")
-    moved = raw.filter("id is not null and path is not null").groupBy("id").agg(F.countDistinct("path").alias("p")).filter("p > 1")
-    parts = {"missing_id": raw.filter("id is null"), "broken_links": links, "broken_supersedes": broken, "moved_notes": moved}
-    out = None
-    for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Numbers of issues by check: identities, paths, links, dates, generated notes, registry and freshness of the index."""
+    from tidemark import api
+
+    jobs = read_table(spark, sf, "index_jobs").filter("project is not null").select("project").distinct()
+    d = read_table(spark, sf, "file_changes").filter("corpus = 'vault' and path is not null")
+    return api.doctor(read_table(spark, sf, "vault_notes"), jobs, d)
 
 
 QUERIES["cmp08_doctor"], SQL["cmp08_doctor"] = agg14, SQL["agg14_doctor"]
@@ -302,13 +308,21 @@ def cmp10(spark, sf):
     return n.join(old, C("supersedes") == C("old_id")).filter(~C("said").eqNullSafe(C("id"))).select(C("id").alias("new_id"), "old_id")
 
 
-@query("cmp12_migration_plan", f"WITH {_LIVE}, t AS (SELECT id, regexp_replace(path, '^[^/]+/', 'merged/') target FROM live WHERE path IS NOT NULL AND project IN ('fjord-sync', 'heron-mailer', 'atlas-gateway')) SELECT id, target, count(*) OVER (PARTITION BY target) > 1 collision FROM t")
+_MOVE = f"""{_LIVE}, home AS (SELECT project old, CASE WHEN project = (SELECT min(project) FROM live WHERE project IS NOT NULL) THEN NULL ELSE (SELECT min(project) FROM live WHERE project IS NOT NULL) END new FROM (SELECT DISTINCT project FROM live WHERE project IS NOT NULL)),
+mv AS (SELECT id, path, project, links, new, new || substr(path, length(split_part(path, '/', 1)) + 1) target FROM live JOIN home ON old = project WHERE path IS NOT NULL AND new IS NOT NULL AND contains(path, '/')),
+tg AS (SELECT target, count(*) n FROM mv GROUP BY target), busy AS (SELECT DISTINCT path FROM live WHERE path IS NOT NULL AND id NOT IN (SELECT id FROM mv))"""
+
+
+@query("cmp12_migration_plan", f"""WITH {_MOVE} SELECT 'move' step, id, target AS subject, CASE WHEN n > 1 OR target IN (SELECT path FROM busy) THEN 'collision' END warning FROM mv JOIN tg USING (target)
+UNION ALL SELECT 'stamp', id, new, CASE WHEN split_part(path, '/', 1) <> project THEN 'path of another project' END FROM mv
+UNION ALL SELECT DISTINCT 'link', l.id, l.link, CASE WHEN mv.path IS NULL THEN 'missing' END FROM (SELECT id, unnest(links) link FROM live) l LEFT JOIN mv ON mv.path = l.link WHERE mv.path IS NOT NULL OR (l.id IN (SELECT id FROM mv) AND l.link NOT IN (SELECT path FROM live WHERE path IS NOT NULL))""")
 def cmp12(spark, sf):
-    """Notes of three projects moved into one, and which of them would meet."""
-    n = live_notes(read_table(spark, sf, "vault_notes"), ["path", "project"]).filter(C("path").isNotNull() & C("project").isin("fjord-sync", "heron-mailer", "atlas-gateway"))
-    t = n.select("id", F.regexp_replace("path", "^[^/]+/", "merged/").alias("target"))
-    many = t.groupBy("target").agg((F.count("*") > 1).alias("collision"))
-    return t.join(many, "target").select("id", "target", "collision")
+    """The plan that moves every project into the first one: notes with their new places, projects to be stamped, links to
+    be written anew, with what stands in the way."""
+    from tidemark import api
+
+    n = live_notes(read_table(spark, sf, "vault_notes"), ["path", "project", "links"])
+    return api.migration_plan(n, n.filter("project is not null").agg(F.min("project").alias("new")))
 
 
 @query("cmp14_projects", "SELECT DISTINCT project FROM index_jobs ORDER BY project")
@@ -322,19 +336,34 @@ def cmp15(spark, sf):
     return read_table(spark, sf, "documents").filter("project is not null").select(project_key(C("project")).alias("key"), F.lit(P.INCLUDE_GLOBS[0]).alias("include"), F.lit(False).alias("code_indexing")).distinct()
 
 
-@query("cmp16_config_merge", "SELECT m.source, coalesce(CASE WHEN m.max_repeats % 2 = 0 THEN m.max_repeats * 10 END, m.max_repeats) max_repeats, m.target_share FROM mix_targets m")
+_KNOWN = "CASE lower(trim(language)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.LANGUAGES.items()) + " END"
+
+
+@query("cmp16_config_merge", f"""WITH st AS (SELECT DISTINCT project AS key FROM documents WHERE project IS NOT NULL), g AS (SELECT split_part(file_path, '/', 1) AS key, list_sort(list_distinct(list(trim(lower(language))))) languages, bool_or({_KNOWN} IS NULL) bad FROM code_chunks WHERE language IS NOT NULL GROUP BY 1)
+SELECT key, '**/*.md' include, coalesce(bad IS NOT NULL AND NOT bad, false) code_indexing, CASE WHEN NOT bad THEN array_to_string(languages, ',') ELSE '' END languages, CASE WHEN bad THEN 'unknown language' END error FROM st LEFT JOIN g USING (key)""")
 def cmp16(spark, sf):
-    """Given fields overwrite, the others stay."""
-    t = read_table(spark, sf, "mix_targets")
-    given = t.filter("max_repeats % 2 = 0").select("source", (C("max_repeats") * 10).alias("given"))
-    return t.join(given, "source", "left").select("source", F.coalesce("given", "max_repeats").alias("max_repeats"), "target_share")
+    """Settings of the projects after flags that turn code indexing on for the languages they have; other fields stay, and
+    flags with an unknown language change nothing."""
+    from tidemark import api
+
+    stored = read_table(spark, sf, "documents").filter("project is not null").select(C("project").alias("key")).distinct()
+    stored = stored.select("key", F.array(F.lit(P.INCLUDE_GLOBS[0])).alias("include"), F.lit(False).alias("code_indexing"), F.array().cast("array<string>").alias("languages"))
+    c = read_table(spark, sf, "code_chunks").filter("language is not null")
+    given = c.groupBy(F.split_part("file_path", F.lit("/"), F.lit(1)).alias("key")).agg(F.array_sort(F.collect_set(F.trim(F.lower("language")))).alias("languages"))
+    flags = given.select("key", F.lit(None).cast("array<string>").alias("include"), F.lit(True).alias("code_indexing"), "languages")
+    return api.merge_settings(stored, flags).select("key", F.array_join("include", ",").alias("include"), "code_indexing", F.array_join("languages", ",").alias("languages"), "error")
 
 
-@query("str08_incremental_sync", "SELECT path, m modified_at FROM (SELECT path, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) h, max(modified_at) m FROM file_changes WHERE corpus = 'vault' GROUP BY path) WHERE h <> ''")
+@query("str08_incremental_sync", "SELECT path, m modified_at FROM (SELECT path, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) h, max(modified_at) m FROM file_changes WHERE corpus = 'vault' AND path IS NOT NULL GROUP BY path) WHERE h <> ''")
 def str08(spark, sf):
-    """What an index holds after syncing all changes of notes: the newest state of each path that still exists."""
-    d = read_table(spark, sf, "file_changes").filter("corpus = 'vault'").groupBy("path").agg(F.max(F.struct("modified_at", "change_id", "content_hash")).alias("s"))
-    return d.filter("s.content_hash is not null").select("path", C("s.modified_at").alias("modified_at"))
+    """A table of notes after two syncs: of what was on disk in the first half of time, and of what is there at the end."""
+    d = read_table(spark, sf, "file_changes").filter("corpus = 'vault' and path is not null").withColumn("at", F.unix_micros(C("arrived_at").cast("timestamp")))
+    half = d.join(F.broadcast(d.agg(F.expr("(min(at) + max(at)) div 2").alias("half"))), C("at") <= C("half"))  # one row
+    held = lambda rows: rows.groupBy("path").agg(F.max(F.struct("modified_at", "change_id", "content_hash")).alias("s")).filter("s.content_hash is not null").select("path", C("s.modified_at").alias("modified_at"), C("s.content_hash").alias("digest"))
+    t = T.SnapshotTable(spark, f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}", "path", 16)
+    for listing in (held(half), held(d)):
+        watch.sync_snapshot(t, listing, lambda dirty: dirty.select("path", "modified_at", "digest"))
+    return t.read().select("path", "modified_at")
 
 
 @query("src02_default_globs", "SELECT * FROM (VALUES ('include', '**/*.md'), ('exclude', '**/node_modules/**'), ('exclude', '**/target/**'), ('exclude', '**/.git/**')) t(kind, pattern)")
@@ -342,10 +371,20 @@ def src02(spark, sf):
     return spark.createDataFrame([("include", g) for g in P.INCLUDE_GLOBS] + [("exclude", g) for g in P.EXCLUDE_GLOBS], "kind string, pattern string")
 
 
-@query("src11_help_texts", "SELECT DISTINCT kind command, 'run ' || kind AS content FROM index_jobs")
+def _help():
+    """Usage and purpose of the tools."""
+    import inspect
+
+    from tidemark import api
+
+    found = {n: f for n, f in vars(api).items() if inspect.isfunction(f) and f.__module__ == api.__name__ and f.__doc__}
+    return {n: f"usage: {n}({', '.join(inspect.signature(f).parameters)})\n\n{' '.join(f.__doc__.split())}\n" for n, f in found.items()}
+
+
+@query("src11_help_texts", "SELECT * FROM (VALUES " + ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in _help().items()) + ") t(command, content)")
 def src11(spark, sf):
-    """Help texts of the indexer's commands as a source of context packs."""
-    return read_table(spark, sf, "index_jobs").select(C("kind").alias("command"), F.concat(F.lit("run "), "kind").alias("content")).distinct()
+    """Help texts of the tools as a source of context packs."""
+    return files.help_texts(spark, _help())
 
 
 @query("set05_section_concat", "SELECT 'decisions' section, doc_id FROM documents WHERE trim(lower(source)) = 'vault_export' UNION ALL SELECT 'code', doc_id FROM documents WHERE trim(lower(source)) = 'code_docs'")
@@ -392,12 +431,17 @@ def str01(spark, sf):
     return d.select("change_id", "path", F.when(C("content_hash").isNull(), "removed").otherwise("written").alias("event"))
 
 
-@query("str07_second_tries", "SELECT job_id, next_id FROM (SELECT job_id, status, lead(job_id) OVER (PARTITION BY project, corpus ORDER BY started_at, job_id) next_id FROM (SELECT DISTINCT job_id, project, corpus, status, started_at FROM index_jobs)) WHERE status IN ('failed', 'cancelled') AND next_id IS NOT NULL")
+_BUSY = """jb AS (SELECT DISTINCT project, epoch_us(started_at) s, epoch_us(finished_at) + 3000000 e FROM index_jobs WHERE finished_at IS NOT NULL AND project IS NOT NULL AND started_at <= finished_at),
+jm AS (SELECT *, max(e) OVER (PARTITION BY project ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) before FROM jb), jr AS (SELECT *, sum(CASE WHEN before IS NULL OR before < s THEN 1 ELSE 0 END) OVER (PARTITION BY project ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM jm),
+busy AS (SELECT project, min(s) s, max(e) - 3000000 e FROM jr GROUP BY project, g)"""
+
+
+@query("str07_second_tries", f"""WITH {_BURST}, {_BUSY}, a AS (SELECT project, dirty_since, epoch_us(last_event) + 3000000 AS asks FROM b), w AS (SELECT a.*, coalesce(max(CASE WHEN e > asks THEN ceil((e - asks) / 3000000) END), 0)::bigint again FROM a LEFT JOIN busy ON busy.project = a.project AND s <= asks GROUP BY ALL)
+SELECT project, dirty_since, make_timestamp(asks + again * 3000000) fires_at, (again + 1)::int tries FROM w""")
 def str07(spark, sf):
-    """Runs that didn't succeed and the one that took their place."""
-    j = read_table(spark, sf, "index_jobs").select("job_id", "project", "corpus", "status", "started_at").distinct()
-    later = j.withColumn("next_id", F.lead("job_id").over(Window.partitionBy("project", "corpus").orderBy("started_at", "job_id")))
-    return later.filter(C("status").isin("failed", "cancelled") & C("next_id").isNotNull()).select("job_id", "next_id")
+    """When each burst's run gets its turn: a project that is busy is asked again every three seconds."""
+    jobs = read_table(spark, sf, "index_jobs").filter("project is not null").select("project", "started_at", "finished_at")
+    return watch.requeue(bursts(spark, sf), jobs, "project")
 
 
 @query("cmp03_checkpoint_load", f"""WITH {_LIVE}, t AS (SELECT path, max(title) title FROM live WHERE path IS NOT NULL GROUP BY path)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import folder_chain, json_ok
 from tidemark.functions.timestamps import parse_instant
 from tidemark.operators import tables as T
-from tidemark.operators.retrieval import exact_neighbours
-from tidemark.session import read_table
+from tidemark.operators.retrieval import exact_neighbours, semantic_graph
+from tidemark.session import ensure_checkpoint_dir, read_table
 
 QUERIES, SQL = {}, {}
 C = F.col
@@ -35,23 +37,33 @@ def nodes(spark, sf):
 
 
 def overrides(spark, sf):
-    """An override for every seventh arrival (suppress) and every eleventh (restore)."""
-    e = edges(spark, sf).filter("row_no % 7 = 0 or row_no % 11 = 0")
-    return e.select("edge_key", F.when(C("row_no") % 7 == 0, "suppress").otherwise("restore").alias("action"), (C("row_no") % 3 + 1).alias("revision"))
+    """What users would set: unresolved derived edges suppressed, their own restored, with as many revisions as arrivals."""
+    e = T.last_per_key(read_table(spark, sf, "graph_edges").select("edge_key", "row_no", "origin", "resolution"), "edge_key", ["row_no"])
+    n = read_table(spark, sf, "graph_edges").groupBy("edge_key").agg(F.count("*").alias("revision"))
+    action = F.when(C("origin") == "user", "restore").when(C("resolution") == "unresolved", "suppress")
+    return e.join(n, "edge_key").select("edge_key", action.alias("action"), "revision").filter("action is not null")
 
 
 _E = """e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_key ORDER BY row_no DESC) rn FROM graph_edges) WHERE rn = 1),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node_key ORDER BY row_no DESC) rn FROM graph_nodes) WHERE rn = 1),
-o AS (SELECT edge_key, CASE WHEN row_no % 7 = 0 THEN 'suppress' ELSE 'restore' END action, row_no % 3 + 1 revision FROM e WHERE row_no % 7 = 0 OR row_no % 11 = 0)"""
+o AS (SELECT edge_key, CASE WHEN origin = 'user' THEN 'restore' WHEN resolution = 'unresolved' THEN 'suppress' END action, revision FROM e JOIN (SELECT edge_key, count(*) revision FROM graph_edges GROUP BY edge_key) USING (edge_key) WHERE origin = 'user' OR resolution = 'unresolved')"""
 GONE = "array_contains(split(path, '/'), 'services')"
 _GONE = "list_contains(string_split(path, '/'), 'services')"
 
 
+def _table(spark, key=None, parts=16):
+    """A table of its own in the shared folder."""
+    return T.SnapshotTable(spark, f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}", key, parts)
+
+
 @query("snk01_append", "SELECT edge_key, row_no FROM graph_edges")
 def snk01(spark, sf):
-    """Two batches, one after the other."""
-    e = read_table(spark, sf, "graph_edges").select("edge_key", "row_no")
-    return e.filter("row_no % 2 = 0").unionByName(e.filter("row_no % 2 <> 0 or row_no is null"))
+    """Edges of each origin appended to a table, one batch after the other."""
+    e, t = read_table(spark, sf, "graph_edges").select("edge_key", "row_no", "origin"), _table(spark, "edge_key")
+    user = F.coalesce(C("origin") == "user", F.lit(False))
+    t.append(e.filter(user).drop("origin"))
+    t.append(e.filter(~user).drop("origin"))
+    return t.read()
 
 
 @query("snk02_upsert", f"WITH {_E} SELECT node_key, row_no, label FROM n")
@@ -64,10 +76,12 @@ def snk02(spark, sf):
     return T.upsert(old, T.last_per_key(parted.filter("row_no > half").drop("half"), "node_key", ["row_no"]), "node_key")
 
 
-@query("snk03_compare_and_set", f"""WITH {_E}, r AS (SELECT edge_key, 'restore' asked, (row_no % 4) expected FROM e WHERE row_no % 5 = 0) SELECT edge_key, CASE WHEN coalesce(revision, 0) = expected THEN asked ELSE action END action,
+@query("snk03_compare_and_set", f"""WITH {_E}, r AS (SELECT edge_key, 'restore' asked, 1 expected FROM e JOIN (SELECT edge_key, count(*) n FROM graph_edges GROUP BY edge_key) USING (edge_key) WHERE origin = 'user' OR n > 1) SELECT edge_key, CASE WHEN coalesce(revision, 0) = expected THEN asked ELSE action END action,
  CASE WHEN coalesce(revision, 0) = expected THEN expected + 1 ELSE revision END revision, coalesce(asked IS NOT NULL AND coalesce(revision, 0) <> expected, false) conflict FROM r FULL JOIN o USING (edge_key)""")
 def snk03(spark, sf):
-    asked = edges(spark, sf).filter("row_no % 5 = 0").select("edge_key", F.lit("restore").alias("action"), (C("row_no") % 4).alias("expected"))
+    """Users restore their own edges, and those that arrived again, expecting the first revision."""
+    n = read_table(spark, sf, "graph_edges").groupBy("edge_key").agg(F.count("*").alias("n"))
+    asked = edges(spark, sf).join(n, "edge_key").filter("origin = 'user' or n > 1").select("edge_key", F.lit("restore").alias("action"), F.lit(1).cast("long").alias("expected"))
     return T.compare_and_set(overrides(spark, sf), asked)
 
 
@@ -95,7 +109,20 @@ def snk06(spark, sf):
 
 @query("snk07_recreate", "SELECT DISTINCT id FROM code_chunks")
 def snk07(spark, sf):
-    return read_table(spark, sf, "code_chunks").select("id").distinct()
+    """A full index run: a table that held the notes' ids is dropped and written anew with those of the segments."""
+    t = _table(spark, "id")
+    t.replace(read_table(spark, sf, "vault_notes").select("id"))
+    t.replace(read_table(spark, sf, "code_chunks").select("id").distinct())
+    return t.read()
+
+
+@query("snk02_table_upsert", f"WITH {_E} SELECT node_key, row_no, label FROM n")
+def snk02_table(spark, sf):
+    """The same through a table: nodes of the vault first, then all others, then all newest rows once more."""
+    n, t = nodes(spark, sf).select("node_key", "row_no", "label", "corpus"), _table(spark, "node_key")
+    t.append(n.filter("corpus = 'vault'").withColumn("label", F.lit("stale")).drop("corpus"))
+    t.upsert(n.drop("corpus"), "node_key")
+    return t.read()
 
 
 @query("snk09_export_index", """SELECT path, coalesce(max(alias), regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1)) title FROM vault_notes WHERE path IS NOT NULL GROUP BY path""")
@@ -104,11 +131,11 @@ def snk09(spark, sf):
     return n.groupBy("path").agg(F.coalesce(F.max("alias"), F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)).alias("title"))
 
 
-@query("snk13_unused_folders", "SELECT DISTINCT sha256(project) folder FROM file_changes WHERE project NOT IN (SELECT project FROM index_jobs WHERE status = 'succeeded' AND project < 'm')")
+@query("snk13_unused_folders", "SELECT DISTINCT sha256(project) folder FROM file_changes WHERE project IS NOT NULL AND project NOT IN (SELECT project FROM index_jobs WHERE status = 'succeeded' AND corpus = 'vault' AND project IS NOT NULL)")
 def snk13(spark, sf):
-    """Folders of projects that aren't active."""
-    active = read_table(spark, sf, "index_jobs").filter("status = 'succeeded' and project < 'm'").select("project").distinct()
-    return read_table(spark, sf, "file_changes").select("project").distinct().join(active, "project", "left_anti").select(F.sha2("project", 256).alias("folder"))
+    """Folders of projects that have no index of notes."""
+    active = read_table(spark, sf, "index_jobs").filter("status = 'succeeded' and corpus = 'vault'").select("project").distinct()
+    return read_table(spark, sf, "file_changes").filter("project is not null").select("project").distinct().join(active, "project", "left_anti").select(F.sha2("project", 256).alias("folder"))
 
 
 @query("flt08_visible_edges", f"WITH {_E} SELECT edge_key FROM e WHERE edge_key NOT IN (SELECT edge_key FROM o WHERE action = 'suppress')")
@@ -146,30 +173,38 @@ def segments(spark, sf):
     return read_table(spark, sf, "code_chunks").groupBy("id").agg(*[F.max(c).alias(c) for c in ("content_hash", "indexed_at", "file_path")])
 
 
-def _stored(s):
-    """What an earlier run stored: three quarters of the segments, every third of these with another content."""
-    place = F.conv(F.substring("id", 1, 4), 16, 10).cast("int")
-    return s.filter(place % 4 != 0).select("id", F.when(place % 3 == 0, F.sha2("content_hash", 256)).otherwise(C("content_hash")).alias("stored_hash"))
+def file_states(spark, sf, half=False):
+    """``id, digest`` of the code files that exist, at the end of all changes or of what arrived in the first half of time."""
+    d = read_table(spark, sf, "file_changes").filter("corpus = 'code' and path is not null").withColumn("at", F.unix_micros(C("arrived_at").cast("timestamp")))
+    if half:
+        d = d.join(F.broadcast(d.agg(F.expr("(min(at) + max(at)) div 2").alias("half"))), C("at") <= C("half"))  # one row
+    held = d.groupBy(C("path").alias("id")).agg(F.max(F.struct("modified_at", "change_id", "content_hash")).alias("s"))
+    return held.select("id", C("s.content_hash").alias("digest")).filter("digest is not null")
 
 
-_STORED = _SEG + ", st AS (SELECT id, CASE WHEN ('0x' || substr(id, 1, 4))::int % 3 = 0 THEN sha256(content_hash) ELSE content_hash END stored_hash FROM seg WHERE ('0x' || substr(id, 1, 4))::int % 4 <> 0)"
+_STATES = """fc AS (SELECT *, epoch_us(arrived_at) AS t_us FROM file_changes WHERE corpus = 'code' AND path IS NOT NULL),
+pend AS (SELECT path id, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) content_hash FROM fc GROUP BY path HAVING content_hash <> ''),
+st AS (SELECT path id, arg_max(coalesce(content_hash, ''), (modified_at, change_id)) stored_hash FROM fc WHERE t_us <= (SELECT (min(t_us) + max(t_us)) // 2 FROM fc) GROUP BY path HAVING stored_hash <> '')"""
 
 
-@query("jn02_vector_reuse", f"WITH {_STORED} SELECT id, CASE WHEN stored_hash IS NULL THEN 'embed_new' WHEN stored_hash = content_hash THEN 'reuse' ELSE 'embed_changed' END action FROM seg LEFT JOIN st USING (id)")
+@query("jn02_vector_reuse", f"WITH {_STATES} SELECT id, CASE WHEN stored_hash IS NULL THEN 'embed_new' WHEN stored_hash = content_hash THEN 'reuse' ELSE 'embed_changed' END action FROM pend LEFT JOIN st USING (id)")
 def jn02(spark, sf):
-    s = segments(spark, sf)
-    return s.join(_stored(s), "id", "left").select("id", F.when(C("stored_hash").isNull(), "embed_new").when(C("stored_hash") == C("content_hash"), "reuse").otherwise("embed_changed").alias("action"))
+    """What is there now beside what an index of the first half of time has stored."""
+    old = file_states(spark, sf, half=True).withColumnRenamed("digest", "stored")
+    return file_states(spark, sf).join(old, "id", "left").select("id", F.when(C("stored").isNull(), "embed_new").when(C("stored") == C("digest"), "reuse").otherwise("embed_changed").alias("action"))
 
 
 QUERIES["str09_vector_reuse"], SQL["str09_vector_reuse"] = jn02, SQL["jn02_vector_reuse"]
 
 
-@query("jn03_stale_segments", f"WITH {_SEG} SELECT id FROM seg WHERE ('0x' || substr(id, 1, 4))::int % 5 = 0")
+@query("jn03_stale_segments", f"WITH {_SEG}, gone AS (SELECT path FROM file_changes WHERE corpus = 'code' GROUP BY path HAVING arg_max(coalesce(content_hash, ''), (modified_at, change_id)) = '') SELECT id FROM seg WHERE file_path IN (SELECT path FROM gone)")
 def jn03(spark, sf):
-    """Stored segments that the current parse doesn't have any more (it lacks every fifth)."""
-    s = segments(spark, sf)
-    current = s.filter(F.conv(F.substring("id", 1, 4), 16, 10).cast("int") % 5 != 0).select("id")
-    return s.join(current, "id", "left_anti").select("id")
+    """Stored segments that a parse of the changed files doesn't give any more: the scope are the files with changes, and
+    current are the segments of those that still exist."""
+    s, d = segments(spark, sf), read_table(spark, sf, "file_changes").filter("corpus = 'code'")
+    dirty = d.select(C("path").alias("file_path")).distinct()
+    current = s.join(file_states(spark, sf).select(C("id").alias("file_path")), "file_path", "left_semi").select("id")
+    return s.join(dirty, "file_path", "left_semi").join(current, "id", "left_anti").select("id")
 
 
 @query("jn04_removed_notes", f"WITH {_LIVE} SELECT DISTINCT path FROM vault_notes WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM live WHERE path IS NOT NULL)")
@@ -275,10 +310,11 @@ def agg02(spark, sf):
     return T.next_generation(nodes(spark, sf), edges(spark, sf))
 
 
-@query("agg03_index_counters", f"WITH {_STORED} SELECT count(*) segments, count(DISTINCT file_path) files, count_if(stored_hash IS NULL) embedded, count_if(stored_hash = content_hash) reused FROM seg LEFT JOIN st USING (id)")
+@query("agg03_index_counters", f"WITH {_STATES} SELECT count(*) segments, count(DISTINCT split_part(id, '/', 1)) projects, count_if(stored_hash IS NULL OR stored_hash <> content_hash) embedded, count_if(stored_hash = content_hash) reused FROM pend LEFT JOIN st USING (id)")
 def agg03(spark, sf):
-    s = segments(spark, sf)
-    return s.join(_stored(s), "id", "left").agg(F.count("*").alias("segments"), F.countDistinct("file_path").alias("files"), F.count_if(C("stored_hash").isNull()).alias("embedded"), F.count_if(C("stored_hash") == C("content_hash")).alias("reused"))
+    """Counters of an index run."""
+    a = jn02(spark, sf)
+    return a.agg(F.count("*").alias("segments"), F.countDistinct(F.split_part("id", F.lit("/"), F.lit(1))).alias("projects"), F.count_if(C("action") != "reuse").alias("embedded"), F.count_if(C("action") == "reuse").alias("reused"))
 
 
 @query("agg04_file_paths", "SELECT DISTINCT file_path FROM code_chunks")
@@ -304,9 +340,9 @@ def agg08(spark, sf):
     return T.pairs_once(edges(spark, sf), "source_key", "target_key", "confidence").withColumn("confidence", C("confidence").cast("double"))
 
 
-@query("agg09_best_per_target", f"WITH {_E} SELECT target_key, max(confidence)::double confidence FROM e WHERE relation = 'mentions' GROUP BY target_key")
+@query("agg09_best_per_target", f"WITH {_E} SELECT target_key, max(confidence)::double confidence FROM e GROUP BY target_key")
 def agg09(spark, sf):
-    return edges(spark, sf).filter("relation = 'mentions'").groupBy("target_key").agg(F.max("confidence").cast("double").alias("confidence"))
+    return edges(spark, sf).groupBy("target_key").agg(F.max("confidence").cast("double").alias("confidence"))
 
 
 @query("agg10_rekey_collisions", """WITH r AS (SELECT item_key, content_hash, min((coalesce(segment_index, 0), id)) place FROM code_chunks GROUP BY ALL), f AS (SELECT item_key, arg_min(content_hash, (place, content_hash)) fh FROM r GROUP BY item_key)
@@ -331,12 +367,6 @@ def agg13(spark, sf):
     return nodes(spark, sf).select("node_key", "row_no")
 
 
-@query("set02_extractor_union", "SELECT extractor, edge_key FROM graph_edges WHERE extractor IS NOT NULL")
-def set02(spark, sf):
-    e = read_table(spark, sf, "graph_edges").select("extractor", "edge_key")
-    return e.filter("extractor = 'semantic-v1'").unionByName(e.filter("extractor <> 'semantic-v1'"))
-
-
 @query("grf01_structure_graph", """WITH f AS (SELECT DISTINCT file_path p FROM code_chunks WHERE file_path IS NOT NULL), s AS (SELECT DISTINCT file_path p, item_key FROM code_chunks WHERE file_path IS NOT NULL),
 a AS (SELECT p, string_split(p, '/') x FROM f), c AS (SELECT DISTINCT array_to_string(x[1:i], '/') parent, array_to_string(x[1:i + 1], '/') child, i + 1 = len(x) leaf FROM a, unnest(generate_series(1, len(x) - 1)) t(i))
 SELECT 'structure:folder:' || parent source_key, CASE WHEN leaf THEN 'structure:file:' ELSE 'structure:folder:' END || child target_key FROM c UNION SELECT 'structure:file:' || p, 'code:' || item_key FROM s""")
@@ -357,14 +387,25 @@ def grf02(spark, sf):
     return edges(spark, sf).filter(t.startswith("external:") & ~t.startswith("external:vault-link:")).select("edge_key", F.lit("unresolved").alias("resolution"))
 
 
-@query("grf04_reconcile", f"WITH {_E}, up AS (SELECT * FROM e WHERE extractor = 'semantic-v1' AND row_no % 2 = 0) SELECT edge_key, CASE WHEN edge_key IN (SELECT edge_key FROM up) THEN 100 ELSE generation END generation FROM e WHERE edge_key IN (SELECT edge_key FROM up) OR NOT coalesce(origin = 'derived' AND extractor = 'semantic-v1' AND generation < 100, false)")
+@query("grf04_reconcile", f"WITH {_E}, up AS (SELECT * FROM e WHERE extractor = 'semantic-v1' AND resolution = 'resolved') SELECT edge_key, CASE WHEN edge_key IN (SELECT edge_key FROM up) THEN 100 ELSE generation END generation FROM e WHERE edge_key IN (SELECT edge_key FROM up) OR NOT coalesce(origin = 'derived' AND extractor = 'semantic-v1' AND generation < 100, false)")
 def grf04(spark, sf):
-    """Generation 100 of one extractor: its edges are upserted first, then what it didn't bring is pruned."""
+    """Generation 100 of one extractor finds the resolved edges again: they are upserted first, then what it didn't bring is
+    pruned."""
     e = edges(spark, sf)
-    new = e.filter("extractor = 'semantic-v1' and row_no % 2 = 0").withColumn("generation", F.lit(100).cast("long"))
+    new = e.filter("extractor = 'semantic-v1' and resolution = 'resolved'").withColumn("generation", F.lit(100).cast("long"))
     return T.prune(T.upsert(e, new, "edge_key"), "semantic-v1", 100).select("edge_key", "generation")
 
 
+_PARTS = SQL["grf01_structure_graph"]
+
+
+@query("set02_extractor_union", f"SELECT 'structure' extractor, source_key, target_key FROM ({_PARTS}) UNION ALL SELECT 'links', 'vault:' || id, target_key FROM ({SQL['jn01_link_resolution']})")
+def set02(spark, sf):
+    """Edges of two extractors, those of the folders and those of the notes' links, one after the other."""
+    structure = grf01(spark, sf).select(F.lit("structure").alias("extractor"), "source_key", "target_key")
+    return structure.unionByName(jn01(spark, sf).select(F.lit("links").alias("extractor"), F.concat(F.lit("vault:"), "id").alias("source_key"), "target_key"))
+
+
 @query("grf05_path_patch", f"WITH {_E}, g AS (SELECT node_key FROM n WHERE path IS NOT NULL AND {_GONE}) SELECT edge_key FROM e WHERE source_key NOT IN (SELECT node_key FROM g) AND target_key NOT IN (SELECT node_key FROM g)")
 def grf05(spark, sf):
     gone = nodes(spark, sf).filter(GONE).select("node_key")
@@ -386,14 +427,20 @@ def fn20(spark, sf):
     return read_table(spark, sf, "graph_edges").select("row_no", json_ok(C("metadata_json")).alias("ok"))
 
 
-@query("grf08_semantic_graph", """WITH k AS (SELECT a.vec_id a, b.vec_id b, 1 / (1 + list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) c FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) r FROM k) SELECT least(a, b) source, greatest(a, b) target, round(max(c), 6) confidence FROM t WHERE r <= 5 AND c >= 0.5 GROUP BY ALL""")
+_DIST = "list_sum(list_transform(list_zip({0}::DOUBLE[], {1}::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+@query("grf08_semantic_graph", f"""WITH {_E}, c AS (SELECT file_path, symbol_name, arg_min(vector, id) v FROM code_chunks WHERE symbol_name IS NOT NULL GROUP BY ALL),
+nd AS (SELECT node_key, path, label FROM n WHERE corpus = 'code' AND NOT is_deleted), sel AS (SELECT node_key, path, label FROM nd WHERE EXISTS (SELECT 1 FROM c WHERE file_path = path AND symbol_name = label) ORDER BY node_key LIMIT 100),
+sv AS (SELECT node_key, c.v FROM sel JOIN c ON file_path = path AND symbol_name = label), t AS (SELECT min(node_key) target, any_value(c.v) v FROM nd JOIN c ON file_path = path AND symbol_name = label GROUP BY file_path, symbol_name),
+k AS (SELECT sv.node_key source, t.target, 1 / (1 + {_DIST.format('sv.v', 't.v')}) c FROM sv, t WHERE t.target <> sv.node_key), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY c DESC, target) i FROM k WHERE c >= 0.7)
+SELECT least(source, target) key_a, greatest(source, target) key_b, round(max(c), 6) confidence FROM r WHERE i <= 5 GROUP BY ALL""")
 def grf08(spark, sf):
-    """Selected vectors and their five neighbours of enough confidence, each pair once; nothing is written."""
-    e = read_table(spark, sf, "embeddings")
-    near = exact_neighbours(e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "q"), e, 6, "q", "vec_id", "embedding").filter("q <> vec_id")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))).filter("r <= 5").withColumn("confidence", 1 / (1 + C("distance"))).filter("confidence >= 0.5")
-    return best.groupBy(F.least("q", "vec_id").alias("source"), F.greatest("q", "vec_id").alias("target")).agg(F.round(F.max("confidence"), 6).alias("confidence"))
+    """Links by meaning between code nodes, never stored: the first 100 nodes by key that have a vector, the five nearest
+    other nodes of each with a confidence of 0.7 or more, each pair once."""
+    n = nodes(spark, sf).filter("corpus = 'code' and not is_deleted").select("node_key", "path", "label")
+    c = read_table(spark, sf, "code_chunks").filter("symbol_name is not null").groupBy(C("file_path").alias("path"), C("symbol_name").alias("label")).agg(F.min_by("vector", "id").alias("vector"))
+    return semantic_graph(n, c, n, max_nodes=100, neighbours=5, least=0.7)
 
 
 @query("top05_node_selection", f"WITH {_E} SELECT node_key FROM n ORDER BY node_key LIMIT 100")

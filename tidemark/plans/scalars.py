@@ -87,7 +87,6 @@ def flt13(spark, sf):
     return read_table(spark, sf, "code_chunks").select("id", "item_hash", "content_hash")
 
 
-over("flt14_without_content", "search_hits", "hit_id", lambda: F.when(F.lit(False), C("content")), "CAST(NULL AS varchar)")
 over("fn02_link_targets", "documents", "doc_id", lambda: T.link_targets(C("text")), """list_filter(list_transform(list_filter(regexp_extract_all(text, '\\[([^\\]]+)\\]\\(([^)]+)\\)', 2),
  lambda x: NOT starts_with(x, 'http') AND NOT starts_with(x, 'mailto:') AND NOT starts_with(x, '#')), lambda x: split_part(x, '#', 1)), lambda x: x <> '')""")
 

@@ -145,11 +145,11 @@ f AS (SELECT query_id, 0::bigint i, 0::bigint total, false stopped, NULL::bigint
 packed AS (SELECT query_id, i, hit_id, kept FROM f WHERE hit_id IS NOT NULL)"""
 
 
-def _packed(spark, sf):
+def _packed(spark, sf, include_content=True):
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(C("score").asc_nulls_last(), "hit_id"))
     h = hits(spark, sf).withColumn("place", place).filter(C("place") <= MOST_HITS).select("query_id", F.struct("pinned", F.struct(F.coalesce(C("score").cast("double"), F.lit(float("inf"))).alias("far"), "hit_id").alias("ord"), C("hit_id").alias("id"), "content").alias("h"), "score")
     # A search gives 100 hits at most, so this is what one task holds of a query.
-    return h.groupBy("query_id").agg(F.collect_list("h").alias("hits"), F.count("*").alias("n"), F.max(R.relevance(F.lit(None).cast("double"), C("score").cast("double"))).alias("best")).withColumn("kept", R.char_budget(C("hits"), BUDGET))
+    return h.groupBy("query_id").agg(F.collect_list("h").alias("hits"), F.count("*").alias("n"), F.max(R.relevance(F.lit(None).cast("double"), C("score").cast("double"))).alias("best")).withColumn("kept", R.char_budget(C("hits"), BUDGET, include_content))
 
 
 @query("rnk11_char_budget", _PACK + " SELECT query_id, hit_id, kept content, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::int pos FROM packed")
@@ -157,6 +157,12 @@ def rnk11(spark, sf):
     return _packed(spark, sf).select("query_id", F.posexplode("kept").alias("pos", "k")).select("query_id", C("k.id").alias("hit_id"), C("k.content").alias("content"), "pos")
 
 
+@query("flt14_without_content", _PACK + " SELECT query_id, hit_id, NULL::varchar content, (i - 1)::int pos FROM o")
+def flt14(spark, sf):
+    """Hits asked for without contents: all of them in order, and no budget."""
+    return _packed(spark, sf, False).select("query_id", F.posexplode("kept").alias("pos", "k")).select("query_id", C("k.id").alias("hit_id"), C("k.content").alias("content"), "pos")
+
+
 @query("rnk10_bounded_recall", _PACK + f""", s AS (SELECT query_id, count(*) n, max(CASE WHEN score < 'inf' THEN 1 / (1 + greatest(score, 0)) END) best FROM o GROUP BY query_id), p AS (SELECT query_id, count(*) kept FROM packed GROUP BY query_id)
 SELECT query_id, CASE WHEN reason = 'hits_above_threshold' THEN 'inject' ELSE 'abstain' END decision, reason, round(best, 6) max_relevance FROM (SELECT *, CASE WHEN n = 0 THEN 'no_hits' WHEN best < {LEAST} THEN 'best_relevance_below_min_score' WHEN coalesce(kept, 0) = 0 THEN 'char_budget_exhausted' ELSE 'hits_above_threshold' END reason FROM s LEFT JOIN p USING (query_id))""")
 def rnk10(spark, sf):
