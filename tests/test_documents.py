@@ -8,7 +8,7 @@ from tidemark.sources import files
 
 def test_front_matter():
     split = markdown.split_front_matter
-    assert split("---\nid: test-123\n---\n# Content") == ({"id": "test-123"}, "# Content", None)
+    assert split("---\nid: lamp 7\n---\n## Oil") == ({"id": "lamp 7"}, "## Oil", None)
     assert split("---\r\nid: 'a b'\r\nlinks:\r\n  - x\r\n  - y\r\n---\r\nB")[0] == {"id": "a b", "links": ["x", "y"]}
     assert split("plain")[0] is None and split("")[1] == ""
     for bad in ("---\nid: 1\nid: 2\n---\n", "---\nid: 1\n", "---\n: x\n---\n"):
@@ -65,32 +65,72 @@ mod api {
 """
 
 
+def by_name(items):
+    return {i[3]: i for i in items}
+
+
 def test_rust_items():
     items, hints = codeparse.parse_file("rust", "src/a.rs", RUST)
     got = {(i[3], i[4], i[5], i[6]) for i in items}
-    assert ("greet", "function", 5, 9) in got and ("User", "struct", 11, 11) in got and ("api::load", "function", 18, 18) in got
-    assert any(i[2] == "fmt" and i[4] == "method" for i in items)
-    assert next(i for i in items if i[2] == "greet")[7] == "/// Greets.\n/// Twice."
+    assert got == {("<module_doc>", "module_doc", 1, 1), ("greet", "function", 5, 9), ("User", "struct", 11, 11), ("impl Display for User", "impl", 13, 15), ("api::load", "function", 18, 18)}
+    assert by_name(items)["greet"][7] == "/// Greets.\n/// Twice." and by_name(items)["greet"][8].endswith("String {") and by_name(items)["<module_doc>"][2] == ""
     targets = {h[2] for h in hints}
-    assert {"rust-symbol:helper", "rust-use:std::fmt::{self, Display}", "rust-trait:Display"} <= targets
+    assert {"rust-symbol:helper", "rust-symbol:self.id.abs", "rust-symbol:inner", "rust-use:std::fmt::{self, Display}", "rust-trait:Display"} <= targets
+
+
+def test_rust_impls_of_one_type_are_several_items():
+    source = "/// Makes.\nimpl Lamp {\n fn new() -> Self { Lamp }\n}\n// plain\nimpl Lamp { fn lit(&self) -> bool { true } }\n#[cfg(test)]\npub struct Wick<T: Into<u8>> { x: T }\n"
+    items, _ = codeparse.parse_file("rust", "a.rs", source)
+    assert [(i[2], i[7]) for i in items] == [("impl Lamp", "/// Makes."), ("impl Lamp", ""), ("Wick", "#[cfg(test)]")]
+    assert len({i[0] for i in items}) == 3
+    later, _ = codeparse.parse_file("rust", "a.rs", "fn other() {}\n" + source)
+    assert {i[0] for i in items} <= {i[0] for i in later}
+
+
+def test_go_groups_receivers_and_package_docs():
+    source = "// Package lamp lights.\npackage lamp\n\nimport (\n\t\"context\"\n\tf \"fmt\"\n)\n\n// Lamp burns.\ntype Lamp struct {\n\toil int\n}\n\ntype (\n\tAge int\n\tLit interface { Burn(a int) }\n\tSame = Age\n)\n\n// Sizes.\nconst (\n\tOne = iota\n\tTwo\n)\n\nfunc (l *Lamp) Burn(c context.Context) error {\n\treturn l.wick.Draw(c, func() struct{} { return struct{}{} })\n}\n"
+    items, hints = codeparse.parse_file("go", "x/lamp.go", source)
+    got = {k: (i[4], i[7]) for k, i in by_name(items).items()}
+    assert got == {
+        "lamp::<package_doc>": ("module_doc", ""), "lamp::Lamp": ("struct", "// Lamp burns."), "lamp::Age": ("type_alias", ""), "lamp::Lit": ("interface", ""),
+        "lamp::One": ("constant", "// Sizes."), "lamp::Two": ("constant", "// Sizes."), "lamp::Lamp.Burn": ("function", ""),
+    }
+    assert by_name(items)["lamp::Lamp"][9].startswith("type Lamp struct")
+    assert {h[2] for h in hints} == {"go-import:context", "go-import:fmt", "go-symbol:l.wick.Draw"}
 
 
 @pytest.mark.parametrize(
-    "language,source,names",
+    "language,source,names,targets",
     [
-        ("go", 'package b\nimport "context"\n\nfunc (s *Service) Charge(c int) error {\n\treturn s.client.Charge(c)\n}\n\ntype Service struct {\n\tx int\n}\n', {"Service.Charge", "Service"}),
-        ("typescript", "export class A {\n  run(x: number): void {\n    go(x);\n  }\n}\nexport const f = async (a) => {\n  return 1;\n};\ninterface I {\n  x: string;\n}\n", {"A", "A.run", "f", "I"}),
-        ("python", "import os\n\n@deco\ndef f(a):\n    '''doc'''\n    return os.getcwd()\n\nclass C:\n    def m(self):\n        return f(1)\n", {"f", "C", "C.m"}),
-        ("c", "#include <stdio.h>\nstatic int add(int a, int b) {\n  return a + b;\n}\nstruct P {\n  int x;\n};\n", {"add", "P"}),
-        ("java", "import a.B;\npublic class K {\n  public int size(int x) {\n    return x;\n  }\n}\n", {"K", "K.size"}),
-        ("ruby", "class A\n  def run\n    if x\n      go(1)\n    end\n  end\nend\ndef top\nend\n", {"A", "A.run", "top"}),
-        ("swift", "struct S {\n  func go() -> Int { return 1 }\n}\n", {"S", "S.go"}),
-        ("vue", "<template/>\n<script lang=\"ts\">\nfunction hi() {\n  return 1\n}\n</script>\n", {"hi"}),
+        ("typescript", "import { b } from './b';\nexport class A extends B<C> {\n  run(x: number): Promise<{a: number}> {\n    go(x);\n  }\n}\nexport const f = async (a) => {\n  return 1;\n}, g = b => h(b);\ninterface I {\n  x: string;\n}\ntype U = 'a' | 'b';\nenum E { A }\n", {"A", "A.run", "f", "g", "I", "U", "E"}, {"typescript-import:import { b } from './b';", "typescript-symbol:go", "typescript-symbol:h"}),
+        ("javascript", "var p=/[\"'{]/;function a(b){if(c){d()}}class K{m(){return e(`x${1}`)}}", {"a", "K", "K.m"}, {"javascript-symbol:d", "javascript-symbol:e"}),
+        ("python", "import os\n\n@deco\ndef f(a):\n    '''doc'''\n    def inner(): pass\n    return os.getcwd()\n\nclass C:\n    def m(self):\n        return f(1)\n", {"f", "inner", "C", "C.m"}, {"python-import:import os", "python-symbol:os.getcwd", "python-symbol:f"}),
+        ("c", "#include <stdio.h>\n#define X(a) do { f(a); } while (0)\nstatic int add(int a, int b) {\n  return sub(a, b);\n}\nstruct P {\n  int x;\n};\ntypedef int num;\n", {"add", "P", "num"}, {"c-import:#include <stdio.h>", "c-symbol:sub"}),
+        ("cpp", "template <class T> class A { public: A() : x(1) {} int get() const { return f(x); } };\nint A::go(P p) { return 1; }\n", {"A", "get", "A::go"}, {"cpp-symbol:f"}),
+        ("java", "import a.B; class K { K() { init(); } void run() { work(); } public List<X> size(int x) throws E { return x; } interface I { int f(); } }", {"K", "run", "size", "I", "f"}, {"java-import:import a.B;", "java-symbol:work", "java-symbol:init"}),
+        ("ruby", "class A\n  def run\n    if x\n      go(1)\n    end\n  end\nend\ndef top; end\n", {"A", "run", "top"}, {"ruby-symbol:go"}),
+        ("swift", "import Foundation\nstruct S {\n  func go() -> Int { return 1 }\n}\nfunc run() { print(\"ok\") }\n", {"S", "go", "run"}, {"swift-import:import Foundation", "swift-symbol:print"}),
+        ("vue", "<template/>\n<script lang=\"ts\">\nfunction hi(): void {\n  return 1\n}\n</script>\n<script>\nconst h = () => 1\n</script>\n", {"hi", "h"}, set()),
     ],
 )
-def test_other_languages(language, source, names):
-    items, _ = codeparse.parse_file(language, "x", source)
-    assert {i[3] for i in items} == names
+def test_other_languages(language, source, names, targets):
+    items, hints = codeparse.parse_file(language, "dir/x.y", source)
+    assert {i[3] for i in items} == {f"dir::x::{n}" for n in names} and {h[2] for h in hints} == targets
+
+
+@pytest.mark.parametrize("language,source", [("rust", "fn f() {"), ("go", "func f( {"), ("java", 'class A { String s = "a; }'), ("typescript", "/* x"), ("c", "int a) {"), ("ruby", "class A\n"), ("python", "def f(:")])
+def test_broken_files_are_rejected(language, source):
+    with pytest.raises(SyntaxError):
+        codeparse.parse_file(language, "x", source)
+
+
+@pytest.mark.parametrize("language,source", [("javascript", "function a(b){return c(d)};var e=f=>g(h);" * 2000), ("c", "int a(int b){return c(d);}\n" * 3000), ("rust", "fn a(b: u8) -> u8 {c(d)}\n" * 3000), ("javascript", "a(" * 20000 + ")" * 20000), ("typescript", "const a = " * 9000), ("java", "A<" * 30000), ("go", "x := a.b().c()\n" * 6000)])
+def test_large_files_take_linear_time(language, source):
+    import time
+
+    began = time.process_time()
+    codeparse.parse_file(language, "x", source)
+    assert time.process_time() - began < 2.5
 
 
 def test_vue_lines_are_those_of_the_file():

@@ -1,7 +1,7 @@
-"""Code files to items (functions, types, methods) and relation hints, by lexical rules per language family.
+"""Code files to items (functions, types, docs of modules) and relation hints.
 
-Python is read by its own parser; the others by a scanner that blanks strings and comments, finds definitions by a
-pattern per language and their ends by braces, indentation or ``end``. Files run in Arrow batches, one file at a time.
+Python is read by its own parser, Ruby line by line, all others as tokens with matched brackets (``syntax``). A file that
+doesn't close what it opens is rejected as a whole. Files run in Arrow batches, one file at a time.
 """
 
 from __future__ import annotations
@@ -9,11 +9,14 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import syntax
+
 SEGMENT_CHARS, SEGMENT_OVERLAP = 1500, 200
 ITEMS = "item_key string, module_path string, symbol_name string, qualified_symbol string, kind string, start_line int, end_line int, preamble string, signature string, body string"
 HINTS = "source_item_key string, relation string, target string"
@@ -32,203 +35,174 @@ class Item:
     hints: list = field(default_factory=list)
 
 
-_WORD = r"[A-Za-z_$][\w$]*"
-_WEB = [
-    ("class", re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({_WORD})")),
-    ("interface", re.compile(rf"^\s*(?:export\s+)?interface\s+({_WORD})")),
-    ("enum", re.compile(rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+({_WORD})")),
-    ("type", re.compile(rf"^\s*(?:export\s+)?type\s+({_WORD})\s*[=<]")),
-    ("function", re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_WORD})\s*[(<]")),
-    ("function", re.compile(rf"^\s*(?:export\s+)?(?:const|let|var)\s+({_WORD})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|{_WORD})\s*(?::[^=]+)?=>")),
-    ("method", re.compile(rf"^\s+(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*({_WORD})\s*\([^;{{]*\)\s*(?::[^;{{]+)?\{{")),
-]
-_C = [
-    ("struct", re.compile(rf"^\s*(?:typedef\s+)?struct\s+({_WORD})\s*\{{")),
-    ("class", re.compile(rf"^\s*(?:template\s*<[^>]*>\s*)?class\s+({_WORD})[^;]*\{{")),
-    ("enum", re.compile(rf"^\s*(?:typedef\s+)?enum(?:\s+class)?\s+({_WORD})")),
-    ("function", re.compile(rf"^\s*(?:[\w:<>,*&~]+\s+)+[*&]*((?:{_WORD}::)*~?{_WORD})\s*\([^;{{]*\)\s*(?:const\s*)?(?:noexcept\s*)?\{{")),
-]
-#: Patterns of definitions by language; the first that fits a line names its kind.
-PATTERNS = {
-    "rust": [
-        ("function", re.compile(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*fn\s+({_WORD})")),
-        ("struct", re.compile(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+({_WORD})")),
-        ("enum", re.compile(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+({_WORD})")),
-        ("trait", re.compile(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+({_WORD})")),
-        ("impl", re.compile(r"^\s*(?:unsafe\s+)?(impl\b[^{;]*)")),
-        ("module", re.compile(rf"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+({_WORD})\s*\{{")),
-    ],
-    "go": [
-        ("method", re.compile(rf"^func\s+\(\s*\w*\s*\*?({_WORD})(?:\[[^\]]*\])?\s*\)\s*({_WORD})")),
-        ("function", re.compile(rf"^func\s+({_WORD})")),
-        ("type", re.compile(rf"^type\s+({_WORD})")),
-        ("const", re.compile(rf"^const\s+({_WORD})")),
-        ("var", re.compile(rf"^var\s+({_WORD})")),
-    ],
-    "javascript": _WEB, "jsx": _WEB, "typescript": _WEB, "tsx": _WEB, "c": _C, "cpp": _C,
-    "java": [
-        ("class", re.compile(rf"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|record)\s+({_WORD})")),
-        ("interface", re.compile(rf"^\s*(?:(?:public|private|protected|static)\s+)*interface\s+({_WORD})")),
-        ("enum", re.compile(rf"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+({_WORD})")),
-        ("method", re.compile(rf"^\s*(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)*[\w<>\[\],.]+\s+({_WORD})\s*\([^;{{]*\)\s*(?:throws\s+[\w,. ]+)?\{{")),
-    ],
-    "ruby": [("class", re.compile(r"^\s*class\s+([A-Z][\w:]*)")), ("module", re.compile(r"^\s*module\s+([A-Z][\w:]*)")), ("method", re.compile(r"^\s*def\s+((?:self\.)?[\w?!=]+)"))],
-    "swift": [
-        ("class", re.compile(rf"^\s*(?:(?:public|private|internal|open|final|fileprivate)\s+)*(?:class|actor)\s+({_WORD})")),
-        ("struct", re.compile(rf"^\s*(?:(?:public|private|internal|fileprivate)\s+)*struct\s+({_WORD})")),
-        ("enum", re.compile(rf"^\s*(?:(?:public|private|internal|indirect)\s+)*enum\s+({_WORD})")),
-        ("protocol", re.compile(rf"^\s*(?:(?:public|private|internal)\s+)*protocol\s+({_WORD})")),
-        ("function", re.compile(rf"^\s*(?:(?:public|private|internal|open|static|override|mutating|final|fileprivate)\s+)*func\s+({_WORD})")),
-    ],
-}
-#: Names that look like calls but are keywords.
-NOT_CALLS = frozenset("if for while switch match return catch sizeof function fn func def class and or not in new throw await typeof elif guard else unless until defer go select range".split())
-NOT_NAMES = frozenset("if for while switch return catch else do".split())
-PREFIX = {"javascript": "js", "jsx": "js", "typescript": "js", "tsx": "js", "c": "c", "cpp": "c"}
-IMPORTS = {
-    "rust": re.compile(r"^\s*(?:pub\s+)?use\s+([^;]+);", re.M), "go": re.compile(r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$", re.M),
-    "java": re.compile(r"^\s*import\s+(?:static\s+)?([\w.*]+);", re.M), "swift": re.compile(r"^\s*import\s+([\w.]+)", re.M), "ruby": re.compile(r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)", re.M),
-    "c": re.compile(r"^\s*#\s*include\s*[<\"]([^>\"]+)", re.M), "js": re.compile(r"^\s*(?:import\b[^'\"]*|.*\brequire\()\s*['\"]([^'\"]+)", re.M),
-}
+#: Patterns of Ruby's definitions.
+RUBY = [("class", re.compile(r"^\s*(?:class|module)\s+([A-Z][\w:]*)")), ("function", re.compile(r"^\s*def\s+((?:self\.)?[\w?!=]+)"))]
+LANGUAGES = (*syntax.READ, "ruby", "python", "vue")
 
 
 def digest(*parts: str) -> str:
     return hashlib.sha256("\0".join(parts).encode()).hexdigest()
 
 
-def blank(source: str, language: str) -> str:
-    """The source with strings and comments as spaces, lines kept, so that braces and words count as code."""
-    hashes = language in ("ruby", "python")
-    comment = r"#[^\n]*" if hashes else r"//[^\n]*|/\*.*?\*/"
-    text = r"\"(?:\\.|[^\"\\\n])*\"" + (r"|`(?:\\.|[^`\\])*`" if language in ("go", "javascript", "typescript", "jsx", "tsx") else "") + (r"|'(?:\\.|[^'\\\n])'" if language == "rust" else r"|'(?:\\.|[^'\\\n])*'")
-    return re.sub(f"{comment}|{text}", lambda m: re.sub(r"[^\n]", " ", m.group()), source, flags=re.S)
-
-
-def _end_by_braces(code: list[str], start: int) -> int:
-    depth, opened = 0, False
-    for i in range(start, len(code)):
-        for ch in code[i]:
-            if ch == "{":
-                depth, opened = depth + 1, True
-            elif ch == "}":
-                depth -= 1
-            elif ch == ";" and not opened and depth == 0:
-                return i
-        if opened and depth <= 0:
-            return i
-    return len(code) - 1
-
-
-def _end_by_word(code: list[str], start: int) -> int:
-    """The line of the ``end`` that closes a Ruby block."""
-    depth = 0
-    for i in range(start, len(code)):
-        line = code[i].strip()
-        depth += len(re.findall(r"^(?:class|module|def|if|unless|case|while|until|begin|for)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|=\s*(?:if|case|begin)\b", line))
-        depth -= len(re.findall(r"^end\b", line))
-        if depth <= 0:
-            return i
-    return len(code) - 1
-
-
-def _preamble(lines: list[str], at: int) -> int:
-    """First line of the comments, attributes and decorators right above a definition."""
-    while at > 0 and re.match(r"^\s*(?:///?|/\*|\*|\*/|#\[|#(?!include|define)|@\w)", lines[at - 1]):
-        at -= 1
-    return at
-
-
-def parse_lexical(language: str, source: str) -> list[Item]:
-    lines, code = source.split("\n"), blank(source, language).split("\n")
+def blank_ruby(source: str) -> str:
+    """The source with strings and comments as spaces, lines kept, so that words count as code."""
+    return re.sub(r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", lambda m: " " * len(m.group()), source)
+
+
+_OPENS = re.compile(r"^(?:class|module|def|if|unless|case|while|until|begin|for)\b|\bdo\b(?:\s*\|[^|]*\|)?\s*$|=\s*(?:if|case|begin)\b")
+
+
+def parse_ruby(source: str) -> list[Item]:
+    """Classes, modules and methods, each up to the ``end`` that closes it; SyntaxError if one has none."""
+    lines, code = source.split("\n"), blank_ruby(source).split("\n")
     found, open_ = [], []
     for i, line in enumerate(code):
-        while open_ and i > open_[-1].end:
-            open_.pop()
-        for kind, pattern in PATTERNS[language]:
-            m = pattern.match(line)
-            if not m:
-                continue
-            name = m.group(m.lastindex).strip()
-            if kind in ("method", "function") and name in NOT_NAMES:
-                break
-            inside = [o for o in open_ if o.kind in ("class", "struct", "interface", "enum", "trait", "impl", "module", "protocol")]
-            if open_ and not (inside and open_[-1] is inside[-1]):
-                break  # inside a function
-            if kind == "function" and inside and inside[-1].kind != "module":
-                kind = "method"
-            end = (_end_by_word if language == "ruby" else _end_by_braces)(code, i)
-            container = "::".join(o.name for o in inside) if language == "rust" else ".".join(o.name for o in inside)
-            if language == "go" and m.lastindex == 2:
-                container = m.group(1)
-            first = _preamble(lines, i)
-            cut = next((j for j in range(i, end + 1) if "{" in code[j]), i)
-            item = Item(name, kind, first + 1, end + 1, container, "\n".join(lines[first:i]), "\n".join(lines[i : cut + 1]), "\n".join(lines[i : end + 1]))
-            item.hints = calls("\n".join(code[cut : end + 1]))
-            found.append(item)
-            open_.append(Item(name, kind, i, end))
-            break
-    return found
+        kind, name = next(((k, m.group(1)) for k, p in RUBY if (m := p.match(line))), (None, None))
+        bare = line.strip()
+        depth = len(_OPENS.findall(bare)) - bool(re.search(r"\bend\s*$", bare) and _OPENS.search(bare))
+        for _ in range(depth):
+            open_.append((kind, name, i))
+            kind = None
+        if re.match(r"end\b", bare):
+            if not open_:
+                raise SyntaxError("end without beginning")
+            k, n, at = open_.pop()
+            if k:
+                found.append(_ruby_item(lines, code, k, n, at, i))
+        elif kind and not depth:
+            found.append(_ruby_item(lines, code, kind, name, i, i))
+    if open_:
+        raise SyntaxError("no end")
+    return sorted(found, key=lambda x: (x.start, -x.end))
+
+
+def _ruby_item(lines, code, kind, name, at, end) -> Item:
+    top = at
+    while top > 0 and lines[top - 1].lstrip().startswith("#"):
+        top -= 1
+    item = Item(name, kind, at + 1, end + 1, "", "\n".join(lines[top:at]), lines[at], "\n".join(lines[at : end + 1]))
+    item.hints = calls("\n".join(code[at + 1 : end]))
+    return item
 
 
 def parse_python(source: str) -> list[Item]:
-    """ValueError (or its kin) where the source isn't Python."""
+    """SyntaxError (or its kin) where the source isn't Python. Functions and classes at any depth; containers are the
+    classes around."""
     lines = source.split("\n")
     found: list[Item] = []
 
-    def visit(nodes, container):
-        for n in nodes:
+    def visit(node, container):
+        for n in ast.iter_child_nodes(node):
+            inside = container
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                start = min([n.lineno, *[d.lineno for d in n.decorator_list]])
-                top = _preamble(lines, start - 1) + 1
-                kind = "class" if isinstance(n, ast.ClassDef) else "method" if container else "function"
-                body_at = n.body[0].lineno
-                sig = "\n".join(lines[n.lineno - 1 : max(n.lineno, body_at - 1)])
-                item = Item(n.name, kind, top, n.end_lineno, container, "\n".join(lines[top - 1 : n.lineno - 1]), sig, "\n".join(lines[n.lineno - 1 : n.end_lineno]))
-                item.hints = sorted({ast.unparse(c.func) for c in ast.walk(n) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute)) and len(ast.unparse(c.func)) < 200})
+                kind = "class" if isinstance(n, ast.ClassDef) else "function"
+                above = syntax.doc_above(source, sum(len(x) + 1 for x in lines[: n.lineno - 1]))
+                doc = n.body[0] if isinstance(n.body[0], ast.Expr) and isinstance(n.body[0].value, ast.Constant) and isinstance(n.body[0].value.value, str) else None
+                said = ast.get_source_segment(source, doc) if doc else None
+                signature = "\n".join(lines[n.lineno - 1 : max(n.lineno, n.body[0].lineno - 1)])
+                item = Item(n.name, kind, n.lineno, n.end_lineno, container, "\n".join(x for x in (above, said) if x), signature, "\n".join(lines[n.lineno - 1 : n.end_lineno]))
                 found.append(item)
-                if isinstance(n, ast.ClassDef):
-                    visit(n.body, f"{container}.{n.name}".lstrip("."))
+                if kind == "class":
+                    inside = f"{container}.{n.name}".lstrip(".")
+            visit(n, inside)
 
-    visit(ast.parse(source).body, "")
+    visit(ast.parse(source), "")
     return found
 
 
 def calls(code: str) -> list[str]:
     names = re.findall(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*(?:\.|::))*[A-Za-z_$][\w$]*)\s*\(", code)
-    return sorted({n for n in names if n.split(".")[-1].split("::")[-1] not in NOT_CALLS})
+    return sorted({n for n in names if n.split(".")[-1].split("::")[-1] not in syntax.NOT_CALLS})
+
+
+def _smallest(items: list[tuple], line: int, last: int, otherwise: str) -> str:
+    """Key of the smallest item around some lines."""
+    around = [(z - a, key) for a, z, key in items if a <= line and last <= z]
+    return min(around)[1] if around else otherwise
 
 
 def parse_file(language: str, path: str, source: str) -> tuple[list[tuple], list[tuple]]:
-    """Items and hints in the order of ITEMS and HINTS. Vue files give the items of their script, without hints."""
-    shift, quiet = 0, False
+    """Items and hints in the order of ITEMS and HINTS. Vue files give the items of their scripts, without hints. Items are
+    qualified by their module: the path for most languages, the package in Go, the modules inside the file in Rust."""
     if language == "vue":
-        m = re.search(r"<script\b([^>]*)>(.*?)</script>", source, re.S)
-        if not m and re.search(r"<(?:template|style)\b", source):
-            return [], []
-        # A segment of a component may hold a part of its script only.
-        shift, quiet = (source[: m.start(2)].count("\n") if m else 0), True
-        language, source = ("typescript" if not m or "ts" in m.group(1) else "javascript"), (m.group(2) if m else source)
-    found = parse_python(source) if language == "python" else parse_lexical(language, source)
-    module = re.sub(r"\.[^./]+$", "", path).replace("/", "::" if language == "rust" else ".")
-    prefix = PREFIX.get(language, language)
+        return _parse_vue(path, source), []
+    module = re.sub(r"\.[^./\\]+$", "", path).replace("\\", "/").replace("/", "::")
+    qualify = lambda m, name: f"{m}::{name}" if m and name else m or name
     items, hints = [], []
-    for it in found:
-        if language == "rust" and it.kind == "module":
-            continue  # a module only names its items
-        qualified = ("::" if language == "rust" else ".").join(x for x in (it.container, it.name) if x)
-        key = digest(language, path, module, it.kind, qualified)
-        items.append((key, module, it.name, qualified, it.kind, it.start + shift, it.end + shift, it.preamble, it.signature, it.body))
-        hints += [(key, "calls_symbol", f"{prefix}-symbol:{c}") for c in it.hints]
-        if language == "rust" and it.kind == "impl" and (m := re.match(r"impl(?:<[^>]*>)?\s+([\w:]+).*\bfor\b", it.name)):
-            hints.append((key, "implements", f"rust-trait:{m.group(1)}"))
-    owner = digest(language, path, module)
-    if language == "python":
-        for n in ast.walk(ast.parse(source)):
-            names = [a.name for a in n.names] if isinstance(n, ast.Import) else [n.module or "."] if isinstance(n, ast.ImportFrom) else []
-            hints += [(owner, "uses", f"python-import:{x}") for x in names]
-    elif rule := IMPORTS.get(prefix):
-        hints += [(owner, "uses", f"{'rust-use' if language == 'rust' else prefix + '-import'}:{re.sub(r'\s+', ' ', x).strip()}") for x in rule.findall(source)]
-    return items, [] if quiet else sorted(set(hints))
+    if language in ("python", "ruby"):
+        found = parse_python(source) if language == "python" else parse_ruby(source)
+        for it in found:
+            name = ".".join(x for x in (it.container, it.name) if x)
+            key = digest(language, path, module, it.kind, name)
+            items.append((key, module, it.name, qualify(module, name), it.kind, it.start, it.end, it.preamble, it.signature, it.body))
+            hints += [(key, "calls_symbol", f"{language}-symbol:{c}") for c in it.hints]
+        if language == "python":
+            spans = [(i[5], i[6], i[0]) for i in items]
+            for n in ast.walk(ast.parse(source)):
+                what = "uses" if isinstance(n, (ast.Import, ast.ImportFrom)) else "calls_symbol" if isinstance(n, ast.Call) else None
+                if what:
+                    text = ast.get_source_segment(source, n if what == "uses" else n.func) or ""
+                    owner = _smallest(spans, n.lineno, n.end_lineno, digest(language, path, "module"))
+                    hints.append((owner, what, f"python-{'import' if what == 'uses' else 'symbol'}:{text.strip()}"))
+        return items, sorted(set(hints))
+    src = syntax.scan(source, language)
+    spans = []
+    for d in syntax.READ[language](src):
+        own = {"rust": d.module, "go": d.module}.get(language, module)
+        name = d.identity if d.kind == "module_doc" else ".".join(x for x in (d.container, d.name) if x)
+        key = digest(language, path, own, d.kind, d.identity or name)
+        text = d.prefix if d.kind == "module_doc" else d.prefix + source[d.start : d.end]
+        signature = "" if d.kind == "module_doc" else source[d.start : src.tokens[d.body].end] if d.body is not None else text
+        first = d.first if d.first is not None and language in ("rust", "go") else d.start
+        items.append((key, own, d.name, qualify(own, name), d.kind, src.line(first), src.line(d.end - 1), d.preamble, signature, text))
+        spans.append((first, d.end, key, d))
+    imports = {"rust": "rust-use", "go": "go-import"}.get(language, f"{language}-import")
+    said = [(at, "uses", f"{imports}:{x}") for at, x in syntax.imported(src)]
+    said += [(at, "calls_symbol", f"{language}-symbol:{x}") for at, x in syntax.called(src, _names(src, spans))]
+    hints += [(key, what, x) for key, what, x in _owned(spans, said, digest(language, path, "module"))]
+    if language == "rust":
+        hints += [(k, "implements", f"rust-trait:{m.group(1)}") for _, _, k, d in spans if d.kind == "impl" and (m := re.match(r"impl (.+) for ", d.name))]
+    return items, sorted(set(hints))
+
+
+def _names(src: syntax.Source, spans: list) -> set:
+    """Places of the names of functions where they are defined, and of what interfaces ask for."""
+    starts = [t.start for t in src.tokens]
+    out: set = set()
+    for a, z, _, d in spans:
+        i = bisect_left(starts, d.start)
+        if d.kind == "function":
+            stop = d.body if d.body is not None else bisect_left(starts, z)
+            out |= {t.start for t in src.tokens[i:stop] if t.text == d.name.split("::")[-1]}
+        elif d.kind == "interface" and (brace := next((k for k in range(i, len(starts)) if src.is_(k, "{")), None)) is not None:
+            out |= {src.tokens[k].start for k in syntax._top(src, brace + 1, src.match[brace]) if src.is_(k + 1, "(")}
+    return out
+
+
+def _owned(spans: list, said: list, otherwise: str):
+    """Hints with the key of the smallest item around their places; spans lie inside each other or apart."""
+    edges, around, n = sorted(spans, key=lambda x: (x[0], -x[1])), [], 0
+    for at, what, x in sorted(said):
+        while n < len(edges) and edges[n][0] <= at:
+            around.append(edges[n])
+            n += 1
+        # Items that end before a place end before all later ones.
+        while around and around[-1][1] <= at:
+            around.pop()
+        yield next((e[2] for e in reversed(around) if at < e[1]), otherwise), what, x
+
+
+def _parse_vue(path: str, source: str) -> list[tuple]:
+    """Items of all scripts of a component, at its lines; a segment of one may hold a part of its script only."""
+    blocks = list(re.finditer(r"<script\b([^>]*)>(.*?)</script>", source, re.S))
+    if not blocks:
+        return [] if re.search(r"<(?:template|style)\b", source) else parse_file("typescript", path, source)[0]
+    out = []
+    for m in blocks:
+        shift = source[: m.start(2)].count("\n")
+        typed = re.search(r"lang=[\"']tsx?[\"']", m.group(1))
+        out += [(*i[:5], i[5] + shift, i[6] + shift, *i[7:]) for i in parse_file("typescript" if typed else "javascript", path, m.group(2))[0]]
+    return out
 
 
 def _parser(which: int, columns: str):
@@ -250,7 +224,7 @@ def _parser(which: int, columns: str):
 
 
 def _rows(files: DataFrame, row: str, path: str, language: str, text: str) -> DataFrame:
-    return files.select(F.col(row).cast("string").alias("row"), F.col(path).alias("path"), F.col(language).alias("language"), F.col(text).alias("text")).filter(F.col("language").isin(*PATTERNS, "python", "vue"))
+    return files.select(F.col(row).cast("string").alias("row"), F.col(path).alias("path"), F.col(language).alias("language"), F.col(text).alias("text")).filter(F.col("language").isin(*LANGUAGES))
 
 
 def code_items(files: DataFrame, row: str, path: str, language: str, text: str) -> DataFrame:
