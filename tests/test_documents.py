@@ -15,6 +15,18 @@ def test_front_matter():
         assert split(bad)[2]
 
 
+def test_front_matter_is_yaml():
+    text = "id: 7 # seven\ntitle: 'it''s'\nnote: \"a\\tb\"\nmap:\n  x: 1\n  y:\n    - p\n    - q: 2\n      r: 3\nlist: [a, 'b, c', {d: e}]\nlit: |\n  one\n    two\n\n  three\nfold: >-\n  one\n  two\nlong: first\n  second\nnone:\ntilde: ~\nflow: {a: 1,\n  b: [2, 3]}\nurl: https://x.example/a:b\nitems:\n- i\n- j\n"
+    assert markdown.parse_fields(text.split("\n")) == {
+        "id": "7", "title": "it's", "note": "a\tb", "map": {"x": "1", "y": ["p", {"q": "2", "r": "3"}]}, "list": ["a", "b, c", {"d": "e"}], "lit": "one\n  two\n\nthree\n", "fold": "one two",
+        "long": "first second", "none": None, "tilde": None, "flow": {"a": "1", "b": ["2", "3"]}, "url": "https://x.example/a:b", "items": ["i", "j"],
+    }
+    for bad in ("a: 1\na: 2", "a: b: c", "\ta: 1", "a: [1", "a: 'x", "a: {b: 1, b: 2}", "a: *x", "- a", "word", "a:\n   b: 1\n  c: 2", "a: 'x' y", "a: [1] 2", "a: ]"):
+        with pytest.raises(ValueError):
+            markdown.parse_fields(bad.split("\n"))
+    assert markdown.parse_fields(["", "# c"]) == {}
+
+
 def test_repair():
     fix = lambda t: markdown.repair_note(t, "new")
     assert fix("---\nid: a\nid: b\n---\nx") == "---\nid: a\n---\nx"
@@ -177,16 +189,18 @@ def test_embedding(spark):
 
 
 def test_file_sources(spark, tmp_path):
-    for name, text in {"a b.md": "# x", "wiki/n.md": "x", "node_modules/m.md": "x", "src/m.rs": "fn f() {}", "target/t.rs": "x", "gen/skip.py": "x", "s/x.py": "1", ".gitignore": "gen/\n*.tmp\n"}.items():
+    for name, text in {"a b.md": "# x", "wiki/n.md": "x", "node_modules/m.md": "x", "src/m.rs": "fn f() {}", "target/t.rs": "x", "gen/skip.py": "x", "s/x.py": "1", ".gitignore": "gen/\n*.tmp\n!gen/skip.py\n/top.py\n", "p/__init__.py": "2", "p/.hid.py": "3", "p/.gitignore": "*.go\n!keep.go\n", "p/a.go": "x", "p/q/keep.go": "4", "p/top.py": "5", "top.py": "x", "b.go": "6"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     (tmp_path / "s" / "bad.py").write_bytes(b"\xff\xfe")
     (tmp_path / "s" / "big.py").write_bytes(b"x" * (600 * 1024))
     assert [(r.path, r.content) for r in files.read_notes(spark, str(tmp_path)).collect()] == [("a b.md", "# x")]
     code = {r.path: (r.content, r.error) for r in files.read_code(spark, str(tmp_path)).collect()}
-    assert code == {"src/m.rs": ("fn f() {}", None), "s/x.py": ("1", None), "s/bad.py": (None, "not UTF-8"), "s/big.py": (None, "too large")}
+    assert code == {"src/m.rs": ("fn f() {}", None), "s/x.py": ("1", None), "p/__init__.py": ("2", None), "p/.hid.py": ("3", None), "p/q/keep.go": ("4", None), "p/top.py": ("5", None), "b.go": ("6", None), "s/bad.py": (None, "not UTF-8"), "s/big.py": (None, "too large")}
     assert [r.path for r in files.list_documents(spark, str(tmp_path)).collect()] == ["a b.md"]
-    assert files.importable_documents(str(tmp_path)) == ["a b.md"]
+    (tmp_path / "docs").mkdir()
+    (tmp_path / ".rules").write_text("x")
+    assert files.importable_documents(str(tmp_path)) == ["docs", ".rules", "a b.md"]
     (tmp_path / "r.toml").write_text('[projects.p]\npath = "/x"\n')
     assert [tuple(r) for r in files.read_registry(spark, str(tmp_path / "r.toml")).collect()] == [("p", "path", "/x")]
     assert files.table_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0

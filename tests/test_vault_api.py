@@ -57,9 +57,25 @@ def test_projects_scopes_and_links(tmp_path):
             vault.resolve_scope(bad, "/h")
     (tmp_path / "in").mkdir()
     (tmp_path / "in/f.md").write_text("linked")
-    assert vault.linked_content({"link": str(tmp_path / "in/f.md")}, "own", [str(tmp_path / "in")]) == "linked"
-    assert vault.linked_content({"link": str(tmp_path / "in/../x.md")}, "own", [str(tmp_path / "in")]) == "own" and vault.linked_content(None, "own", []) == "own"
-    assert vault.import_document(str(tmp_path / "in/f.md"), str(tmp_path / "v"), "docs") == "docs/f.md" and vault.import_document(str(tmp_path / "in/f.md"), str(tmp_path / "v"), "docs", link=True) == "docs/f-1.md"
+    note, allowed = str(tmp_path / "v/n.md"), [str(tmp_path / "in")]
+    (tmp_path / "v").mkdir()
+    (tmp_path / "in/out.md").symlink_to(tmp_path / "secret.md")
+    (tmp_path / "secret.md").write_text("no")
+    assert vault.linked_content(note, {"link": "../in/f.md"}, "own", allowed) == "linked"
+    for bad in (str(tmp_path / "in/f.md"), "file://" + str(tmp_path / "in/f.md"), "../in/../x.md", "../in/out.md", "../in/none.md", "", None):
+        assert vault.linked_content(note, {"link": bad}, "own", allowed) == "own"
+    assert vault.linked_content(note, None, "own", []) == "own"
+    for name in ("docs/api/a.md", "docs/b.md", "docs/skip.txt", ".cursorrules", "ADR/1.md", "README.md"):
+        (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "w" / name).write_text(name)
+    work, root = str(tmp_path / "w"), str(tmp_path / "v")
+    assert vault.import_documents(f"{work}/docs", work, root) == ["docs/api/a.md", "docs/b.md"]
+    assert vault.import_documents(f"{work}/docs", work, root, organise=True) == ["api/a.md", "docs/b-1.md"]
+    assert [vault.import_documents(f"{work}/{n}", work, root, organise=True) for n in (".cursorrules", "ADR", "README.md")] == [["rules/.cursorrules.md"], ["decisions/1.md"], ["guides/README.md"]]
+    made = vault.import_documents(f"{work}/docs/api/a.md", work, root, link=True)[0]
+    fields, body, _ = vault.split_front_matter((tmp_path / "v" / made).read_text())
+    assert made == "api/a-1.md" and fields["link"] == "../../w/docs/api/a.md" and fields["type"] == "api" and body == ""
+    assert vault.linked_content(str(tmp_path / "v" / made), fields, body, [work]) == "docs/api/a.md"
     assert vault.may_delete(str(tmp_path / "in"), str(tmp_path)) and not vault.may_delete(str(tmp_path), str(tmp_path)) and not vault.may_delete("/", str(tmp_path))
     assert vault.list_argument(" a, b,,a ") == ["a", "b"]
 

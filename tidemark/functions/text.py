@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARKER = "\n... [truncated]\n"
+#: Folders that imported files go to, by the first rule that fits the lower-case path: it starts with, ends
+#: with or holds one of the texts.
+IMPORT_RULES = (
+    ("guides", "starts", ("readme",)),
+    ("decisions", "starts", ("adr", "decisions")),
+    ("api", "starts", ("docs/api",)),
+    ("architecture", "starts", ("docs/architecture",)),
+    ("rules", "ends", (".cursorrules", ".windsurfrules", ".clinerules", ".rules")),
+    ("rules", "holds", ("claude.md", "gemini.md", "agent")),
+    ("architecture", "holds", ("plan", "roadmap")),
+    ("artifacts", "holds", ("changelog", "history", "walkthrough", "task.md", "implementation_plan", "architecture_analysis")),
+)
+OTHER_IMPORTS = "docs"
 
 
 def sql_literal(text: Column) -> Column:
@@ -66,17 +81,20 @@ def note_path_ok(path: Column) -> Column:
 
 
 def import_category(path: Column) -> Column:
-    """Folder an imported file goes to: the first rule that fits its lower-case path."""
+    """Folder an imported file goes to: the first of IMPORT_RULES that fits its lower-case path."""
     p = F.lower(path)
-    has = lambda *xs: F.expr("false") if not xs else __import__("functools").reduce(lambda a, b: a | b, [p.contains(x) for x in xs])
-    ends = p.rlike(r"\.(cursorrules|windsurfrules|clinerules|rules)$")
-    return (
-        F.when(p.startswith("readme"), "guides").when(p.startswith("adr") | p.startswith("decisions"), "decisions")
-        .when(p.startswith("docs/api"), "api").when(p.startswith("docs/architecture"), "architecture")
-        .when(ends | has("claude.md", "gemini.md", "agent"), "rules").when(has("plan", "roadmap"), "architecture")
-        .when(has("changelog", "history", "walkthrough", "task.md", "implementation_plan", "architecture_analysis"), "artifacts")
-        .otherwise("docs")
-    )
+    tests = {"starts": p.startswith, "ends": p.endswith, "holds": p.contains}
+    out = F.lit(OTHER_IMPORTS)
+    for folder, how, words in reversed(IMPORT_RULES):
+        out = F.when(reduce(lambda a, b: a | b, [tests[how](w) for w in words]), folder).otherwise(out)
+    return out
+
+
+def import_folder(path: str) -> str:
+    """The same of one path."""
+    p = path.lower()
+    tests = {"starts": p.startswith, "ends": p.endswith, "holds": p.__contains__}
+    return next((folder for folder, how, words in IMPORT_RULES if any(tests[how](w) for w in words)), OTHER_IMPORTS)
 
 
 def preview(text: Column, length: int = 400) -> Column:

@@ -12,12 +12,14 @@ import time
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
-from urllib.parse import unquote
 
+from tidemark.functions.text import import_folder
 from tidemark.operators.markdown import split_front_matter
 
 BACKUPS = 5
 INTERNAL = (".index", ".trash", "wiki")
+#: Names of files with rules for agents.
+RULE_FILES = (".cursorrules", ".windsurfrules", ".clinerules", ".rules")
 
 
 class Conflict(RuntimeError):
@@ -153,26 +155,42 @@ class Documents:
         return str(gone)
 
 
-def import_document(source: str, root: str, folder: str, link: bool = False) -> str:
-    """Copy a document into a folder of the vault, or leave a note there that points to it; a name that is taken gets a
-    number."""
-    src = Path(source)
-    at = Path(root, folder, src.with_suffix(".md").name)
-    n = 1
-    while at.exists():
-        at = at.with_name(f"{src.stem}-{n}.md")
-        n += 1
-    body = front_matter_text({"id": str(uuid.uuid4()), "link": src.resolve().as_posix()}) + f"# {src.stem}\n" if link else src.read_text(encoding="utf-8")
-    _replace(at, body.encode())
-    return at.relative_to(root).as_posix()
+def importable(name: str) -> bool:
+    """Markdown and rule files."""
+    return name.endswith(".md") or name.startswith(RULE_FILES[:3]) or name == RULE_FILES[3]
+
+
+def import_documents(source: str, workspace: str, root: str, organise: bool = False, link: bool = False) -> list[str]:
+    """Bring a file, or all Markdown and rule files below a folder, into the vault; returns their places there. A copy keeps
+    its folder in the workspace, or with ``organise`` goes to the folder of its kind; ``link`` leaves a note there instead,
+    which names the file relative to itself. A name that is taken gets a number."""
+    src, out = Path(source), []
+    files = [src] if src.is_file() else sorted(p for p in src.rglob("*") if p.is_file())
+    for file in (f for f in files if importable(f.name)):
+        inside = file.resolve().relative_to(Path(workspace).resolve()) if file.resolve().is_relative_to(Path(workspace).resolve()) else Path(file.name)
+        kind = import_folder(inside.as_posix())
+        folder = Path(root, kind) if organise or link else Path(root, inside.parent)
+        name = file.name if file.name.endswith(".md") else f"{file.name}.md"
+        at, n = folder / name, 1
+        while at.exists():
+            at, n = folder / f"{name.removesuffix('.md')}-{n}.md", n + 1
+        if link:
+            target = Path(os.path.relpath(file.resolve(), folder.resolve())).as_posix()
+            data = front_matter_text({"memory_version": 1, "id": str(uuid.uuid4()), "type": kind, "link": target}).rstrip("\n") + "\n"
+            _replace(at, data.encode())
+        else:
+            _replace(at, file.read_bytes())
+        out.append(at.relative_to(root).as_posix())
+    return out
 
 
-def linked_content(fields: dict | None, body: str, allowed: list[str]) -> str:
-    """Text of the file a note points to, if it lies in an allowed folder; else the note's own."""
+def linked_content(note: str, fields: dict | None, body: str, allowed: list[str]) -> str:
+    """Text of the file a note points to, relative to itself, if it lies in an allowed folder, links followed; else the
+    note's own. Absolute targets and URIs are none."""
     target = (fields or {}).get("link")
-    if not target:
+    if not isinstance(target, str) or not target or target.startswith("/"):
         return body
-    at = Path(unquote(target.removeprefix("file://"))).resolve()
+    at = Path(note).parent.joinpath(target).resolve()
     if not any(at.is_relative_to(Path(a).resolve()) for a in allowed):
         return body
     try:
