@@ -1,6 +1,7 @@
 """Notes, code, packs, embedding and file sources."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import codeparse, embed, markdown, packs
 from tidemark.sources import files
@@ -204,3 +205,25 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "r.toml").write_text('[projects.p]\npath = "/x"\n')
     assert [tuple(r) for r in files.read_registry(spark, str(tmp_path / "r.toml")).collect()] == [("p", "path", "/x")]
     assert files.table_or_empty(spark, str(tmp_path / "none"), "a int").count() == 0
+
+
+def test_composed_packs_equal_the_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for section, n in (("a", 400), ("b", 3), ("c", 900)):
+        for i in range(n):
+            text = rng.choice([None, "", "word " * rng.randrange(1, 60), "x" * rng.randrange(1, 200) + "\n\n" + "y" * rng.randrange(1, 300), f"t{i}"])
+            rows.append((section, rng.choice(["files", "vault"]), rng.choice([None, f"p{rng.randrange(n)}"]), rng.randrange(3 * n), text))
+    df = spark.createDataFrame(rows, "section string, source string, path string, ord long, content string").repartition(4)
+    for most_item, most in ((100, 2000), (500, 300), (300, 20_000)):
+        got = packs.compose(df, most_item, most)
+        have = {s: [(r.pos, r.source, r.path, r.content) for r in sorted(got.filter(F.col("section") == s).collect(), key=lambda r: r.pos)] for s in "abc"}
+        for s in "abc":
+            mine = sorted((r for r in rows if r[0] == s and r[4]), key=lambda r: (r[3], r[2] or "", r[4], r[1]))
+            want = packs.allocate([packs.PackItem(r[1], r[4], r[2]) for r in mine], most_item, most)
+            assert have[s] == [(n, i.source, i.path, i.content) for n, i in enumerate(want)]
+    told = {r.section: r for r in packs.diagnostics(df, packs.compose(df, 100, 2000)).collect()}
+    assert told["c"].given == 900 and told["c"].chars >= 1900 and told["c"].kept >= told["c"].cut > 0
+    assert packs.compose(df.limit(0)).count() == 0

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import retrieval as R
+from tidemark.operators import textindex
 
 MARK = "\n... [truncated]\n"
 
@@ -133,3 +135,27 @@ def test_neighbours_of_text_ids(spark, monkeypatch):
     known = [r for r in rows if r[0] and r[1]]
     want = {(q, i, n + 1) for q, v in known for n, (_, i) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i) for i, w in known)[:4])}
     assert got == want
+
+
+@pytest.mark.parametrize("named", [2, 1000])
+def test_text_index_follows_its_documents(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(textindex, "NAMED_TERMS", named)
+    rng = random.Random(8)
+    text = lambda: rng.choice([None, "", " ".join(rng.choices("the Cat dog mouse owl".split(), k=rng.randrange(1, 20)))])
+    index = textindex.TextIndex(spark, str(tmp_path / "i"), parts=4)
+    asked = [(1, "cat"), (2, "the dog dog"), (3, "nothing"), (4, None), (5, "owl mouse")]
+    q = spark.createDataFrame(asked, "q long, t string")
+    frame = lambda d: spark.createDataFrame(list(d.items()), "d string, t string")
+    state = {f"d{i:02d}": text() for i in range(40)}
+    found = lambda: {(r.q, r.doc_id, r["rank"]) for r in index.search(q, 5, "q", "t").collect()}
+    assert index.update(frame(state), "d", "t") == {"taken": 40} and found() == brute_bm25(asked, list(state.items()), 5)
+    changed = {f"d{i:02d}": "owl cat" for i in range(5)} | {"new": "mouse"}
+    state |= changed
+    index.update(frame(changed), "d", "t")
+    assert found() == brute_bm25(asked, list(state.items()), 5) and index.update(frame(changed), "d", "t") == {"taken": 0}
+    state = {k: v for k, v in state.items() if k > "d07"}
+    index.update(frame(state), "d", "t", whole=True)
+    rows = index.postings.read().count()
+    assert found() == brute_bm25(asked, list(state.items()), 5)
+    index.compact()
+    assert found() == brute_bm25(asked, list(state.items()), 5) and index.postings.read().count() < rows

@@ -7,6 +7,9 @@ import json
 import os
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 MARKER = "\n... [truncated]\n"
 #: Where a text may be cut, and the default sections of a pack.
 BOUNDARIES = ("\n\n", "\n#", "\n---", ";\n", "}\n")
@@ -52,6 +55,45 @@ def allocate(items: list[PackItem], max_item: int = MAX_ITEM, max_section: int =
     return kept
 
 
+def compose(items: DataFrame, max_item: int = MAX_ITEM, max_section: int = MAX_SECTION) -> DataFrame:
+    """``section, pos, source, path, cut, content`` of the items that a pack holds, from ``section, source, path, ord,
+    content``: in the order of ``ord`` (a whole number, ties by path and content), the first of equal identity, each cut to
+    its budget, while the section's lasts. Null and empty contents are no items.
+
+    Only items that the budget may reach are put in one place: running sums of sizes go over ranges of ``ord``, and behind
+    the range in which the budget is spent no more items follow than its rest can be cut into."""
+    rows = items.filter("content is not null and content <> '' and section is not null")
+    identity = F.when(F.col("path").isNotNull(), F.concat_ws(":", "source", "path")).otherwise(F.sha2("content", 256))
+    first = rows.groupBy("section", identity.alias("identity")).agg(F.min(F.struct("ord", "path", "content", "source")).alias("i")).select("section", "i.*")
+    sized = first.withColumn("size", F.least(F.length("content"), F.lit(max_item))).withColumn("range", F.floor(F.col("ord") / 256))
+    per = sized.groupBy("section", "range").agg(F.sum("size").alias("chars"), F.count("*").alias("n"))
+    up = Window.partitionBy("section").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("before", F.coalesce(F.sum("chars").over(up), F.lit(0))).withColumn("late", F.coalesce(F.sum(F.when(F.col("before") >= max_section, F.col("n")).otherwise(0)).over(up), F.lit(0)))
+    # Each item behind the one that is cut adds the marker at least.
+    near = per.filter((F.col("before") < max_section) | (F.col("late") <= max_section // len(MARKER))).select("section", "range")
+    kept = sized.join(near, ["section", "range"]).select("section", "source", "path", "ord", "content")
+
+    def fold(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["ord", "path", "content", "source"], na_position="first")
+        given = {id(i): i for i in (PackItem(s, c, p if isinstance(p, str) else None, {"chars": len(c)}) for s, p, c in zip(pdf["source"], pdf["path"], pdf["content"]))}
+        packed = allocate(list(given.values()), max_item, max_section)
+        out = [(pdf["section"].iloc[0], n, i.source, i.path, len(i.content) != i.provenance["chars"], i.content) for n, i in enumerate(packed)]
+        return pd.DataFrame(out, columns=["section", "pos", "source", "path", "cut", "content"])
+
+    kind = items.schema["section"].dataType.simpleString()
+    return kept.groupBy("section").applyInPandas(fold, f"section {kind}, pos int, source string, path string, cut boolean, content string")
+
+
+def diagnostics(items: DataFrame, pack: DataFrame) -> DataFrame:
+    """``section, given, kept, cut, chars`` of a pack from ``compose``."""
+    had = items.groupBy("section").agg(F.count("*").alias("given"))
+    got = pack.groupBy("section").agg(F.count("*").alias("kept"), F.count_if("cut").alias("cut"), F.sum(F.length("content")).alias("chars"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return had.join(got, "section", "left").select("section", "given", none("kept"), none("cut"), none("chars"))
+
+
 def validate_manifest(manifest: dict) -> list[str]:
     """Problems of a pack's manifest: sections need a name of their own and sources of a known kind."""
     problems, names = [], set()

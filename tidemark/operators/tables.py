@@ -123,6 +123,15 @@ class SnapshotTable:
             raise FileNotFoundError(self.root)
         return self.spark.createDataFrame([], schema)
 
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The parts that hold ``keys``, rows with the table's key; of a table without key all there is."""
+        manifest = self._manifest(self.version())
+        if manifest is None:
+            raise FileNotFoundError(self.root)
+        if manifest["key"] is None:
+            return self._read(manifest)
+        return self._read(manifest, {r[0] for r in keys.select(self._part(manifest["key"], manifest["parts"])).distinct().collect()})  # at most ``parts``
+
     def _part(self, key: str | None, parts: int) -> Column:
         return (F.pmod(F.xxhash64(key), F.lit(parts)) if key else F.lit(0)).cast("string")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import predicates as P
 from tidemark.functions.text import cut_text, project_key
-from tidemark.operators import codeparse, embed, markdown
+from tidemark.operators import codeparse, embed, markdown, packs
 from tidemark.operators import tables as T
 from tidemark.operators.notes import live_notes
 from tidemark.sources import files
@@ -260,11 +260,51 @@ def fn17(spark, sf):
     return run.filter(fits).select("project", "doc_id")
 
 
-QUERIES["cmp06_context_pack"] = lambda spark, sf: fn17(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("project", "doc_id", F.sha2(cut_text(C("text"), F.lit(ITEM)), 256).alias("content_hash"))
-SQL["cmp06_context_pack"] = f"SELECT project, doc_id, sha256(CASE WHEN length(text) <= {ITEM} THEN text ELSE substr(text, 1, {ITEM - 18}) || E'\\n... [truncated]\\n' END) content_hash FROM (" + SQL["fn17_section_budget"] + ") JOIN (SELECT doc_id, text FROM documents) USING (doc_id)"
+def _pack_items(spark, sf):
+    """Sections of every project's pack: its decisions and issues, its code docs, and its live notes' titles."""
+    d = read_table(spark, sf, "documents").filter("project is not null").withColumn("s", F.lower(F.trim("source")))
+    texts = d.select(F.concat_ws("/", "project", F.when(C("s") == "code_docs", "code").otherwise("decisions")).alias("section"), C("s").alias("source"), "path", C("doc_id").alias("ord"), C("text").alias("content"))
+    n = live_notes(read_table(spark, sf, "vault_notes"), ["path", "project", "title"]).filter("project is not null")
+    return texts.unionByName(n.select(F.concat_ws("/", "project", F.lit("overview")).alias("section"), F.lit("vault").alias("source"), "path", F.lit(0).cast("long").alias("ord"), C("title").alias("content")))
 
 
-@query("fn16_semantic_cut")
+def _cut_sql(x: str, most: str) -> str:
+    """The semantic cut of a text in SQL."""
+
+    def last(b):
+        """Place of a boundary's last occurrence, counted from 0; -1 if there is none."""
+        code, part = " || ".join(f"chr({ord(c)})" for c in b), f"substr({x}, 1, ({most})::bigint + {len(b)})"
+        return f"CASE WHEN instr({part}, {code}) = 0 THEN -1 ELSE length({part}) - instr(reverse({part}), reverse({code})) - {len(b) - 1} END"
+
+    at = f"greatest({', '.join(last(b) for b in packs.BOUNDARIES)})"
+    return f"CASE WHEN length({x}) <= {most} THEN {x} ELSE substr({x}, 1, CASE WHEN {at} >= 0 THEN {at} ELSE {most} END::bigint) || E'\\n... [truncated]\\n' END"
+
+
+_PACKED = f"""WITH RECURSIVE {_LIVE}, doc AS (SELECT *, lower(trim(source)) s FROM documents WHERE project IS NOT NULL),
+it AS (SELECT concat_ws('/', project, CASE WHEN s = 'code_docs' THEN 'code' ELSE 'decisions' END) section, s AS source, path, doc_id AS ord, text AS content FROM doc
+ UNION ALL SELECT concat_ws('/', project, 'overview'), 'vault', path, 0, title FROM live WHERE project IS NOT NULL),
+un AS (SELECT * FROM it WHERE content <> '' QUALIFY row_number() OVER (PARTITION BY section, CASE WHEN path IS NOT NULL THEN concat_ws(':', source, path) ELSE sha256(content) END ORDER BY ord, path NULLS FIRST, content, source) = 1),
+d AS (SELECT section, source, path, length(content) size, {_cut_sql('content', str(packs.MAX_ITEM))} t1, row_number() OVER (PARTITION BY section ORDER BY ord, path NULLS FIRST, content, source) i FROM un),
+w AS (SELECT section, 0::bigint i, 0::bigint total, false stop, NULL::varchar source, NULL::varchar path, false AS cut, NULL::varchar content FROM (SELECT DISTINCT section FROM d)
+ UNION ALL SELECT section, i, total + CASE WHEN stop2 THEN 0 ELSE length(t2) END, stop2, source, path, length(t2) <> size, CASE WHEN stop2 THEN NULL ELSE t2 END FROM (SELECT *, CASE WHEN stop2 OR fits THEN t1 ELSE {_cut_sql('t1', f'({packs.MAX_SECTION} - total)')} END t2 FROM (
+  SELECT d.*, w.total, w.total + length(d.t1) <= {packs.MAX_SECTION} fits, w.stop OR (w.total + length(d.t1) > {packs.MAX_SECTION} AND {packs.MAX_SECTION} - w.total < {packs.LEAST_ROOM}) stop2 FROM w JOIN d ON d.section = w.section AND d.i = w.i + 1))),
+pk AS (SELECT * FROM w WHERE content IS NOT NULL)"""
+
+
+@query("cmp06_context_pack", _PACKED + " SELECT section, (row_number() OVER (PARTITION BY section ORDER BY i) - 1)::int pos, source, path, cut, sha256(content) AS content FROM pk")
+def cmp06(spark, sf):
+    """What the packs of all projects hold, with where it comes from."""
+    return packs.compose(_pack_items(spark, sf)).withColumn("content", F.sha2("content", 256))
+
+
+@query("cmp06_diagnostics", _PACKED + """ SELECT section, given, coalesce(kept, 0) kept, coalesce(cuts, 0) AS cut, coalesce(chars, 0) chars FROM (SELECT section, count(*) given FROM it GROUP BY section)
+ LEFT JOIN (SELECT section, count(*) kept, count_if(cut) cuts, sum(length(content)) chars FROM pk GROUP BY section) USING (section)""")
+def cmp06_diagnostics(spark, sf):
+    items = _pack_items(spark, sf)
+    return packs.diagnostics(items, packs.compose(items))
+
+
+@query("fn16_semantic_cut", f"SELECT doc_id, {_cut_sql('text', '600')} AS text FROM documents")
 def fn16(spark, sf):
     from tidemark.operators.packs import cut_semantically
 

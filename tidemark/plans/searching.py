@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import in_wiki, prefers_text_search
 from tidemark.operators import retrieval as R
-from tidemark.session import read_table
+from tidemark.session import ensure_checkpoint_dir, read_table
 
 QUERIES, SQL = {}, {}
 C = F.col
@@ -56,6 +58,18 @@ def rnk02(spark, sf):
     return R.bm25(texts(spark, sf), read_table(spark, sf, "documents"), 10, "qid", "qtext", "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
+@query("rnk02_text_index", f"WITH {_BM} SELECT qid, doc_id, round(score, 6) score, rank FROM bm")
+def rnk02_index(spark, sf):
+    """The same from a stored index that was built of the English documents with other texts first, and then updated."""
+    from tidemark.operators.textindex import TextIndex
+
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
+    index = TextIndex(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", 16)
+    index.update(d.filter("lang = 'en'").withColumn("text", F.reverse("text")), "doc_id", "text")
+    index.update(d, "doc_id", "text", whole=True)
+    return index.search(texts(spark, sf), 10, "qid", "qtext").withColumn("score", F.round("score", 6))
+
+
 def _lists(spark, sf):
     words = R.bm25(texts(spark, sf), read_table(spark, sf, "documents"), 10, "qid", "qtext", "doc_id", "text").select("qid", C("doc_id").alias("item"), "rank")
     e = read_table(spark, sf, "embeddings")
