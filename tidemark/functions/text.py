@@ -128,3 +128,24 @@ def uri_path(uri: Column) -> Column:
 def project_key(name: Column) -> Column:
     """Suggested key: lower case, runs of other characters as one dash."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def list_values(text: Column) -> Column:
+    """Values of an argument separated by commas or lines: trimmed, none empty, each once in order."""
+    return F.array_distinct(F.filter(F.transform(F.split(text, "[,\n]"), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def scope_folder(scope: Column, home: str, cwd: str) -> Column:
+    """Vault folder of a scope: an absolute or relative path is made canonical, any other word gets a private folder named
+    by its hash; null for blank ones, longer ones than 512 bytes and paths above the root."""
+    relative = normal_path(F.concat(F.lit(cwd.strip("/") + "/"), scope))
+    place = F.when(scope.startswith("/"), normal_path(F.substring(scope, 2, 2**30))).when(scope.startswith("."), relative)
+    hashed = F.concat(F.lit(f"{home}/scopes/"), F.sha2(scope, 256))
+    fits = (F.trim(scope) != "") & (F.octet_length(scope) <= 512)
+    return F.when(fits, F.when(scope.startswith("/") | scope.startswith("."), F.concat(F.lit("/"), place)).otherwise(hashed))
+
+
+def deletable(path: Column, home: str) -> Column:
+    """Whether a folder, by its canonical path, lies strictly below the data folder."""
+    at = F.concat(F.lit("/"), normal_path(F.substring(path, 2, 2**30)))
+    return F.coalesce(path.startswith("/") & at.startswith(home.rstrip("/") + "/"), F.lit(False))

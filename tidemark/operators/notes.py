@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import normal_path
 from tidemark.functions.timestamps import parse_instant
 
 
@@ -42,3 +43,13 @@ def live_nodes(nodes: DataFrame) -> DataFrame:
     updated_at can't be read come before all others."""
     held = holding_rows(nodes, "node_key", [parse_instant("updated_at"), F.col("row_no")], ["is_deleted"])
     return held.filter(~F.coalesce(F.col("is_deleted"), F.lit(False))).select("node_key")
+
+
+def linked_contents(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """``note, content, linked``: texts of notes (note, root, link, content), that of the file (path, content) the link
+    names if it lies in the note's root folder, else their own. Absolute links and such that leave the root are none."""
+    target = normal_path(F.col("link"))
+    inside = F.when(target.startswith(F.concat("root", F.lit("/"))), target)
+    found = files.filter("path is not null and content is not null").groupBy(F.col("path").alias("_p")).agg(F.min("content").alias("_content"))
+    met = notes.withColumn("_t", inside).join(found, F.col("_t") == F.col("_p"), "left")
+    return met.select("note", F.coalesce("_content", "content").alias("content"), F.col("_p").isNotNull().alias("linked"))

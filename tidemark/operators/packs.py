@@ -94,6 +94,26 @@ def diagnostics(items: DataFrame, pack: DataFrame) -> DataFrame:
     return had.join(got, "section", "left").select("section", "given", none("kept"), none("cut"), none("chars"))
 
 
+def store(pack: DataFrame, root: str) -> DataFrame:
+    """A pack from ``compose`` as a folder per section, items in order, beside a list of their sources; read back."""
+    pack.repartition("section").sortWithinPartitions("section", "pos").write.mode("overwrite").partitionBy("section").parquet(f"{root}/items")
+    stored = pack.sparkSession.read.schema(pack.schema).parquet(f"{root}/items")
+    stored.select("section", "pos", "source", "path", F.length("content").alias("chars"), F.sha2("content", 256).alias("content_hash")).write.mode("overwrite").json(f"{root}/sources")
+    return stored
+
+
+#: Kinds of sources a section may have.
+SOURCES = ("vault_search", "code_search", "files", "cli_help", "document")
+
+
+def manifest_problems(sections: DataFrame) -> DataFrame:
+    """``manifest, problem``: the problems of manifests given as rows ``manifest, section, type``, a row per source."""
+    n = F.col("section").isNull()
+    unknown = F.concat(F.lit("section "), "section", F.lit(": unknown source "), F.coalesce("type", F.lit("?")))
+    wrong = F.when(n, "a section has no id").when(F.col("type").isNull() | ~F.col("type").isin(*SOURCES), unknown)
+    return sections.select("manifest", wrong.alias("problem")).filter("problem is not null").distinct()
+
+
 def validate_manifest(manifest: dict) -> list[str]:
     """Problems of a pack's manifest: sections need a name of their own and sources of a known kind."""
     problems, names = [], set()
@@ -105,7 +125,7 @@ def validate_manifest(manifest: dict) -> list[str]:
             problems.append(f"section {name} is there twice")
         names.add(name)
         for src in s.get("sources") or []:
-            if src.get("type") not in ("vault_search", "code_search", "files", "cli_help", "document"):
+            if src.get("type") not in SOURCES:
                 problems.append(f"section {name}: unknown source {src.get('type')}")
     if not manifest.get("sections"):
         problems.append("no sections")

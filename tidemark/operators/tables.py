@@ -60,6 +60,16 @@ def compare_and_set(overrides: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
+def guarded_writes(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """``path, content_hash, outcome`` of documents ``stored(path, content_hash)`` after ``requests(path, expected,
+    content_hash)``, one per path: a request that names the hash it has read is written, one that names none creates; others
+    are conflicts and change nothing, as are writes to what isn't there. Paths without request are kept."""
+    both = requests.select("path", "expected", F.col("content_hash").alias("_new"), F.lit(True).alias("_asked")).join(stored, "path", "full")
+    outcome = F.when(F.col("_asked").isNull(), "kept").when(F.col("expected").isNull() & F.col("content_hash").isNull(), "created").when(F.col("expected") == F.col("content_hash"), "written").otherwise("conflict")
+    done = both.withColumn("outcome", outcome)
+    return done.select("path", F.when(F.col("outcome").isin("created", "written"), F.col("_new")).otherwise(F.col("content_hash")).alias("content_hash"), "outcome")
+
+
 def visible_edges(edges: DataFrame, overrides: DataFrame) -> DataFrame:
     return edges.join(overrides.filter(F.col("action") == "suppress").select("edge_key"), "edge_key", "left_anti")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import EXCLUDE_GLOBS, EXCLUDED_DIRS, INCLUDE_GLOBS, MAX_FILE_BYTES, glob_regex, in_wiki, language_of_path, matches_any, outside_dirs
+from tidemark.functions.text import import_category
 from tidemark.session import spread
 
 FILE_SCHEMA = "path string, size long, modified_at timestamp, content string"
@@ -131,13 +132,29 @@ def importable_documents(root: str) -> list[str]:
     return [n for n in IMPORTABLE if os.path.exists(os.path.join(root, n))] + names
 
 
+def import_plan(listing: DataFrame, vault: str = "vault") -> DataFrame:
+    """Of the files (project, path) below projects' roots those worth importing: ``project, entry`` (what of the root they
+    belong to) ``, path, copied, organised`` (places in the vault, a folder of the root) ``, link`` (what a stub there
+    names)."""
+    entry, name = F.split_part("path", F.lit("/"), F.lit(1)), F.element_at(F.split("path", "/"), -1)
+    ruled = name.rlike(r"^\.(cursorrules|windsurfrules|clinerules)") | (name == ".rules")
+    nested = F.col("path").contains("/")
+    there = F.when(nested, entry.isin(*IMPORTABLE)).otherwise(entry.isin(*IMPORTABLE) | name.endswith(".md"))
+    files = listing.filter(there & (name.endswith(".md") | ruled)).withColumn("entry", entry).withColumn("name", F.when(ruled & ~name.endswith(".md"), F.concat(name, F.lit(".md"))).otherwise(name))
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    kind = import_category(F.col("path"))
+    return files.select(
+        "project", "entry", "path", F.concat(F.lit(f"{vault}/"), folder, "name").alias("copied"), F.concat_ws("/", F.lit(vault), kind, "name").alias("organised"),
+        F.concat(F.lit("../" * (vault.strip("/").count("/") + 2)), "path").alias("link"),
+    )
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """``key, name, value`` of the projects in a TOML registry; an absent file is an empty registry."""
-    rows = []
-    if os.path.exists(path):
-        with open(path, "rb") as f:
-            for key, config in tomllib.load(f).get("projects", {}).items():
-                rows += [(key, n, v if isinstance(v, str) else str(v)) for n, v in config.items()]
+    rows, at = [], spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        for key, config in tomllib.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())).get("projects", {}).items():
+            rows += [(key, n, v if isinstance(v, str) else str(v)) for n, v in config.items()]
     return spark.createDataFrame(rows, "key string, name string, value string")
 
 
