@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import tables as T
 from tidemark.streaming import watch
@@ -143,3 +144,20 @@ def test_busy_projects_try_again(spark):
     jobs = spark.createDataFrame([("p", T0, T0 + timedelta(seconds=10)), ("p", T0 + timedelta(seconds=12), T0 + timedelta(seconds=20)), ("p", T0 + timedelta(seconds=110), None), ("q", T0, T0 + timedelta(days=1))], "project string, started_at timestamp, finished_at timestamp")
     got = watch.requeue(b, jobs, "project").orderBy("dirty_since").collect()
     assert [((r.fires_at - T0).seconds, r.tries) for r in got] == [(21, 7), (103, 1), (203, 1)]
+
+
+def test_smallest_enclosing(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"s{i:03d}", rng.choice("fgh"), a := rng.randrange(300), a + rng.choice([0, 1, 5, 40, 250])) for i in range(150)] + [(f"m{i}", "min", 1, 1) for i in range(30)]
+    rows += rows[:9] + [(None, "f", 1, 2), ("n", None, 1, 2), ("o", "f", None, 2)]
+    df = spark.createDataFrame(rows, "i string, f string, a int, z int").withColumn("one", F.lit("clash"))
+    good = {r for r in rows if None not in r}
+    want = {}
+    for i, f, a, z in good:
+        around = [(q - p, j) for j, g, p, q in good if g == f and p <= a and q >= z and j != i]
+        if around:
+            want[i] = min(around)[1]
+    got = T.smallest_enclosing(df, "f", "i", "a", "z").collect()
+    assert {r.i: r.owner for r in got} == want and len(got) == len(want)

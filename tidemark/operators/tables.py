@@ -94,6 +94,28 @@ def pairs_once(pairs: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     return pairs.groupBy(F.least(a, b).alias("key_a"), F.greatest(a, b).alias("key_b")).agg(F.max(weight).alias(weight))
 
 
+def smallest_enclosing(spans: DataFrame, group: str, ident: str, start: str, end: str, width: int = 64) -> DataFrame:
+    """``ident, owner``: for each span the smallest other one of its group that encloses it, of equal ones that with the
+    smallest id; spans that nothing encloses have no row. Repeated rows count once, of several spans of an id the one with
+    the smallest around it does, rows with a null are ignored.
+
+    Spans with the same ends are one range with its two smallest ids, so lines that all of a group's spans lie on (a
+    minified file) make no pairs. Ranges are posted in the blocks of ``width`` they cover, and one that a single span has
+    looks only into the block it begins in."""
+    rows = spans.select(F.col(group).alias("g"), F.col(ident).alias("id"), F.col(start).alias("a"), F.col(end).alias("z")).filter("g is not null and id is not null and a is not null and z is not null")
+    first = rows.groupBy("g", "a", "z").agg(F.min("id").alias("one"), F.max("id").alias("last"))
+    second = rows.join(first, ["g", "a", "z"]).filter("id <> one").groupBy("g", "a", "z").agg(F.min("id").alias("two"))
+    ranges = first.join(second, ["g", "a", "z"], "left")
+    # Another span with the same ends is the smallest there can be.
+    shared = rows.distinct().join(ranges.filter("two is not null"), ["g", "a", "z"]).select("id", (F.col("z") - F.col("a")).alias("size"), F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("owner"))
+    block = lambda c: F.floor(c / width)
+    posted = ranges.select("g", F.col("a").alias("oa"), F.col("z").alias("oz"), F.col("one").alias("owner"), F.explode(F.sequence(block(F.col("a")), block(F.greatest("a", "z")))).alias("block"))
+    alone = ranges.filter("two is null").select("g", "a", "z", F.col("one").alias("id"), block(F.col("a")).alias("block"))
+    around = alone.join(posted, ["g", "block"]).filter("oa <= a and oz >= z and owner <> id")
+    found = shared.unionByName(around.select("id", (F.col("oz") - F.col("oa")).alias("size"), "owner"))
+    return found.groupBy("id").agg(F.min(F.struct("size", "owner")).alias("b")).select(F.col("id").alias(ident), F.col("b.owner").alias("owner"))
+
+
 def keep_newest(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 

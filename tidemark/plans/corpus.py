@@ -69,7 +69,13 @@ def fn04(spark, sf):
     return markdown.note_chunks(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-@query("fn06_code_segments")
+_SEGMENT_END = "CASE WHEN {a} + 600 < length(t) AND instr(substr(t, {a} + 2, 599), chr(10)) > 0 THEN {a} + 601 - instr(reverse(substr(t, {a} + 2, 599)), chr(10)) ELSE least({a} + 600, length(t)) END"
+
+
+@query("fn06_code_segments", f"""WITH RECURSIVE c AS (SELECT DISTINCT id, coalesce(content, '') t FROM code_chunks),
+w AS (SELECT id, t, 0 i, 0::bigint a, CASE WHEN length(t) <= 600 THEN length(t) ELSE {_SEGMENT_END.format(a='0')} END::bigint z FROM c
+ UNION ALL SELECT id, t, i + 1, b, ({_SEGMENT_END.format(a='b')})::bigint FROM (SELECT *, CASE WHEN z - 80 > a THEN z - 80 ELSE z END b FROM w WHERE z < length(t)))
+SELECT id, i segment_index, substr(t, a + 1, z - a) AS content, sha256(substr(t, a + 1, z - a)) content_hash FROM w""")
 def fn06(spark, sf):
     c = read_table(spark, sf, "code_chunks").select("id", "content").distinct()
     return codeparse.code_segments(c, "id", "content", 600, 80)
@@ -406,6 +412,21 @@ def str08(spark, sf):
     return t.read().select("path", "modified_at")
 
 
+@query("str08_stream_upserts", "SELECT path, nullif(arg_max(coalesce(content_hash, ''), (modified_at, change_id)), '') content_hash FROM file_changes WHERE path IS NOT NULL GROUP BY path")
+def str08_stream(spark, sf):
+    """The newest state of each path, in a table that a stream of changes is upserted into."""
+    at, name = f"{sf}/file_changes.parquet", "file_changes.parquet"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(at)
+    folder = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+    reader = spark.readStream.schema(spark.read.parquet(at).schema)
+    stream = reader.parquet(at) if folder else reader.option("pathGlobFilter", name).parquet(sf)
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = stream.filter("path is not null").select("path", F.struct("modified_at", "change_id").alias("version"), "content_hash")
+    watch.stream_upserts(rows, f"{root}/table", "path", "version", f"{root}/log").awaitTermination()
+    return T.SnapshotTable(spark, f"{root}/table").read().select("path", "content_hash")
+
+
 @query("src02_default_globs", "SELECT * FROM (VALUES ('include', '**/*.md'), ('exclude', '**/node_modules/**'), ('exclude', '**/target/**'), ('exclude', '**/.git/**')) t(kind, pattern)")
 def src02(spark, sf):
     return spark.createDataFrame([("include", g) for g in P.INCLUDE_GLOBS] + [("exclude", g) for g in P.EXCLUDE_GLOBS], "kind string, pattern string")

@@ -232,12 +232,9 @@ def jn07(spark, sf):
 @query("jn08_smallest_enclosing", """WITH s AS (SELECT DISTINCT id, file_path, start_line a, end_line z FROM code_chunks WHERE start_line IS NOT NULL AND end_line IS NOT NULL)
 SELECT c.id, arg_min(p.id, (p.z - p.a, p.id)) owner FROM s c JOIN s p ON p.file_path = c.file_path AND p.a <= c.a AND p.z >= c.z AND p.id <> c.id GROUP BY c.id""")
 def jn08(spark, sf):
-    """The smallest other segment of the file that encloses a segment's lines. Enclosing is found by blocks of 64 lines:
-    a segment is posted in each block it covers and looks only into the block of its own first line."""
-    s = read_table(spark, sf, "code_chunks").filter("start_line is not null and end_line is not null").select("id", "file_path", C("start_line").alias("a"), C("end_line").alias("z")).distinct()
-    owner = s.select(C("id").alias("owner"), "file_path", C("a").alias("oa"), C("z").alias("oz"), F.explode(F.sequence(F.expr("a div 64"), F.expr("greatest(a, z) div 64"))).alias("block"))
-    inside = s.withColumn("block", F.expr("a div 64")).join(owner, ["file_path", "block"]).filter("oa <= a and oz >= z and owner <> id")
-    return inside.groupBy("id").agg(F.min(F.struct((C("oz") - C("oa")).alias("size"), "owner")).alias("best")).select("id", C("best.owner").alias("owner"))
+    """The smallest other segment of the file that encloses a segment's lines."""
+    s = read_table(spark, sf, "code_chunks").filter("start_line is not null and end_line is not null").select("id", "file_path", C("start_line").alias("a"), C("end_line").alias("z"))
+    return T.smallest_enclosing(s, "file_path", "id", "a", "z")
 
 
 @query("jn09_hits_to_nodes", f"""WITH {_E}, h AS (SELECT DISTINCT hit_id, source, path, qualified_symbol FROM search_hits) SELECT hit_id, node_key FROM h JOIN n ON n.path = h.path AND n.corpus = 'vault' WHERE source = 'vault'
