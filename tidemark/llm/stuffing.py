@@ -64,7 +64,7 @@ ENDS = re.compile(r"[.!?…:;。！？][\"'”’)\]]*\s*$")
 
 def plain(text: str) -> str:
     """The text as a reader sees it: compatibility forms folded, invisible characters gone, lower case kept apart."""
-    return INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    return text if text.isascii() else INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
 
 
 def words_of(line: str, leet: bool = True) -> list[str]:
@@ -97,7 +97,7 @@ def lines_of(text: str) -> list[tuple[str, bool]]:
 def shape(said: str, words: list[str], glue: int, linked: bool, spoken: bool) -> tuple:
     """Whether a line is a sentence, its word count (in steps), glue words, capitals, separators, link and end."""
     names = said.split()
-    caps = sum(x[:1].isupper() for x in names) * 2 > len(names)
+    caps = sum([x[0].isupper() for x in names]) * 2 > len(names)
     return (spoken, min(len(words), 15) // 3, min(glue, 3), caps, frozenset(SEPARATORS.findall(said)), linked, bool(ENDS.search(said)))
 
 
@@ -106,7 +106,7 @@ def sentence(said: str, words: list[str], glue: int) -> bool:
     script without spaces."""
     if not said.isascii() and CJK.search(said):
         return True
-    if glue >= 2 and len(words) >= 5 and sum(x in GLUE for x in words) >= 0.15 * len(words) and ("#" not in said or not HASHTAG.search(said)):
+    if glue >= 2 and len(words) >= 5 and sum([x in GLUE for x in words]) >= 0.15 * len(words) and ("#" not in said or not HASHTAG.search(said)):
         return True
     return len(words) >= 3 and bool(ENDS.search(said)) and said.lstrip("#*- ")[:1].isupper() and not LISTED.search(said)
 
@@ -122,10 +122,11 @@ def is_code(line: str) -> bool:
 
 def stems_of(words: Counter) -> Counter:
     """Counts of the beginnings of words."""
-    begun: Counter = Counter()
+    begun: dict = {}
     for x, n in words.items():
-        begun[x[:STEM]] += n
-    return begun
+        x = x[:STEM]
+        begun[x] = begun.get(x, 0) + n
+    return Counter(begun)
 
 
 def repeated(words: Counter, least: float) -> set[str]:
@@ -182,7 +183,7 @@ def stuffing(text: str | None) -> float:
             # A sentence that serves to repeat keywords only; else it is what a page is for, or explains a link.
             if focus >= SPOKEN_FOCUS and spoken >= 30:
                 own = [x for x in w if x not in GLUE]
-                echo = sum(x in keys for x in own) >= 0.6 * len(own) or sum(x in top for x in own) >= len(own) / 3
+                echo = sum([x in keys for x in own]) >= 0.6 * len(own) or sum([x in top for x in own]) >= len(own) / 3
                 stuffed = len(own) >= 3 and echo and len(set(own)) <= 0.78 * len(own) and any(own.count(x) > 1 for x in top)
         elif LOG.match(q):
             continue
@@ -192,7 +193,7 @@ def stuffing(text: str | None) -> float:
             own = [x for x in w if x not in GLUE]
             if stems is None:
                 stems = {x for x, n in stems_of(every).items() if n >= often}
-            akin = max(sum(x in keys for x in own), sum(x[:STEM] in stems for x in own)) / len(own) if own else 0.0
+            akin = max(sum([x in keys for x in own]), sum([x[:STEM] in stems for x in own])) / len(own) if own else 0.0
             if akin < 0.8 and (q.lstrip().startswith("|") or is_code(q)):
                 continue
             loose.update(own)
@@ -206,7 +207,7 @@ def stuffing(text: str | None) -> float:
         again, begins = repeated(loose, CLOSED), repeated(stems_of(loose), CLOSED_STEMS)
         if again or begins:
             for size, own, form in left:
-                if repeats(max(sum(x in again for x in own), sum(x[:STEM] in begins for x in own)) / len(own), len(own), groups[form][0], focus):
+                if repeats(max(sum([x in again for x in own]), sum([x[:STEM] in begins for x in own])) / len(own), len(own), groups[form][0], focus):
                     groups[form][1] += size
     # Sentences are one layout, whatever their lengths.
     most = sorted([sum(n for f, (_, n) in groups.items() if f[0]), *(n for f, (_, n) in groups.items() if not f[0])], reverse=True)
