@@ -59,7 +59,13 @@ def src08(spark, sf):
     return files.table_or_empty(spark, f"{sf}/graph_edge_overrides.parquet", "node_key string, action string")
 
 
-@query("fn01_front_matter")
+_FRONT = """fm AS (SELECT doc_id, text, CASE WHEN starts_with(text, '---' || chr(13) || chr(10)) THEN chr(13) || chr(10) WHEN starts_with(text, '---' || chr(10)) THEN chr(10) END nl FROM documents),
+fp AS (SELECT *, 3 + length(nl) opening, instr(substr(text, 4 + length(nl)), nl || '---' || nl) e, starts_with(substr(text, 4 + length(nl)), '---' || nl) none FROM fm),
+fh AS (SELECT *, CASE WHEN none THEN '' WHEN e > 0 THEN substr(text, opening + 1, e - 1) END head, CASE WHEN none THEN substr(text, opening + 4 + length(nl)) WHEN e > 0 THEN substr(text, opening + e + 3 + 2 * length(nl)) END rest FROM fp)"""
+
+
+@query("fn01_front_matter", f"""WITH {_FRONT} SELECT doc_id, CASE WHEN regexp_matches(head, '(?m)^id:[ \t]*\\S') THEN regexp_extract(head, '(?m)^id:[ \t]*[\"'']?(.*?)[\"'']?[ \t\r]*$', 1) END id,
+ CASE WHEN nl IS NULL THEN coalesce(text, '') WHEN head IS NULL THEN '' ELSE regexp_replace(rest, '^[\r\n]+', '') END body, CASE WHEN nl IS NOT NULL AND head IS NULL THEN 'unclosed front matter' END AS error FROM fh""")
 def fn01(spark, sf):
     return markdown.front_matter(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", C("fields")["id"].alias("id"), "body", "error")
 
@@ -323,7 +329,8 @@ def fn16(spark, sf):
     return d.mapInPandas(run, "doc_id long, text string")
 
 
-@query("fn23_note_repair")
+@query("fn23_note_repair", f"""WITH {_FRONT} SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN nl IS NULL THEN '---' || chr(10) || 'id: doc-' || doc_id || chr(10) || '---' || chr(10) || chr(10) || text
+ WHEN regexp_matches(head, '(?m)^id:[ \t]*\\S') THEN text WHEN head IS NOT NULL THEN '---' || nl || head || nl || 'id: doc-' || doc_id || substr(text, opening + e) END AS text FROM fh""")
 def fn23(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "text")
 
@@ -456,7 +463,17 @@ def set05(spark, sf):
     return part("decisions", "vault_export").unionByName(part("code", "code_docs"))
 
 
-@query("fn05_long_blocks")
+_BLANK = "[\\s\\v\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+#: What ends a line, as Python sees it.
+_ENDS = "\\r\\n|[\\n\\r\\v\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+
+
+@query("fn05_long_blocks", f"""WITH RECURSIVE l AS (SELECT doc_id, string_split_regex(regexp_replace(text, '({_ENDS})$', ''), '{_ENDS}') ls FROM documents WHERE strlen(text) > {markdown.CHUNK_BYTES}),
+c AS (SELECT doc_id, ls, len(ls) n, list_transform(ls, lambda x, i: list_sum(list_transform(ls[1:i], lambda y: strlen(y) + 1))) cum FROM l),
+w AS (SELECT doc_id, 0 part, 0::bigint a, least(len(list_filter(cum, lambda x: x < {markdown.CHUNK_BYTES})) + 1, n) z FROM c
+ UNION ALL SELECT doc_id, part + 1, b, least(len(list_filter(cum, lambda x: x < coalesce(cum[b], 0) + {markdown.CHUNK_BYTES})) + 1, n) FROM (
+  SELECT w.doc_id, part, cum, n, greatest(CASE WHEN greatest(len(list_filter(cum, lambda x: x < coalesce(cum[a], 0) + {markdown.OVERLAP_FROM})), a + 1) < z THEN greatest(len(list_filter(cum, lambda x: x < coalesce(cum[a], 0) + {markdown.OVERLAP_FROM})), a + 1) ELSE z END, a + 1) b FROM w JOIN c USING (doc_id) WHERE z < n))
+SELECT doc_id, part, regexp_replace(array_to_string(ls[a + 1:z], chr(10)), '^{_BLANK}+|{_BLANK}+$', '', 'g') AS text FROM w JOIN c USING (doc_id)""")
 def fn05(spark, sf):
     """Texts larger than a chunk, cut at lines with an overlap."""
     d = read_table(spark, sf, "documents").filter(F.octet_length("text") > markdown.CHUNK_BYTES).select("doc_id", "text")
