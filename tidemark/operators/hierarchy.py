@@ -138,6 +138,8 @@ def descendants(hierarchy: DataFrame) -> DataFrame:
     """``ancestor, descendant, distance`` (the least number of steps) of ``resolve_hierarchy(..., with_path=True)``; a node
     isn't its own descendant. On a circle each node is a descendant of each other one, and what hangs below a circle
     descends from all its nodes. Rows: the sum of the numbers of ancestors, as the result needs."""
+    # Written once: its plan is long, and it is read three times.
+    hierarchy = cut_lineage(hierarchy)
     pairs = _along_paths(hierarchy.filter(F.col("path").isNotNull()))
     ringed = cut_lineage(hierarchy.filter("depth < 0").select("id", "parent", "root_id"))
     if ringed.isEmpty():
