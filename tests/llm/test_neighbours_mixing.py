@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import mixing, neighbours
 from tidemark.llm.neighbours import IndexOptions, _long_lists, footrule_block, list_keys, nearest_neighbours, permutations, similar_pairs
 
 SCHEMA = "id string, vector array<float>"
@@ -96,6 +96,55 @@ def test_lists_are_cut_while_it_helps():
     assert max(len(k) for k in _long_lists(alike, 1.0, 3, 50, 8)) == 1
 
 
+def test_a_sample_far_smaller_than_the_collection_posts_no_vector_in_many_lists(spark, monkeypatch):
+    # Of unlike vectors and close pairs, a sample knows hardly any pair: lists were made longer and cut until each vector
+    # was posted in dozens of them, and an executor's memory ended.
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(8, 32))
+    x = (centres[rng.integers(0, 8, 3000)] + rng.normal(size=(3000, 32))).astype(np.float32)
+    x = np.concatenate([x, x + rng.normal(size=x.shape).astype(np.float32) * 0.1])
+    fitted, fit = [], neighbours._fit
+    monkeypatch.setattr(neighbours, "_fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    options = IndexOptions(sample_rows=400, most_rows=150, min_list=100, list_factor=1.0)
+    pairs = [(f"{i:05d}", v) for i, v in enumerate(x)]
+    got = {tuple(r) for r in similar_pairs(nearest_neighbours(frame(spark, pairs), "id", "vector", 5, options, least=0.97), 0.97).collect()}
+    pivots, width, _, long_lists, sublists = fitted[0]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.mean([len(list_keys(p, options.posts, long_lists, sublists)) for p in permutations(u, pivots, width)]) <= 12
+    true = {(f"{i:05d}", f"{i + 3000:05d}") for i in range(3000) if u[i].astype(float) @ u[i + 3000] >= 0.97}
+    assert len(true) > 2500 and len(true & got) >= 0.9 * len(true), (len(true), len(true & got))
+
+
+@pytest.mark.parametrize("least", [None, 0.6])
+def test_a_list_in_small_blocks_and_files(monkeypatch, least):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 8)).astype(np.float32)
+    x[60:] = x[:30] + rng.normal(size=(30, 8)).astype(np.float32) * 0.1
+    ids = [f"{i:02d}" for i in rng.permutation(90)]
+    rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x.tolist(), pa.list_(pa.float32()))], ["id", "vector"])
+
+    class Shared:
+        value = (x[:1] / np.linalg.norm(x[:1]), frozenset())
+
+    def found():
+        posted = [*neighbours._posts(8, 1, 1, 2, Shared)(iter([rows, rows]))]
+        assert all(b.num_rows <= neighbours.SLICE for b in posted)
+        out = pa.Table.from_batches([*neighbours._list_neighbours(8, 3, 1, 200, least)(iter(posted))])
+        return sorted(zip(*(out[c].to_pylist() for c in ("rep", "first", "cosine"))))
+
+    whole = found()
+    for name, value in (("SLICE", 7), ("BLOCK", 100), ("ROOM", 0)):
+        monkeypatch.setattr(neighbours, name, value)
+    assert [r[:2] for r in found()] == [r[:2] for r in whole]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -2)
+    near = np.argsort(-sims, axis=1)[:, :4]
+    assert sorted(r[1] for r in whole) == sorted(ids[j] for i in range(90) for j in near[i] if least is None or sims[i, j] >= least)
+
+
 @pytest.mark.parametrize("scale", ["exact", "any"])
 def test_rescaled_copies_fall_to_the_smallest_ids(spark, scale):
     rng = np.random.default_rng(4)

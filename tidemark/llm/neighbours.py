@@ -7,8 +7,9 @@ collection. Inside a posting list the others are ranked by Spearman's footrule b
 vector.
 
 Posting lists that the sample shows to be longer than ``longest`` mean lists, or than ``most_rows``, are cut by the next
-pivots of the permutation, again and again as long as this makes them shorter, so the rows a list holds don't grow with
-the collection beyond that bound. Pivots are drawn from the vectors, so a region that holds a third of these has a third
+pivots of the permutation, again and again as long as this makes them shorter, unless this loses neighbours that the
+whole list has. Memory doesn't depend on this: a vector is posted a few thousand rows at a time, however many lists it is
+in, a list is compared in blocks, and its vectors lie in a file beyond 32 MB; its ids and permutations stay. Pivots are drawn from the vectors, so a region that holds a third of these has a third
 of the pivots, and its lists are no longer than others.
 
 Copies of a vector, also rescaled ones whose directions differ by rounding, are one vector in the index and come back as
@@ -18,6 +19,7 @@ to the smallest id among the copies, in the lists and where these are merged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -31,6 +33,10 @@ BLUR = 4e-6
 #: Directions are one if they fall into one cell of this width on each of so many fixed random axes: rounding moves them by
 #: some 1e-8 there, so one group of rescaled copies in fifty or so is two, and unlike directions never meet by chance.
 CELL, AXES = 1e-6, 6
+#: Vectors looked at and rows posted at once, cosines in a block, and bytes from which an array lies in a file.
+SLICE, BLOCK, ROOM = 2048, 1 << 22, 32_000_000
+#: Vectors whose true neighbours in the whole collection are looked up where the sample knows too few.
+ASKED = 512
 #: Bytes of posted vectors a task should read, and the most tasks.
 TASK_BYTES, MOST_TASKS = 12_000_000, 50_000
 
@@ -42,7 +48,9 @@ class IndexOptions:
     task: 4096 pivots of 384 floats are 6 MB): with lists of a fixed length recall would fall as the collection grows.
     The sample tells how many true neighbours share a list; while these are fewer than ``recall``, lists are made longer
     (``efforts``: by how much, and in how many sublists a vector is posted where its list is cut). In a sample far smaller
-    than the collection neighbours are farther apart, so the estimate is then too low rather than too high.
+    than the collection neighbours are farther apart, so the estimate is then too low rather than too high: where it is
+    too low for the first effort, the neighbours of some vectors in the whole collection decide, and long lists stay
+    whole where cut ones are what loses them.
     ``candidates`` and ``longest`` are in lengths of a mean list; ``most_rows`` is the length in rows from which lists are
     cut whatever the mean (20,000 vectors of 384 floats are 31 MB). ``sample_rows`` bounds the sample from which pivots are
     drawn and long lists are foreseen (13 MB on the driver)."""
@@ -64,6 +72,25 @@ class IndexOptions:
         return max(self.min_list, round(self.list_factor * total**0.5))
 
 
+def _sliced(batches):
+    """Arrow batches of ``SLICE`` rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _room(shape: tuple, dtype: str):
+    """An array without content; a large one lies in an unnamed file."""
+    import tempfile
+
+    import numpy as np
+
+    if np.prod(shape, dtype=float) * np.dtype(dtype).itemsize <= ROOM:
+        return np.empty(shape, dtype)
+    with tempfile.TemporaryFile() as f:
+        return np.asarray(np.memmap(f, dtype, "w+", shape=shape))
+
+
 def _directions(vecs, dim: int):
     """Of an Arrow column of vectors: the places of the usable ones, these, and a hash of the direction of each. Not
     usable are all-zero vectors, vectors of another length and those with NaN or infinity: they are similar to nothing."""
@@ -107,7 +134,7 @@ def _members_of(dim: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _sliced(batches):
             keep, _, keys = _directions(batch.column(1), dim)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(keys, pa.int64())], ["id", "rep"])
 
@@ -116,7 +143,7 @@ def _members_of(dim: int):
 
 def _pack(dim: int):
     """Arrow function: id and vector to the hash of its direction, the id and the vector's bytes, those of equal weight
-    side by side, which packs well. A direction that the partition has had is left out, unless a smaller id than the one
+    side by side and compressed. A direction that the partition has had is left out, unless a smaller id than the one
     given away turns up: this follows at the end."""
 
     def run(batches):
@@ -124,12 +151,13 @@ def _pack(dim: int):
         import pyarrow as pa
 
         def batch_of(keys, ids, x):
-            planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), dim, 4).transpose(0, 2, 1)).reshape(len(x), -1)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.string()), pa.array([p.tobytes() for p in planes], pa.binary())], ["key", "first", "packed"])
+            planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), dim, 4).transpose(0, 2, 1)).reshape(len(x), dim * 4)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.string()), pa.array([codec.compress(p, asbytes=True) for p in planes], pa.binary())], ["key", "first", "packed"])
 
+        codec = pa.Codec("zstd", 1)
         had: dict = {}
         later: dict = {}
-        for batch in batches:
+        for batch in _sliced(batches):
             keep, x, keys = _directions(batch.column(1), dim)
             ids, new = batch.column(0).take(pa.array(keep)).to_pylist(), []
             for i, (key, name) in enumerate(zip(keys.tolist(), ids)):
@@ -152,8 +180,10 @@ def _pack(dim: int):
 def _unpack(blobs, dim: int):
     """Unit vectors of packed ones, in double precision only where asked for."""
     import numpy as np
+    import pyarrow as pa
 
-    planes = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), 4, dim)
+    codec = pa.Codec("zstd")
+    planes = np.frombuffer(b"".join(codec.decompress(b, dim * 4, asbytes=True) for b in blobs), np.uint8).reshape(len(blobs), 4, dim)
     x = _scaled(np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<f4").reshape(len(blobs), dim))
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
@@ -211,36 +241,91 @@ def _nearest(x, row: int, others, take: int):
     return others[np.lexsort((others, -exact.round(6)))[:take]]
 
 
-def _list_neighbours(dim: int, k: int, width: int, candidates: int):
-    """Grouped function: of one posting list, for each vector its best k by exact cosine among the ``candidates``
-    nearest by footrule, equal ones (to 6 digits) by their smallest id. Works through the list in blocks of rows."""
+def _posts(dim: int, width: int, posts: int, sublists: int, shared):
+    """Arrow function: id and vector to a row for each list that the vector is posted in, some rows at a time."""
+    pack = _pack(dim)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at, long_ = shared.value
+        for batch in pack(batches):
+            if not batch.num_rows:
+                continue
+            perm = permutations(_unpack(batch.column("packed").to_pylist(), dim), at, width)
+            keys = [list_keys(p, posts, long_, sublists) for p in perm]
+            pick = np.repeat(np.arange(len(perm)), [len(x) for x in keys])
+            names, perms = (",".join(map(str, y)) for x in keys for y in x), pa.array([p.tobytes() for p in perm], pa.binary())
+            for i in range(0, len(pick), SLICE):
+                part = pa.array(pick[i : i + SLICE])
+                yield pa.RecordBatch.from_arrays([pa.array([next(names) for _ in part], pa.string()), batch.column("key").take(part), batch.column("first").take(part), perms.take(part), batch.column("packed").take(part)], ["list", "rep", "first", "perm", "packed"])
+
+    return run
 
-    def run(pdf):
+
+def _read_list(batches, dim: int):
+    """Of one posting list, in the order of the smallest ids, so that the smaller place is the smaller id: hashes, ids, unit
+    vectors and permutations, each hash once."""
+    import tempfile
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    reps, firsts, perms = [], [], []
+    with tempfile.TemporaryFile() as f:
+        for batch in _sliced(batches):
+            reps.append(np.asarray(batch.column("rep")))
+            firsts.append(batch.column("first"))
+            perms.append(np.frombuffer(b"".join(batch.column("perm").to_pylist()), np.int16).reshape(batch.num_rows, -1))
+            f.write(_unpack(batch.column("packed").to_pylist(), dim).data)
+        f.flush()
+        rep, first = np.concatenate(reps), pa.chunked_array(firsts, pa.string()).combine_chunks()
+        order = np.asarray(pc.sort_indices(pa.table({"first": first, "rep": rep}), [("first", "ascending"), ("rep", "ascending")])).astype(np.int64)
+        order = order[np.sort(np.unique(rep[order], return_index=True)[1])]
+        came, x = np.memmap(f, "<f4", "r", shape=(len(rep), dim)), _room((len(order), dim), "<f4")
+        for at in range(0, len(order), SLICE):
+            x[at : at + SLICE] = came[order[at : at + SLICE]]
+    return rep[order], first.take(pa.array(order)), x, np.concatenate(perms)[order]
+
+
+def _list_neighbours(dim: int, k: int, width: int, candidates: int, least: float | None = None):
+    """Grouped Arrow function: of one posting list, for each vector its best k by exact cosine among the ``candidates``
+    nearest by footrule, equal ones (to 6 digits) by their smallest id; with ``least`` only those not clearly below it.
+    Works through the list in blocks of rows."""
+    import pyarrow as pa
+
+    def run(batches):
         import numpy as np
-        import pandas as pd
 
-        # In the order of the smallest ids, so that the smaller place is the smaller id.
-        pdf = pdf.sort_values(["first", "rep"]).drop_duplicates("rep").reset_index(drop=True)
-        n = len(pdf)
+        ids, names, x, perm = _read_list(batches, dim)
+        n = len(ids)
         if n < 2:
-            return pd.DataFrame({"rep": [], "other": [], "first": [], "cosine": []}).astype({"rep": "int64", "other": "int64", "first": str, "cosine": float})
-        x = _unpack(pdf["packed"].tolist(), dim)
-        perm = np.frombuffer(b"".join(pdf["perm"]), np.int16).reshape(n, -1)
-        seen, col = np.unique(perm, return_inverse=True)
-        pos = np.full((len(seen), n), width, np.int8)
-        pos[col.reshape(perm.shape), np.arange(n)[:, None]] = np.arange(perm.shape[1], dtype=np.int8)
-        c, ids, names = min(candidates, n - 1), pdf["rep"].to_numpy(), pdf["first"].to_numpy()
-        left, right, cos = [], [], []
-        for at in range(0, n, 256):
-            rows = np.arange(at, min(at + 256, n))
+            return
+        c, pos = min(candidates, n - 1), None
+        if c < n - 1:
+            seen, col = np.unique(perm, return_inverse=True)
+            pos = _room((len(seen), n), "int8")
+            pos[:] = width
+            pos[col.reshape(perm.shape), np.arange(n)[:, None]] = np.arange(perm.shape[1], dtype=np.int8)
+        step = max(1, min(256, BLOCK // n))
+        for at in range(0, n, step):
+            rows = np.arange(at, min(at + step, n))
             sims = x[rows] @ x.T
-            if c < n - 1:
+            sims[np.arange(len(rows)), rows] = -2
+            if least is not None:
+                # Rows with nothing near enough give no rows, whatever is nearest.
+                some = sims.max(axis=1) >= least - 2 * BLUR
+                rows, sims = rows[some], sims[some]
+                if not len(rows):
+                    continue
+            if pos is not None:
                 far = footrule_block(pos, rows, width)
                 far[np.arange(len(rows)), rows] = np.iinfo(np.int16).max
                 # Of equal distances all stay in: the cut is by distance, not by place.
                 edge = np.partition(far, c - 1, axis=1)[:, c - 1 : c]
                 sims[far > edge] = -2
-            sims[np.arange(len(rows)), rows] = -2
             take = min(k + 3, n - 1)
             best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
             # Where more than these may be as near as the last one wanted, which of them have the smallest ids.
@@ -253,13 +338,12 @@ def _list_neighbours(dim: int, k: int, width: int, candidates: int):
             exact[np.take_along_axis(sims, best, 1) <= -2] = -2
             order = np.lexsort((best, -exact.round(6)), axis=1)[:, : k + 1]
             best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
-            kept = exact > -2
-            left.append(np.repeat(ids[rows], kept.sum(axis=1)))
-            right.append(best[kept])
-            cos.append(exact[kept])
-        right = np.concatenate(right)
-        return pd.DataFrame({"rep": np.concatenate(left), "other": ids[right], "first": names[right], "cosine": np.concatenate(cos)})
+            kept = exact > -2 if least is None else exact >= least - 1e-6
+            right = best[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[rows], kept.sum(axis=1))), pa.array(ids[right]), names.take(pa.array(right)), pa.array(exact[kept])], ["rep", "other", "first", "cosine"])
 
+    # Spark tells by these whether a list comes whole or in batches.
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
@@ -289,64 +373,99 @@ def nearest_neighbours(vectors: DataFrame, id_col: str, vector_col: str, k: int
     if not len(x):
         return spark.createDataFrame([], "id string, neighbour string, cosine double, place int")
     x = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
-    pivots, width, length, long_lists, sublists = _fit(x, total, k, options)
-    posts, shared = options.posts, spark.sparkContext.broadcast((pivots, long_lists))
-
-    def post(frames):
-        import pandas as pd
-
-        at, long_ = shared.value
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            perm = permutations(_unpack(pdf["packed"].tolist(), dim), at, width)
-            keys = [list_keys(p, posts, long_, sublists) for p in perm]
-            pick = np.repeat(np.arange(len(pdf)), [len(x) for x in keys])
-            yield pd.DataFrame(
-                {"list": [",".join(map(str, y)) for x in keys for y in x], "rep": pdf["key"].to_numpy()[pick], "first": pdf["first"].to_numpy()[pick], "perm": [perm[i].tobytes() for i in pick], "packed": pdf["packed"].to_numpy()[pick]}
-            )
+    pivots, width, length, long_lists, sublists = _fit(x, total, k, options, lambda asked: _true_neighbours(spread(rows), asked, dim, k, least))
+    shared = spark.sparkContext.broadcast((pivots, long_lists))
 
     # Copies of a vector are one key. A partition posts a key once, or twice if its smallest id came late; lists drop what
     # was posted several times but for the smallest id.
-    packed = spread(rows).mapInArrow(_pack(dim), "key long, first string, packed binary")
-    posted = packed.mapInPandas(post, "list string, rep long, first string, perm binary, packed binary")
+    posted = spread(rows).mapInArrow(_posts(dim, width, options.posts, sublists, shared), "list string, rep long, first string, perm binary, packed binary")
     # As many tasks as the posted vectors need, not as the session has by default: lists spread over them by their names.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-options.posts * total * dim * 4 // TASK_BYTES)))
-    found = posted.repartition(tasks, "list").groupBy("list").applyInPandas(_list_neighbours(dim, k, width, round(options.candidates * length)), "rep long, other long, first string, cosine double")
-    if least is not None:
-        # Those clearly below have places after all others; those equal to 6 digits don't.
-        found = found.filter(F.col("cosine") >= least - 1e-6)
+    found = posted.repartition(tasks, "list").groupBy("list").applyInArrow(_list_neighbours(dim, k, width, round(options.candidates * length), least), "rep long, other long, first string, cosine double")
+    # With a bound, those clearly below are left out: they have places after all others; those equal to 6 digits don't.
     pairs = found.groupBy("rep", "other").agg(F.max("cosine").alias("cosine"), F.min("first").alias("first"))
     near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("rep").orderBy(F.round("cosine", 6).desc(), "first"))).filter(F.col("_n") <= k + 1).drop("_n", "first")
     best = _members(spread(rows).mapInArrow(_members_of(dim), "id string, rep long").select("rep", "id"), near, k)
     return best if least is None else best.filter(F.col("cosine") >= least)
 
 
-def _fit(x, total: int, k: int, options: IndexOptions):
+def _true_neighbours(rows: DataFrame, asked, dim: int, k: int, least: float | None):
+    """Of unit vectors, their k nearest among all rows but their copies, of those with a cosine of ``least``: the places of
+    the asked and the unit vectors found."""
+    import numpy as np
+
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in _sliced(batches):
+            vecs = batch.column(1).filter(pc.equal(pc.list_value_length(batch.column(1)), dim))
+            x = np.asarray(vecs.flatten().to_numpy(zero_copy_only=False), "<f4").reshape(-1, dim)
+            x = np.ascontiguousarray(x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)])
+            if not len(x):
+                continue
+            u = x / np.abs(x).max(axis=1, keepdims=True)
+            sims = shared.value @ u.T / np.sqrt((u * u).sum(axis=1))
+            sims[sims > 1 - 1e-6] = -2
+            take = min(k, len(x))
+            best = np.argpartition(-sims, take - 1, axis=1)[:, :take]
+            near = np.take_along_axis(sims, best, 1)
+            ask, place = np.nonzero(near >= (-1 if least is None else least))
+            yield pa.RecordBatch.from_arrays([pa.array(ask, pa.int32()), pa.array(near[ask, place].astype(float)), pa.array([y.tobytes() for y in x[best[ask, place]]], pa.binary())], ["ask", "cosine", "vector"])
+
+    found = rows.select("id", "vector").mapInArrow(run, "ask int, cosine double, vector binary")
+    found = found.withColumn("_n", F.dense_rank().over(Window.partitionBy("ask").orderBy(F.round("cosine", 6).desc()))).filter(F.col("_n") <= k)
+    got = found.groupBy("ask", F.col("_n")).agg(F.min("vector").alias("vector")).select("ask", "vector").toArrow()
+    x = _scaled(np.frombuffer(b"".join(got["vector"].to_pylist()), "<f4").reshape(-1, dim))
+    return np.asarray(got["ask"]), (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
+def _fit(x, total: int, k: int, options: IndexOptions, ask=None):
     """Pivots, width, mean list, long lists and sublists, from a sample of unit vectors: the first of ``efforts`` with
-    which enough of the nearest neighbours that the sample knows share a list."""
+    which enough of the nearest neighbours that the sample knows share a list. ``ask`` gives the true neighbours of some
+    vectors, for a collection beyond the sample in which the first effort seems too small."""
     import numpy as np
 
     asked = np.arange(0, len(x), max(1, len(x) // 1000))
     near = max(1, min(round(k * len(x) / max(1, total)), len(x) - 1, k))
+    one, other = asked[:0], x[:0]
     if len(x) > 1:
         sims = x[asked] @ x.T
         sims[np.arange(len(asked)), asked] = -2
         true = np.argpartition(-sims, near - 1, axis=1)[:, :near]
-    for factor, sublists in options.efforts:
+        one, other = np.repeat(asked, near), x[true.ravel()]
+
+    def fit(factor: float, sublists: int, whole: bool):
         length = round(options.list_rows(total) * factor)
         count = min(max(2 * options.posts, -(-options.posts * total // length)), options.max_pivots, len(x))
         pivots = np.ascontiguousarray(x[:count])
         width = min(options.width, count)
         perm = permutations(x, pivots, width)
-        long_lists = _long_lists(perm, total / len(x), options.posts, min(options.longest * length, options.most_rows), width, sublists)
-        if len(x) < 2 or count <= 2 * options.posts:
-            break
-        keys: dict = {}
-        lists = lambda i: keys[i] if i in keys else keys.setdefault(i, set(list_keys(perm[i], options.posts, long_lists, sublists)))
-        if np.mean([not lists(i).isdisjoint(lists(j)) for i, row in zip(asked.tolist(), true.tolist()) for j in row]) >= options.recall:
-            break
-    return pivots, width, length, long_lists, sublists
+        long_lists = frozenset() if whole else _long_lists(perm, total / len(x), options.posts, min(options.longest * length, options.most_rows), width, sublists)
+        last = len(x) < 2 or count <= 2 * options.posts
+        if last or not len(one):
+            return last, 1.0, (pivots, width, length, long_lists, sublists)
+        lists = lambda perm: [set(list_keys(p, options.posts, long_lists, sublists)) for p in perm]
+        mine = dict(zip(np.unique(one).tolist(), lists(perm[np.unique(one)])))
+        share = np.mean([not mine[i].isdisjoint(y) for i, y in zip(one.tolist(), lists(permutations(other, pivots, width)))])
+        return last, share, (pivots, width, length, long_lists, sublists)
+
+    last, share, got = fit(*options.efforts[0], False)
+    if last or share >= options.recall:
+        return got
+    beyond = ask is not None and total > 2 * len(x)
+    if beyond:
+        asked = np.arange(0, len(x), max(1, len(x) // ASKED))
+        found, other = ask(x[asked])
+        one = asked[found]
+    for effort in options.efforts:
+        for whole in (False, True)[: 1 + beyond]:
+            last, share, got = fit(*effort, whole)
+            if last or share >= options.recall:
+                return got
+    return got
 
 
 def _long_lists(perm, weight: float, posts: int, most: float, width: int, sublists: int = 2) -> frozenset:
