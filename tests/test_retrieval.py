@@ -159,3 +159,67 @@ def test_text_index_follows_its_documents(spark, tmp_path, monkeypatch, named):
     assert found() == brute_bm25(asked, list(state.items()), 5)
     index.compact()
     assert found() == brute_bm25(asked, list(state.items()), 5) and index.postings.read().count() < rows
+
+
+def shuffled(spark, do) -> tuple[int, object]:
+    """Rows that stages shuffled while ``do`` ran, and what it gave."""
+    sc = spark.sparkContext
+    jsc, jvm = sc._jsc.sc(), sc._jvm
+
+    def total():
+        jsc.listenerBus().waitUntilEmpty(30_000)
+        stages = jsc.statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    got = do()
+    return sum(n for k, n in total().items() if k not in before), got
+
+
+def test_text_index_shuffles_neither_postings_nor_pairs(spark, tmp_path):
+    words = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).sample(words, 80)) + " the") for i in range(600)], "d long, t string")
+    asked = spark.createDataFrame([(i, f"the w{i % 100}") for i in range(200)], "q long, t string")
+    index = textindex.TextIndex(spark, str(tmp_path / "i"), parts=4)
+    postings, pairs = 600 * 81, 600 * 200
+    moved, got = shuffled(spark, lambda: index.update(docs, "d", "t"))
+    assert got == {"taken": 600} and moved < postings / 4
+    moved, got = shuffled(spark, lambda: {(r.q, r.doc_id, r["rank"]) for r in index.search(asked, 5, "q", "t").collect()})
+    assert moved < pairs / 4
+    assert got == {(r.q, r.d, r["rank"]) for r in R.bm25(asked, docs, 5, "q", "t", "d", "t").collect()}
+
+
+@pytest.mark.parametrize("ids", [0, 500_000])
+def test_text_index_of_many_segments_and_repeated_ids(spark, tmp_path, monkeypatch, ids):
+    monkeypatch.setattr(textindex, "NAMED_IDS", ids)
+    monkeypatch.setattr(textindex, "SEGMENT_DOCS", 4)
+    monkeypatch.setattr(R, "TERM_BLOCK", 3)
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choices("the Cat dog mouse owl".split(), k=rng.randrange(12)))
+    asked = [(1, "cat"), (2, "the dog dog"), (3, "owl mouse"), (4, "the cat dog mouse owl")]
+    q = spark.createDataFrame(asked, "q long, t string")
+    index = textindex.TextIndex(spark, str(tmp_path / "i"), parts=4)
+    state = {i: text() for i in range(60)} | {60: "owl " * 20_000}
+    twice = [(i, min(t, "")) for i, t in state.items() if i % 3 == 0] + [(i, t) for i, t in state.items() if i % 4 == 0]
+    frame = lambda rows: spark.createDataFrame(rows, "d long, t string")
+    found = lambda: {(r.q, r.doc_id, r["rank"]) for r in index.search(q, 5, "q", "t").collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert index.update(frame([*state.items(), *twice, (None, "cat")]), "d", "t") == {"taken": 61} and found() == brute_bm25(asked, list(state.items()), 5)
+        state |= {i: text() + " dog" for i in range(10, 20)} | {70: "cat"}
+        del state[5]
+        index.update(frame([*state.items(), *[(i, "") for i in range(12, 15)]]), "d", "t", whole=True)
+        assert found() == brute_bm25(asked, list(state.items()), 5)
+        index.compact()
+        assert found() == brute_bm25(asked, list(state.items()), 5)
+        assert index.postings.read().filter("term = ''").count() == len(state)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    for numbers in ([], [0], [1, 127, 0], [128, 5, 16_383, 16_384, 2**21, 2**31 - 1, 3]):
+        data, ends = textindex._pack(np.array(numbers, np.int64))
+        assert textindex._unpack(data.tobytes()).tolist() == numbers and (not numbers or ends[-1] == len(data))

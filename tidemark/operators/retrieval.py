@@ -161,27 +161,67 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, query_id: str, query_text:
     found = None
     if whole is not None and whole["df"] and whole["words"]:
         n, mean = whole["df"], whole["words"] / whole["df"]
-        exploded = asked.select("q", F.posexplode("terms").alias("at", "term")).join(counts.select("term", "df"), "term", "left")
-        weighed = exploded.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term", "df"))), lambda x: F.struct(x["term"].alias("term"), x["df"].alias("df"))).alias("terms"))
+        weighed = _weighed(asked, counts)
         for got in _passes(weighed, "q", F.size("terms"), TERM_BLOCK):
             part = texts.mapInArrow(_scorer(spark, got, k, n, mean, k1, b), kinds)
             found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], kinds)
+    return _ranked(found, k, query_id, doc_id)
+
+
+def _weighed(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``asked(q, terms)`` with the number of documents of each term, null where no document has it."""
+    exploded = asked.select("q", F.posexplode("terms").alias("at", "term")).join(counts.select("term", "df"), "term", "left")
+    return exploded.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term", "df"))), lambda x: F.struct(x["term"].alias("term"), x["df"].alias("df"))).alias("terms"))
+
+
+def _ranked(found: DataFrame, k: int, query_id: str, doc_id: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "b"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("b").alias(doc_id), "score", "rank")
 
 
-def _scorer(spark, got, k: int, n: int, mean: float, k1: float, b: float):
-    """Arrow function: the k best of the partition's documents for each query of a block. ``got``: q, terms (term, df)."""
+def _weights(got, n: int) -> tuple[list, dict]:
+    """Of a block of queries (q, terms (term, df)) the numbers and weights of each one's terms, and the numbers by term."""
     import numpy as np
 
-    lists = got["terms"].to_pylist()
     vocabulary: dict = {}
-    each = []
-    for terms_ in lists:
-        pairs = [(vocabulary.setdefault(t["term"], len(vocabulary)), np.log(1 + (n - t["df"] + 0.5) / (t["df"] + 0.5))) for t in terms_ if t["df"]]
-        each.append(pairs)
+    lists = got["terms"].to_pylist()
+    return [[(vocabulary.setdefault(t["term"], len(vocabulary)), np.log(1 + (n - t["df"] + 0.5) / (t["df"] + 0.5))) for t in terms_ if t["df"]] for terms_ in lists], vocabulary
+
+
+def _score(asked: list, postings: dict, names, best, k: int) -> None:
+    """Merge documents into the k best of each query. ``postings``: by number of a term the places of its documents in
+    ``names`` and their weights, or None and the weights of all ``names``."""
+    import numpy as np
+
+    total = np.zeros(len(names))
+    for q, pairs in enumerate(asked):
+        seen = [(postings[t], idf) for t, idf in pairs if t in postings]
+        if not seen:
+            continue
+        for (where, weight), idf in seen:
+            if where is None:
+                total += idf * weight
+            else:
+                total[where] += idf * weight
+        if len(seen) == 1 and seen[0][0][0] is not None:
+            touched = seen[0][0][0]
+        elif any(where is None for (where, _), _ in seen) or 8 * sum(len(where) for (where, _), _ in seen) > len(names):
+            touched = np.flatnonzero(total)  # weights are positive
+        else:
+            touched = np.unique(np.concatenate([where for (where, _), _ in seen]))
+        score = total[touched].round(9)
+        total[touched] = 0.0
+        if len(score) > k:
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
+            touched, score = touched[keep], score[keep]
+        _keep_best(best, slice(q, q + 1), -score[None], names[touched][None], k)
+
+
+def _scorer(spark, got, k: int, n: int, mean: float, k1: float, b: float):
+    """Arrow function: the k best of the partition's documents for each query of a block. ``got``: q, terms (term, df)."""
+    each, vocabulary = _weights(got, n)
     shared = spark.sparkContext.broadcast((got["q"].combine_chunks(), each, vocabulary))
 
     def run(batches):
@@ -209,20 +249,7 @@ def _scorer(spark, got, k: int, n: int, mean: float, k1: float, b: float):
                         postings[at][0].append(i)
                         postings[at][1].append(tf * (k1 + 1) / (tf + length))
             postings = {t: (np.array(where), np.array(weight)) for t, (where, weight) in postings.items()}
-            total = np.zeros(len(names))
-            for q, pairs in enumerate(asked):
-                seen = [(postings[t], idf) for t, idf in pairs if t in postings]
-                if not seen:
-                    continue
-                for (where, weight), idf in seen:
-                    total[where] += idf * weight
-                touched = np.unique(np.concatenate([where for (where, _), _ in seen])) if len(seen) > 1 else seen[0][0][0]
-                score = total[touched].round(9)
-                total[touched] = 0.0
-                if len(score) > k:
-                    keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-                    touched, score = touched[keep], score[keep]
-                _keep_best(best, slice(q, q + 1), -score[None], names[touched][None], k)
+            _score(asked, postings, names, best, k)
         if best is not None:
             yield _best_batch(ids, best, -1.0, ids.type, b_type)
 
